@@ -394,12 +394,14 @@ def enrich(
 
 def run_checks(enriched: DataFrame, checks: list[str], order: str = "line_seq") -> DataFrame:
     """Findings of the named checks: one pass over the lines, no join per check."""
-    found = F.filter(F.array(*[LINE_CHECKS[c]() for c in checks]), lambda f: f.isNotNull())
-    return enriched.select(
-        "agreement_id", "line_id", "tracking_number", "invoice_id", "transaction_id", "ship_date",
-        "service_or_charge_type", order, F.col("raw_line_text").alias("invoice_source_reference"),
-        F.inline(found),
+    # The checks are plain columns first (generated code), then one row per check.
+    kept = ["agreement_id", "line_id", "tracking_number", "invoice_id", "transaction_id", "ship_date", "service_or_charge_type", order]
+    judged = enriched.select(
+        *kept, F.col("raw_line_text").alias("invoice_source_reference"),
+        *[LINE_CHECKS[c]().alias(f"_check_{c}") for c in checks],
     )
+    unfolded = judged.select(*kept, "invoice_source_reference", F.inline(F.array(*[f"_check_{c}" for c in checks])))
+    return unfolded.where("check_ord is not null")
 
 
 def duplicate_findings(lines: DataFrame, order: str = "line_seq") -> DataFrame:
