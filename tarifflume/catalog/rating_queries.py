@@ -259,7 +259,7 @@ def _(t):
 
 @query(
     "f26_numeric_leaves",
-    """select p_partkey doc_id, 'svc' || (p_partkey % 5)::varchar service, "zone", weight, case when "zone" = 'zone_5' then 14 when weight = '1' then p_size + 0.25 else p_size + 0.5 end "value"
+    """select p_partkey doc_id, 'svc' || (p_partkey % 5)::varchar service, "zone", weight, case when "zone" = 'zone_5' then 14 when weight = '1' then p_size + 0.25 else p_size + 0.5 end::double "value"
  from part, (values ('zone_2', '1'), ('zone_2', '5'), ('zone_5', '1')) v("zone", weight)""",
 )
 def _(t):
