@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["audit_queries", "scalar_queries", "text_queries", "rating_queries", "agreement_queries"]
+AREAS = ["audit_queries", "scalar_queries", "text_queries", "rating_queries", "agreement_queries", "contract_queries"]
 
 
 def load() -> None:
