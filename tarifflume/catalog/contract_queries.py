@@ -256,9 +256,9 @@ def _(t):
     "e20_e27_metadata_fields",
     f"""with {KEYS}, m as (select k, case k % 4 when 0 then 'Acme' || k::varchar || ' LLC' when 1 then null when 2 then 'Blue Bird ' || k::varchar else 'NORTH RIVER LLC' end customer_name,
  case when k % 3 <> 0 then (k % 60)::varchar when k % 10 = 4 then '3' end version_number, case k % 6 when 0 then 'January 5, 2025' when 1 then '3/14/2025' when 2 then '2025-02-01' end ed,
- 'FedEx' carrier from ks)
+ case when k % 2 = 0 or k % 3 = 0 or k % 5 = 0 or k % 7 = 0 then 'FedEx' else 'UPS' end carrier from ks)
  select k doc_id, customer_name, version_number, coalesce(ed, '') effective_date, carrier, case when k % 8 = 3 then 'March 1, 2025' end offer_expiration,
- case when k % 4 = 0 then 'Net 30 days' when k % 4 = 1 then 'Net 15 days' when k % 4 = 2 then 'on receipt' end payment_terms,
+ case when k % 4 = 0 then 'Net 30 days' when k % 4 = 1 then 'Net 15 days' when k % 4 = 2 then 'on receipt' when k % 7 = 2 then 'Payment is due within the following number of days: 21 Fuel Surcharge: A fuel surcharge is billed weekly and may be waived for residential delivery.' end payment_terms,
  case k % 9 when 0 then 'January 1, 2025' when 1 then coalesce(ed, 'Effective Date') when 2 then ed when 3 then ed end term_start, case k % 9 when 0 then 'December 31, 2026' when 1 then 'Does Not Expire' when 2 then '156 weeks' end term_end from m""",
 )
 def _(t):
