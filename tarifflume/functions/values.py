@@ -83,9 +83,10 @@ def effective(override: Column, value: Column) -> Column:
 
 
 def dim_weight(length: Column, width: Column, height: Column, divisor: Column) -> Column:
-    """Dimensional weight in whole pounds."""
-    volume = F.ceil(length) * F.ceil(width) * F.ceil(height)
-    return F.ceil(volume.cast("decimal(28,0)") / divisor.cast("decimal(9,0)")).cast("bigint")
+    """Dimensional weight in whole pounds, in integer arithmetic (sizes are not negative)."""
+    volume = (F.ceil(length) * F.ceil(width) * F.ceil(height)).cast("bigint")
+    by = divisor.cast("bigint")
+    return F.call_function("div", volume + by - 1, by)
 
 
 def rated_weight(actual: Column, dim: Column) -> Column:

@@ -235,74 +235,83 @@ def _layered_base_pct() -> Column:
     return F.coalesce(by_zone, rule["flat_discount_pct"], F.get(bands, 0)["discount_pct"], F.lit(0).cast(PCT))
 
 
-def earned_check() -> Column:
-    published = F.col("published_charge")
-    layered = (F.col("earned.kind") == "ups_multi_layer") & (published > 0)
-    hundred = F.lit(100).cast(PCT)
-    tier_pct = F.coalesce(F.col("earned.tier_discounts")[F.col("service_code")], F.lit(0).cast(PCT))
-    after_base = (published * (hundred - _layered_base_pct())).cast("decimal(24,8)")
-    expected = F.round((after_base * (hundred - tier_pct)).cast("decimal(30,10)") * F.lit("0.0001").cast("decimal(4,4)"), 2)
-    net = F.coalesce(v.nonzero(F.col("net_transport_charge")), v.nonzero(F.col("billed_amount")), F.lit(0).cast(MONEY))
-    gap = F.round(net - expected, 2)
-    layered_finding = _finding(
-        LAYERED_ORD, (net > 0) & (expected > 0) & (gap > F.lit("0.05").cast("decimal(4,2)")), MISSING, expected, net, gap
-    )
+def _earned_steps() -> list[dict[str, Column]]:
+    published, zero = F.col("published_charge"), F.lit(0).cast(MONEY)
+    hundred, no_pct = F.lit(100).cast(PCT), F.lit(0).cast(PCT)
+    after_base = (published * (hundred - F.col("_base_pct"))).cast("decimal(24,8)")
+    layered_due = F.round((after_base * (hundred - F.col("_layer_pct"))).cast("decimal(30,10)") * F.lit("0.0001").cast("decimal(4,4)"), 2)
+    tier_due = F.round(_product(F.col("_gross"), F.col("_tier_pct"), "0.01"), 2)
+    return [
+        {
+            "_layered": F.coalesce((F.col("earned.kind") == "ups_multi_layer") & (published > 0), F.lit(False)),
+            "_layer_net": F.coalesce(v.nonzero(F.col("net_transport_charge")), v.nonzero(F.col("billed_amount")), zero),
+            "_gross": F.coalesce(v.nonzero(F.col("transport_charge")), v.nonzero(published), zero),
+            "_applied": F.abs(F.coalesce(v.nonzero(F.col("earned_discount_applied")), v.nonzero(F.col("incentive_credit")), zero)),
+            "_tier_pct": F.coalesce(F.col("tier_discounts")[F.col("service_code")], no_pct),
+            "_layer_pct": F.coalesce(F.col("earned.tier_discounts")[F.col("service_code")], no_pct),
+        },
+        {"_base_pct": F.when(F.col("_layered"), _layered_base_pct())},
+        {"_layer_due": F.when(F.col("_layered"), _money(layered_due)), "_tier_due": F.when(~F.col("_layered"), _money(tier_due))},
+        {"_layer_gap": _money(F.col("_layer_net") - F.col("_layer_due")), "_tier_delta": _money(F.col("_tier_due") - F.col("_applied"))},
+    ]
 
-    gross = F.coalesce(v.nonzero(F.col("transport_charge")), v.nonzero(published), F.lit(0).cast(MONEY))
-    applied = F.abs(
-        F.coalesce(v.nonzero(F.col("earned_discount_applied")), v.nonzero(F.col("incentive_credit")), F.lit(0).cast(MONEY))
-    )
-    pct = F.coalesce(F.col("tier_discounts")[F.col("service_code")], F.lit(0).cast(PCT))
-    due = F.round(_product(gross, pct, "0.01"), 2)
-    delta = F.round(due - applied, 2)
+
+def earned_check() -> Column:
+    net, due, gap = F.col("_layer_net"), F.col("_layer_due"), F.round("_layer_gap", 2)
+    layered = _finding(LAYERED_ORD, (net > 0) & (due > 0) & (gap > F.lit("0.05").cast("decimal(4,2)")), MISSING, due, net, gap)
+    gross, applied, delta = F.col("_gross"), F.col("_applied"), F.round("_tier_delta", 2)
     # |pct - applied/gross*100| >= 0.1, multiplied through by gross.
-    off = F.abs(gross * pct - applied * 100) >= F.abs(gross) * F.lit("0.1").cast("decimal(2,1)")
-    tier_finding = _finding(
-        "earned", F.col("tier_found") & (gross != 0) & off, F.when(delta > 0, MISSING).otherwise(UNDER), due, applied, delta
-    )
-    return F.when(layered, layered_finding).otherwise(tier_finding)
+    off = F.abs(gross * F.col("_tier_pct") - applied * 100) >= F.abs(gross) * F.lit("0.1").cast("decimal(2,1)")
+    by_tier = _finding("earned", F.col("tier_found") & (gross != 0) & off, F.when(delta > 0, MISSING).otherwise(UNDER), F.col("_tier_due"), applied, delta)
+    return F.when(F.col("_layered"), layered).otherwise(by_tier)
 
 
-def dim_check() -> Column:
-    sized = F.col("length").isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull() & F.col("actual_weight_lbs").isNotNull()
-    dim = v.dim_weight(F.col("length"), F.col("width"), F.col("height"), F.col("dim_divisor"))
-    rated = v.rated_weight(F.col("actual_weight_lbs"), dim)
+def _dim_steps() -> list[dict[str, Column]]:
     longest = F.greatest(F.ceil("length"), F.ceil("width"), F.ceil("height"))
-    expected = F.when((F.col("ag_carrier") == "fedex") & (longest > 48), F.greatest(rated, F.lit(40).cast(MONEY))).otherwise(rated)
-    billed = F.coalesce(F.col("rated_weight_lbs"), F.col("actual_weight_lbs"))
-    delta = billed - expected
-    impact = F.round(delta.cast("decimal(18,4)") * _amount("rate_per_lb").cast("decimal(14,4)"), 2)
-    return _finding(
-        "dim", sized & (F.abs(delta) >= F.lit("0.5").cast("decimal(2,1)")),
-        F.when(delta > 0, OVER).otherwise(UNDER), expected, billed, impact,
-    )
+    rated = v.rated_weight(F.col("actual_weight_lbs"), F.col("_dim_lbs"))
+    long_fedex = (F.col("ag_carrier") == "fedex") & (longest > 48)
+    return [
+        {"_dim_lbs": v.dim_weight(F.col("length"), F.col("width"), F.col("height"), F.col("dim_divisor"))},
+        # greatest() skips nulls; without a size there is no expectation at all.
+        {"_dim_due": F.when(F.col("_dim_lbs").isNotNull() & F.col("actual_weight_lbs").isNotNull(), F.when(long_fedex, F.greatest(rated, F.lit(40).cast(MONEY))).otherwise(rated))},
+        {"_dim_billed": F.coalesce("rated_weight_lbs", "actual_weight_lbs")},
+        {"_dim_delta": _money(F.col("_dim_billed") - F.col("_dim_due"))},
+    ]
 
 
-def fuel_discount() -> Column:
-    """Contracted fuel discount in force on the ship date."""
-    return F.when(F.col("ship_date") > F.col("fuel_expiration"), F.lit(0).cast(PCT)).otherwise(F.col("fuel_discount_pct"))
+def dim_check() -> Column:
+    delta = F.col("_dim_delta")
+    impact = F.round(delta * _amount("rate_per_lb").cast("decimal(14,4)"), 2)
+    return _finding(
+        "dim", F.abs(delta) >= F.lit("0.5").cast("decimal(2,1)"), F.when(delta > 0, OVER).otherwise(UNDER), F.col("_dim_due"), F.col("_dim_billed"), impact
+    )
 
 
-def fuel_base() -> Column:
-    return F.when(F.col("ag_carrier") == "fedex", _amount("net_transport_charge")).otherwise(_amount("published_charge"))
+def _fuel_steps() -> list[dict[str, Column]]:
+    in_force = F.when(F.col("ship_date") > F.col("fuel_expiration"), F.lit(0).cast(PCT)).otherwise(F.col("fuel_discount_pct"))
+    base = F.when(F.col("ag_carrier") == "fedex", _amount("net_transport_charge")).otherwise(_amount("published_charge"))
+    rate = (F.col("fuel_rate_pct") * (F.lit(100).cast(PCT) - in_force)).cast("decimal(16,8)")
+    due = F.round((base.cast("decimal(14,4)") * rate).cast("decimal(30,12)") * F.lit("0.0001").cast("decimal(4,4)"), 2)
+    known = F.col("ag_carrier").isin("fedex", "ups") & F.col("fuel_discount_pct").isNotNull()
+    return [
+        {"_fuel_due": F.when(known, _money(due))},
+        {"_fuel_delta": _money(F.col("fuel_surcharge_billed") - F.col("_fuel_due"))},
+    ]
 
 
 def fuel_check() -> Column:
-    rate = (F.col("fuel_rate_pct") * (F.lit(100).cast(PCT) - fuel_discount())).cast("decimal(16,8)")
-    expected = F.round((fuel_base().cast("decimal(14,4)") * rate).cast("decimal(30,12)") * F.lit("0.0001").cast("decimal(4,4)"), 2)
-    delta = F.round(F.col("fuel_surcharge_billed") - expected, 2)
-    known = F.col("ag_carrier").isin("fedex", "ups") & F.col("fuel_discount_pct").isNotNull()
-    return _finding(
-        "fuel", known & (delta > F.lit("0.02").cast("decimal(4,2)")), OVER, expected, F.col("fuel_surcharge_billed"), delta
-    )
+    delta = F.round("_fuel_delta", 2)
+    return _finding("fuel", delta > F.lit("0.02").cast("decimal(4,2)"), OVER, F.col("_fuel_due"), F.col("fuel_surcharge_billed"), delta)
 
 
-def minimum_check() -> Column:
+def _minimum_steps() -> list[dict[str, Column]]:
     group = F.coalesce(v.blank_to_null(F.col("service_group")), F.lit("ground"))
     table = _literal_map([(f"{carrier}/{grp}", F.lit(amount).cast(MONEY)) for carrier, grp, amount in PUBLISHED_MINIMUM])
-    published = table[F.concat_ws("/", F.col("ag_carrier"), group)]
-    contracted = F.col("minimum_net_charge")[group]
-    net = _amount("net_transport_charge")
+    return [{"_mnc_published": table[F.concat_ws("/", F.col("ag_carrier"), group)], "_mnc_contract": F.col("minimum_net_charge")[group]}]
+
+
+def minimum_check() -> Column:
+    contracted, published, net = F.col("_mnc_contract"), F.col("_mnc_published"), _amount("net_transport_charge")
     used = F.abs(net - published) < F.lit("0.05").cast("decimal(4,2)")
     return _finding("minimum", (contracted < published) & used, OVER, contracted, net, F.round(net - contracted, 2))
 
@@ -325,28 +334,32 @@ def address_check() -> Column:
     return _override_check("address", _amount("address_correction_billed"), F.col("address_override"))
 
 
-def _sides() -> tuple[Column, Column, Column, Column]:
-    ordered = F.array_sort(F.array(F.ceil("length"), F.ceil("width"), F.ceil("height")))
-    third, second, longest = F.get(ordered, 0), F.get(ordered, 1), F.get(ordered, 2)
-    sized = (F.col("length") != 0) & (F.col("width") != 0) & (F.col("height") != 0)
-    return longest, second, 2 * (second + third), sized
+def _side_steps() -> list[dict[str, Column]]:
+    up = {"_l": F.ceil("length").cast("bigint"), "_w": F.ceil("width").cast("bigint"), "_h": F.ceil("height").cast("bigint")}
+    longest = F.greatest("_l", "_w", "_h")
+    total = F.col("_l") + F.col("_w") + F.col("_h")
+    return [
+        up,
+        {"_longest": longest, "_shortest": F.least("_l", "_w", "_h"), "_sides": total, "_sized": (F.col("length") != 0) & (F.col("width") != 0) & (F.col("height") != 0)},
+        {"_second": F.col("_sides") - F.col("_longest") - F.col("_shortest")},
+    ]
+
+
+def _longest_and_girth() -> Column:
+    return F.col("_longest") + 2 * (F.col("_second") + F.col("_shortest"))
 
 
 def handling_check() -> Column:
-    longest, second, girth, sized = _sides()
     weight, billed = _amount("actual_weight_lbs"), _amount("ahs_billed")
-    fedex = (longest > 48) | (second > 30) | (weight > 70)
-    other = (longest > 48) | (weight > 70) | (longest + girth > 105)
-    fits = F.when(F.col("ag_carrier") == "fedex", fedex).otherwise(other)
-    return _finding("handling", (billed > 0) & sized & ~fits, UNSUPPORTED, F.lit(0), billed, billed)
+    heavy = (F.col("_longest") > 48) | (weight > 70)
+    fits = heavy | F.when(F.col("ag_carrier") == "fedex", F.col("_second") > 30).otherwise(_longest_and_girth() > 105)
+    return _finding("handling", (billed > 0) & F.col("_sized") & ~fits, UNSUPPORTED, F.lit(0), billed, billed)
 
 
 def large_package_check() -> Column:
-    longest, _, girth, sized = _sides()
     billed = _amount("large_package_billed")
-    limit = F.when(F.col("ag_carrier") == "fedex", 96).otherwise(108)
-    fits = (longest + girth > 165) | (longest > limit)
-    return _finding("large", (billed > 0) & sized & ~fits, UNSUPPORTED, F.lit(0), billed, billed)
+    fits = (_longest_and_girth() > 165) | (F.col("_longest") > F.when(F.col("ag_carrier") == "fedex", 96).otherwise(108))
+    return _finding("large", (billed > 0) & F.col("_sized") & ~fits, UNSUPPORTED, F.lit(0), billed, billed)
 
 
 def area_check() -> Column:
@@ -366,6 +379,30 @@ LINE_CHECKS = {
     "address": address_check,
     "area": area_check,
 }
+# Values a check needs more than once, as layers of columns: each layer is its own
+# projection, so that an expected amount is computed once and not once per use.
+STEPS = {
+    "earned": _earned_steps,
+    "dim": _dim_steps,
+    "fuel": _fuel_steps,
+    "minimum": _minimum_steps,
+    "handling": _side_steps,
+    "large": _side_steps,
+}
+
+
+def with_steps(lines: DataFrame, checks: list[str]) -> DataFrame:
+    """Lines with the intermediate columns of the named checks."""
+    layers: list[dict[str, Column]] = []
+    for check in checks:
+        for i, layer in enumerate(STEPS[check]() if check in STEPS else []):
+            if i == len(layers):
+                layers.append({})
+            layers[i].update(layer)
+    out = lines
+    for layer in layers:
+        out = out.withColumns(layer)
+    return out
 
 
 def enrich(
@@ -389,7 +426,7 @@ def enrich(
         out = attach_promise(attach_suspension(out, windows), calendar)
     if "area" in checks:
         out = attach_area_tier(out, area_zips)
-    return out
+    return with_steps(out, checks)
 
 
 def run_checks(enriched: DataFrame, checks: list[str], order: str = "line_seq") -> DataFrame:

@@ -38,11 +38,21 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread_table(self, name: str) -> DataFrame:
+        """A table whose scan has fewer splits than there are cores, spread over them.
+
+        Only small inputs qualify (one row group in one file); a large scan has far more
+        splits than cores and keeps them.
+        """
+        scan = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
     @cached_property
     def line_base(self) -> DataFrame:
         """Exact columns of `lineitem` plus the order-preserving `line_seq`."""
         ship = "date_add(date'2024-01-01', cast(datediff(cast(l_shipdate as date), date'1995-01-01') % 820 as int))"
-        return self.table("lineitem").selectExpr(
+        return self.spread_table("lineitem").selectExpr(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
             "cast(l_quantity as decimal(10,2)) qty",
             "cast(l_extendedprice as decimal(12,2)) price",
