@@ -1,7 +1,10 @@
-"""Session helpers shared by the bench, the tests and command-line use."""
+"""Session helpers: local sessions for tests and benches, and staging in the shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,16 +23,28 @@ def build_session(app: str = "tarifflume", cores: int | str = "*", shuffle_parti
     )
 
 
-def cut_lineage(df: DataFrame, default_dir: str | None = None) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    A machine-local temporary folder stands in for it in local mode only, where driver and
+    executors are one process; a cluster without the setting gives None.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp") if context.master.startswith("local") else None
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result once and read it back, for plans that use it several times.
 
-    The folder named by the cluster in ``spark.checkpoint.dir`` is used as it is;
-    ``default_dir`` only applies where that setting is absent (tests).
+    The copy lies in the shared folder, so it survives lost executors. Without a shared
+    folder the plan is returned as it is: right as well, only evaluated per use.
     """
-    spark = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    target = configured or default_dir
-    if target is None:
-        raise ValueError("spark.checkpoint.dir is not set and no default folder was given")
-    spark.sparkContext.setCheckpointDir(target)
-    return df.checkpoint()
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
