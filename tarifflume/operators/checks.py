@@ -148,24 +148,28 @@ def with_earned_tier(agreements: DataFrame, revenue: DataFrame) -> DataFrame:
 
 
 def attach_fuel_rate(lines: DataFrame, rates: DataFrame) -> DataFrame:
-    """As-of lookup: the latest weekly rate not after the ship date (null before the first)."""
-    span = fuel_intervals(rates).select(
-        F.col("carrier").alias("f_carrier"),
-        F.col("class").alias("f_class"),
-        "week_start",
-        "week_end",
-        F.col("pct").alias("fuel_rate_pct"),
+    """As-of lookup: the latest weekly rate not after the ship date (null before the first).
+
+    The rates are unfolded to one row per day, and a ship date after the last known week is
+    looked up at that week, so both joins are hash lookups on unique keys: no line is
+    compared with every week of its series.
+    """
+    series = ["ag_carrier", "fuel_class"]
+    last_day = F.coalesce(F.date_sub("week_end", 1), F.col("week_start"))
+    daily = fuel_intervals(rates).select(
+        F.col("carrier").alias("ag_carrier"), F.col("class").alias("fuel_class"),
+        F.explode(F.sequence("week_start", last_day)).alias("rate_day"), F.col("pct").alias("fuel_rate_pct"),
     )
-    ground = F.col("service_group").isin(GROUND_GROUPS)
+    ends = rates.groupBy(F.col("carrier").alias("ag_carrier"), F.col("class").alias("fuel_class")).agg(F.max("week_start").alias("last_week"))
+    ground = F.coalesce(F.col("service_group").isin(GROUND_GROUPS), F.lit(False))
     air = F.when(F.col("ag_carrier") == "ups", "air").otherwise("express")
-    keyed = lines.withColumn("fuel_class", F.when(F.coalesce(ground, F.lit(False)), "ground").otherwise(air))
-    match = (
-        (F.col("f_carrier") == F.col("ag_carrier"))
-        & (F.col("f_class") == F.col("fuel_class"))
-        & (F.col("ship_date") >= F.col("week_start"))
-        & (F.col("week_end").isNull() | (F.col("ship_date") < F.col("week_end")))
+    return (
+        lines.withColumn("fuel_class", F.when(ground, "ground").otherwise(air))
+        .join(F.broadcast(ends), series, "left")
+        .withColumn("rate_day", F.when(F.col("ship_date") > F.col("last_week"), F.col("last_week")).otherwise(F.col("ship_date")))
+        .join(F.broadcast(daily), [*series, "rate_day"], "left")
+        .drop("fuel_class", "rate_day", "last_week")
     )
-    return keyed.join(F.broadcast(span), match, "left").drop("f_carrier", "f_class", "week_start", "week_end", "fuel_class")
 
 
 def attach_suspension(lines: DataFrame, windows: DataFrame) -> DataFrame:
