@@ -8,9 +8,6 @@ from tarifflume.catalog import oracle_views as ov
 from tarifflume.catalog.registry import query
 from tarifflume.operators import maintenance as mt, rating as ra, study as st
 
-_SERVICES = ["GROUND", "2DAY", "OVERNIGHT"]
-
-
 def _shipments(t):
     return t.table("lineitem").selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) shipment_id", "l_suppkey contract_id",
@@ -184,7 +181,7 @@ def _(t):
 
 _WEEK = "date_add(date'2024-01-01', cast(datediff(cast(o_orderdate as date), date'1995-01-01') % 830 as int))"
 _WEEK_SQL = "cast(date_trunc('week', date '2024-01-01' + cast(datediff('day', date '1995-01-01', cast(o_orderdate as date)) % 830 as int)) as date)"
-SERIES_SQL = f"""raw as (select case when o_custkey % 2 = 0 then 'fedex' else 'ups' end carrier, case when o_custkey % 4 < 2 then 'ground' else 'express' end class, {_WEEK_SQL} week_start, max(cast(o_totalprice as decimal(14,2))) top, min(o_orderkey) k from orders group by all),
+SERIES_SQL = f"""raw as (select case when o_custkey % 2 = 0 then 'fedex' else 'ups' end carrier, case when o_custkey % 4 < 2 then 'ground' else 'express' end class, {_WEEK_SQL} week_start, min(o_orderkey) k from orders group by all),
  old as (select carrier, class, week_start, cast(10 + k % 60 * 0.1 as decimal(8,4)) pct from raw where datediff('day', date '2024-01-01', week_start) // 7 % 3 <> 0),
  fresh as (select carrier, class, week_start, cast(10 + k % 60 * 0.1 + case when k % 17 = 0 then 0.75 else 0.25 end as decimal(8,4)) pct from raw where datediff('day', date '2024-01-01', week_start) // 7 % 5 <> 0)"""
 
@@ -238,9 +235,6 @@ def _(t):
     return mt.row_count_guard(rows, rows.where("p_size % 7 <> 6"), ["tbl"])
 
 
-_GUIDE = """'{{"svc' || (p_partkey % 5)::varchar || '": {{"zone_2": {{"1": ' || p_retailprice::varchar || ', "5": ' || p_size::varchar || '.5}}, "zone_5": {{"1": 14{x}}}}}}}'"""
-
-
 @query(
     "k5_leaf_count_guard",
     """select p_partkey doc_id, case when p_partkey % 9 = 0 then 0 else 3 end AS before, case when p_partkey % 11 = 0 then 0 when p_partkey % 4 = 0 then 4 else 3 end AS now,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tarifflume.catalog.registry import QUERIES  # noqa: F401  (imported for its side effect in some tests)
 from tarifflume.plans.views import _fields
 from tarifflume.schemas import AGREEMENT_DDL, INVOICE_LINE
 from tarifflume.sources.reference import business_calendar, us_federal_holidays

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import agreement, fuel, lines, reference, windows
 from tarifflume.operators import checks as ck, rollups as ru
+from tarifflume.schemas import INVOICE_LINE
 from tarifflume.sources import invoices as inv
 
 
@@ -178,7 +179,7 @@ def test_csv_chain_gives_known_findings(spark, tmp_path):
     path = tmp_path / "inv.csv"
     path.write_text("\n".join([head, *rows]) + "\n")
     items = inv.read_csv_invoice(spark, str(path), "fedex").withColumn("line_seq", F.col("_row")).withColumn("agreement_id", F.lit(1).cast("bigint"))
-    full = items.select("agreement_id", "line_seq", *[F.col(n) if n in items.columns else F.lit(None).cast(t).alias(n) for n, t in __import__("tarifflume.schemas", fromlist=["x"]).INVOICE_LINE])
+    full = items.select("agreement_id", "line_seq", *[F.col(n) if n in items.columns else F.lit(None).cast(t).alias(n) for n, t in INVOICE_LINE])
     found = ru.first_per_charge(ru.all_findings(full, agreement(spark, **fuel_terms(10)), **reference(spark))).collect()
     got = {(r["tracking_number"], r["field"]): float(r["dollar_impact"]) for r in found}
     assert got == {("T2", "rated_weight_lbs"): 28.5, ("T3", "fuel_surcharge"): 8.75}
