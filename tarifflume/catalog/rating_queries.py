@@ -338,3 +338,14 @@ def _(t):
         "element_at(array('yes', '0', 'Y', 'maybe'), cast(1 + event_id % 4 as int)) human_found_discrepancy", "'' human_discrepancy_type", "cast(null as string) human_dollar_impact",
     )
     return st.study_records(raw).selectExpr("shipment_id", "ai_found", "human_found", "cast(ai_dollars as double) ai_dollars", "outcome")
+
+
+@query(
+    "f27_weekly_pairs",
+    """with d as (select o_orderkey doc_id, date '2024-01-01' + cast(o_orderkey % 500 as int) d from orders)
+ select doc_id, strftime(d, '%Y-%m-%d') week, (doc_id % 20 + 0.5)::double pct from d union all select doc_id, strftime(d + 7, '%Y-%m-%d'), 9.0 from d""",
+)
+def _(t):
+    day = "date_add(date'2024-01-01', cast(o_orderkey % 500 as int))"
+    text = f"""concat('Week of ', date_format({day}, 'M/d/yyyy'), ' was 3% and ', date_format({day}, 'yyyy-MM-dd'), ' the rate\\nis ', cast(o_orderkey % 20 as string), '.5 % then ', date_format(date_add({day}, 7), 'MM/dd/yyyy'), ': 9%')"""
+    return mt.weekly_pairs(t.table("orders").selectExpr("o_orderkey doc_id", f"{text} text")).select("doc_id", "week", F.col("pct").cast("double").alias("pct"))
