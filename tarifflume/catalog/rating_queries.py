@@ -343,7 +343,7 @@ def _(t):
 @query(
     "f27_weekly_pairs",
     """with d as (select o_orderkey doc_id, date '2024-01-01' + cast(o_orderkey % 500 as int) d from orders)
- select doc_id, strftime(d, '%Y-%m-%d') week, (doc_id % 20 + 0.5)::double pct from d union all select doc_id, strftime(d + 7, '%Y-%m-%d'), 9.0 from d""",
+ select doc_id, strftime(d, '%Y-%m-%d') AS "week", (doc_id % 20 + 0.5)::double pct from d union all select doc_id, strftime(d + 7, '%Y-%m-%d'), 9.0 from d""",
 )
 def _(t):
     day = "date_add(date'2024-01-01', cast(o_orderkey % 500 as int))"
