@@ -280,7 +280,8 @@ def _(t):
     tables = {"fuel_weekly_rates": "lineitem", "fedex_das_zips": "part", "ups_das_zips": "supplier", "fedex_zone_map": "orders"}
     ages = mt.file_ages(t.spark, {name: f"{t.folder}/{src}.parquet" for name, src in tables.items()}, F.current_timestamp())
     entries = mt.freshness(ages, mt.freshness_limits(t.spark))
-    return entries.crossJoin(F.broadcast(mt.health_summary(entries)))
+    total = mt.health_summary(entries).selectExpr("'all tables' name", "total tables", "stale_or_missing")
+    return entries.selectExpr("name", "1L tables", "cast(stale as bigint) stale_or_missing").unionByName(total)
 
 
 # ---------------------------------------------------------------- evaluation study

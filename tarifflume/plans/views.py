@@ -162,9 +162,8 @@ class Views:
     @cached_property
     def fuel_rate(self) -> DataFrame:
         """104 weeks of four series."""
-        weeks = self.spark.range(0, 104, 1, 1).selectExpr("cast(id as int) i")
         series = self.spark.createDataFrame(FUEL_SERIES, "carrier string, class string, base string")
-        return weeks.crossJoin(F.broadcast(series)).selectExpr(
+        return series.select("*", F.explode(F.sequence(F.lit(0), F.lit(103))).alias("i")).selectExpr(
             "carrier", "class", f"date_sub(date'{LAST_FUEL_WEEK}', 7 * i) week_start",
             "cast(cast(base as decimal(6,2)) + ((i % 13) - 6) * 0.06 as decimal(8,4)) pct",
         )
