@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarifflume.llm import packing, token_counts, token_files
+from tarifflume.llm import decontaminate, packing, sharding, token_counts, token_files
 from tarifflume.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
@@ -33,3 +38,23 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op10_decontamination"] = r"""
+with cut as (
+    select 'd' as kind, doc_id as id, list_filter(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F\x{80}-\x{A9}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{2000}-\x{203F}]+'), lambda x: x <> '') as w from documents where doc_id is not null
+    union all
+    select 'i', item_id, list_filter(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F\x{80}-\x{A9}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{2000}-\x{203F}]+'), lambda x: x <> '') from benchmark where item_id is not null),
+shingle as (
+    select distinct kind, id, s from (
+        select kind, id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] end) as s from cut)),
+size as (select id, count(*) as n from shingle where kind = 'i' group by id)
+select d.id as doc_id, i.id as item_id, any_value(z.n) as n_item_shingles, count(*) as n_shared, count(*) / any_value(z.n) as containment
+from shingle d join shingle i on d.kind = 'd' and i.kind = 'i' and d.s = i.s join size z on z.id = i.id
+group by d.id, i.id having count(*) / any_value(z.n) >= 0.8
+"""
