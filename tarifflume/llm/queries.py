@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarifflume.llm import decontaminate, packing, sharding, token_counts, token_files
+from tarifflume.llm import decontaminate, packing, sharding, substring_dedup, token_counts, token_files
 from tarifflume.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=13, keep_text=False)
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
@@ -58,3 +63,16 @@ select d.id as doc_id, i.id as item_id, any_value(z.n) as n_item_shingles, count
 from shingle d join shingle i on d.kind = 'd' and i.kind = 'i' and d.s = i.s join size z on z.id = i.id
 group by d.id, i.id having count(*) / any_value(z.n) >= 0.8
 """
+
+ORACLE["op6_substring_dedup"] = r"""
+with cut as (
+    select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (
+    select doc_id, i, array_to_string(w[i:i + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from cut where len(w) >= 13)),
+low as (select g, min(doc_id) as f from win group by g),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as j from win join low using (g) where f < doc_id),
+lists as (select doc_id, list(j) as js from gone group by doc_id)
+select doc_id, len(w) as n_words, coalesce(len(js), 0) as n_removed,
+    sha256(array_to_string(case when js is null then w else list_filter(w, lambda x, i: not list_contains(js, i)) end, ' ')) as kept_sha256
+from cut left join lists using (doc_id)
+"""
