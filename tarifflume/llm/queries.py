@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarifflume.llm import decontaminate, language_id, ngram_join, packing, sharding, substring_dedup, token_counts, token_files
+from tarifflume.llm import ann, decontaminate, language_id, ngram_join, packing, sharding, substring_dedup, token_counts, token_files
 from tarifflume.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+@query
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ann.build(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(index, F.col("vec_id") % 50 == 0)
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=13, keep_text=False)
