@@ -208,7 +208,7 @@ STATE = pa.schema([("query", pa.int64()), ("vec", pa.list_(pa.float32())), ("ids
 _STATE = "query long, vec array<float>, ids array<long>, scores array<float>, expanded array<boolean>, seen array<long>, next array<long>"
 
 
-def greedy_search(index: Index, queries: DataFrame, beam: int = 64, step: int = 16) -> DataFrame:
+def greedy_search(index: Index, queries: DataFrame, beam: int = 192, step: int = 48) -> DataFrame:
     """query, ids: the best nodes met from each (query, vec, entry: nodes to begin at).
 
     Best first: each round opens the `step` best unopened nodes of a query's `beam` best, scores
@@ -260,7 +260,7 @@ def greedy_search(index: Index, queries: DataFrame, beam: int = 64, step: int =
     return out
 
 
-def nearest(index: Index, which, k: int = 5, beam: int = 64, step: int = 16) -> DataFrame:
+def nearest(index: Index, which, k: int = 5, beam: int = 192, step: int = 48) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each indexed row that `which` (a condition on vec_id) picks.
 
     Score: cosine of the original vectors in double precision. Searches begin at the row's own

@@ -150,8 +150,12 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def with_language(docs: DataFrame, model: Model | None, min_score: float = 0.0) -> DataFrame:
-    """The rows of `docs` whose text has a language with at least `min_score`; columns as given."""
+def with_language(docs: DataFrame, model: Model | None, min_score: float = 0.25) -> DataFrame:
+    """The rows of `docs`, all columns, but for those that `identify` calls `und` or scores under `min_score`.
+
+    At 0.25 no language has a regression value above -0.5: none is likely. Short clean texts lie
+    well above. Where there is no model, only texts without letters go.
+    """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -162,9 +166,9 @@ def with_language(docs: DataFrame, model: Model | None, min_score: float = 0.0)
         for batch in batches:
             texts = batch.column(at)
             kept = np.array([has_letters(t) for t in texts.to_pylist()], bool)
-            if own is not None and min_score > 0:
-                for a, b, data, bounds in slices(texts):
+            for a, b, data, bounds in slices(texts):
+                if own is not None:
                     kept[a:b] &= np.clip((own.scores(presence(data, bounds)).max(1) + 1) / 2, 0, 1) >= min_score
-            yield batch.filter(pa.array(kept))
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifflume.llm import ann, decontaminate, language_id, ngram_join, packing, sharding, substring_dedup, token_counts, token_files
+from tarifflume.llm import ann, decontaminate, html_text, language_id, ngram_join, packing, sharding, substring_dedup, token_counts, token_files
 from tarifflume.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(index, F.col("vec_id") % 50 == 0)
 
 
+@query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=13, keep_text=False)

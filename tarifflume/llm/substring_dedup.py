@@ -194,6 +194,14 @@ def repeated_windows(docs: DataFrame, length: int, group_spans: int = 20_000) ->
     return hits.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("own")).alias("starts"))
 
 
+def _gone(n_words: int, starts, length: int) -> np.ndarray:
+    depth = np.zeros(n_words + 1, np.int64)
+    for s in starts or ():
+        depth[s] += 1
+        depth[s + length] -= 1
+    return np.cumsum(depth)[:-1] > 0
+
+
 def remove_repeats(docs: DataFrame, length: int = 13, keep_text: bool = True, group_spans: int = 20_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept text, removed word spans) for each row of `docs`.
 
@@ -213,11 +221,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, keep_text: bool = True, gr
             out = []
             for doc_id, text, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts")), strict=True):
                 words = _WORD.findall(text or "")
-                depth = np.zeros(len(words) + 1, np.int64)
-                for s in starts or ():
-                    depth[s] += 1
-                    depth[s + length] -= 1
-                gone = np.cumsum(depth)[:-1] > 0
+                gone = _gone(len(words), starts, length)
                 if gone.any():
                     kept = " ".join([words[i] for i in np.flatnonzero(~gone)])
                 else:
@@ -232,3 +236,33 @@ def remove_repeats(docs: DataFrame, length: int = 13, keep_text: bool = True, gr
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string, removed array<array<long>>" * keep_text
     return rows.join(found, ["doc_id", "version"], "left").mapInArrow(apply, schema)
+
+
+def without_repeats(docs: DataFrame, length: int = 50, group_spans: int = 20_000) -> DataFrame:
+    """The rows of `docs`, all columns, without the words that `remove_repeats` removes.
+
+    A text that loses words has the kept ones joined by one space; any other stays as it is.
+    `n_chars`, where there is one, follows the text. Rows stay, also when no word is left.
+    """
+    found = repeated_windows(docs, length, group_spans).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("starts").alias("__starts"))
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.hash("text") == F.col("__version"))
+    joined = docs.join(found, same, "left").drop("__id", "__version")
+    names = docs.columns
+
+    def apply(batches):
+        for batch in batches:
+            columns = {c: batch.column(c) for c in names}
+            texts, starts = columns["text"].to_pylist(), batch.column("__starts").to_pylist()
+            sizes = columns["n_chars"].to_pylist() if "n_chars" in columns else None
+            for k, own in enumerate(starts):
+                if own:
+                    words = _WORD.findall(texts[k])
+                    texts[k] = " ".join([words[i] for i in np.flatnonzero(~_gone(len(words), own, length))])
+                    if sizes is not None:
+                        sizes[k] = len(texts[k])
+            columns["text"] = pa.array(texts, columns["text"].type)
+            if sizes is not None:
+                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    return joined.mapInArrow(apply, docs.schema)
