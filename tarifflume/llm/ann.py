@@ -11,7 +11,6 @@ hub gathers more; the search makes up for it, and the recall is tested against b
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarifflume.llm.common import ship, staged
+from tarifflume.llm.common import released, ship, staged
 
 #: Vectors compared with each other at the start.
 RUN = 256
@@ -197,8 +196,7 @@ def build(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddin
         if n <= RUN:  # one run has compared all
             break
         graph = staged(_updated(graph, _introduced(graph, nodes, width, max(4, width // 4)), width), "graph")
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # lets the cleaner drop the last round's shuffle files
+        released(spark)
         if graph.agg(F.sum("changed")).first()[0] <= settled * n * width:
             break
     return Index(nodes, staged(of, "members"), good, graph)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -53,8 +54,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df`, written once to the shared folder: later jobs start from there."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -64,6 +67,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def released(spark: SparkSession, *done: DataFrame) -> None:
+    """Deletes staged rows that are no longer needed, and lets Spark's cleaner drop old shuffle files."""
+    for df in done:
+        remove(spark, df._staged_path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # --- words and their hashes -------------------------------------------------------------
 
 _WHITE = np.zeros(256, bool)

@@ -21,16 +21,15 @@ Each step writes its rows to the shared folder; the shuffle files behind it are
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifflume.llm.common import ngram_hashes, ship, staged, word_slices
+from tarifflume.llm.common import ngram_hashes, released, ship, staged, word_slices
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -161,12 +160,6 @@ def _long_prefixes(spans: DataFrame, length: int) -> DataFrame:
     return back.select("h1", "h2", F.col("w.first").alias("firsts"))
 
 
-def _released(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of frames that are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_windows(docs: DataFrame, length: int, group_spans: int = 20_000) -> DataFrame:
     """doc_id, version, starts: the windows of each text that also start in a smaller doc_id's text."""
     spark = docs.sparkSession
@@ -174,21 +167,21 @@ def repeated_windows(docs: DataFrame, length: int, group_spans: int = 20_000) ->
     keyed = _keyed(docs)
     texts = keyed.where("text is not null")
     shared = staged(_anchor_rows(texts, length, False).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "anchors")
-    _released(spark)
+    released(spark)
     runs = staged(_anchor_rows(texts, length, True).join(shared, "key", "left_semi"), "runs")
-    _released(spark)
+    released(spark, shared)
     spans = _spans(texts, runs, length).withColumns({"h1": F.xxhash64("span"), "h2": F.xxhash64(F.lit(1), "span")})
     spans = staged(spans, "spans")
-    _released(spark)
+    released(spark, runs)
     distinct = staged(spans.groupBy("key", "h1", "h2", "span").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "leaves")
-    _released(spark)
+    released(spark)
     groups = distinct.groupBy("key").agg(F.count("*").alias("n"), F.min("low").alias("from"), F.max("high").alias("to")).where("from < to")
     leaves = distinct.join(groups.select("key", "n"), "key")
     alone = leaves.where("n = 1").select("h1", "h2", F.array_repeat("low", F.size(F.split("span", " ")) - (length - 1)).alias("firsts"))
     some = _subtrees(leaves.where(f"n between 2 and {group_spans}"), length)
     many = _long_prefixes(leaves.where(f"n > {group_spans}"), length)
     firsts = staged(alone.unionByName(some).unionByName(many), "nodes")
-    _released(spark)
+    released(spark, distinct)
     starts = F.filter(F.transform("firsts", lambda low, i: F.when(low < F.col("doc_id"), F.col("start") + i)), lambda s: s.isNotNull())
     hits = spans.select("h1", "h2", "doc_id", "version", "start").join(firsts, ["h1", "h2"]).select("doc_id", "version", starts.alias("own")).where(F.size("own") > 0)
     return hits.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("own")).alias("starts"))
