@@ -265,23 +265,34 @@ def _(t):
     "k6_first_zips",
     """with z as (select case when l_suppkey % 2 = 0 then 'fedex' else 'ups' end carrier, lpad((l_partkey * 37 % 100000)::varchar, 5, '0') zip, l_orderkey * 8 + l_linenumber pos, l_suppkey from lineitem),
  m as (select carrier, zip, min(pos * 100000 + l_suppkey) first_pos, arg_max(case when l_suppkey % 3 = 0 then 'metro' else 'rural' end, pos * 100000 + l_suppkey) tier from z group by all)
- select carrier, zip, tier from (select *, row_number() over (partition by carrier order by first_pos) rn from m) where rn <= 520""",
+ select carrier, zip, first_pos, tier from m""",
 )
 def _(t):
     rows = t.table("lineitem").selectExpr(
         "case when l_suppkey % 2 = 0 then 'fedex' else 'ups' end carrier", "lpad(cast(l_partkey * 37 % 100000 as string), 5, '0') zip",
         "(l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey pos", "case when l_suppkey % 3 = 0 then 'metro' else 'rural' end tier",
     )
-    return mt.first_zips(rows).select("carrier", "zip", "tier")
+    return mt.first_zips(rows).select("carrier", "zip", "first_pos", "tier")
 
 
-@query("k7_k8_reference_freshness")
+@query(
+    "k7_k8_reference_freshness",
+    """with days as (select 'fuel_weekly_rates' "name", l_shipdate::date d from lineitem union all select case when l_suppkey % 2 = 0 then 'fedex_das_zips' else 'ups_das_zips' end, l_shipdate::date from lineitem where l_linenumber = 1
+  union all select 'fedex_zone_map', o_orderdate::date from orders),
+ ages as (select "name", date '1998-12-20' - max(d) age from days group by 1),
+ e as (select l."name", age, age is null or age > days_limit stale from (values ('fuel_weekly_rates', 10), ('fedex_das_zips', 90), ('ups_das_zips', 90), ('fedex_zone_map', 120), ('ups_zone_map', 120)) l("name", days_limit) left join ages using ("name"))
+ select "name", age::double age_days, 1 tables, stale::int stale_or_missing from e union all select 'all tables', null, count(*), sum(stale::int) from e""",
+)
 def _(t):
-    tables = {"fuel_weekly_rates": "lineitem", "fedex_das_zips": "part", "ups_das_zips": "supplier", "fedex_zone_map": "orders"}
-    ages = mt.file_ages(t.spark, {name: f"{t.folder}/{src}.parquet" for name, src in tables.items()}, F.current_timestamp())
-    entries = mt.freshness(ages, mt.freshness_limits(t.spark))
-    total = mt.health_summary(entries).selectExpr("'all tables' name", "total tables", "stale_or_missing")
-    return entries.selectExpr("name", "1L tables", "cast(stale as bigint) stale_or_missing").unionByName(total)
+    lines = t.table("lineitem")
+    dates = (
+        lines.selectExpr("'fuel_weekly_rates' name", "cast(l_shipdate as date) day")
+        .unionByName(lines.where("l_linenumber = 1").selectExpr("case when l_suppkey % 2 = 0 then 'fedex_das_zips' else 'ups_das_zips' end name", "cast(l_shipdate as date) day"))
+        .unionByName(t.table("orders").selectExpr("'fedex_zone_map' name", "cast(o_orderdate as date) day"))
+    )
+    entries = mt.freshness(mt.table_ages(dates, F.lit("1998-12-20").cast("date")), mt.freshness_limits(t.spark))
+    total = mt.health_summary(entries).selectExpr("'all tables' name", "cast(null as double) age_days", "total tables", "stale_or_missing")
+    return entries.selectExpr("name", "age_days", "1L tables", "cast(stale as bigint) stale_or_missing").unionByName(total)
 
 
 # ---------------------------------------------------------------- evaluation study

@@ -205,13 +205,13 @@ def _(t):
 
 @query(
     "f28_f29_header_lines",
-    r"""with x as (select doc_id, case doc_id % 5 when 0 then 'Section 4 rates' || chr(10) when 1 then chr(10) || '12. Terms' || chr(10) when 2 then 'hello' || chr(10) || 'ZONE RATES' || chr(10) when 3 then 'zones:' || chr(10) else '' end || "text" x, string_split("text", chr(10))[1] l from documents where lang = 'en'),
- y as (select *, list_filter(list_transform(regexp_split_to_array(regexp_replace(x, '^\s+|\s+$', '', 'g'), chr(10))[1:5], lambda a: regexp_replace(a, '^\s+|\s+$', '', 'g')), lambda a: regexp_matches(a, '(?i)^(SECTION|ARTICLE|PART|SCHEDULE|EXHIBIT|APPENDIX|AMENDMENT)\s') or regexp_matches(a, '^\d+\.\s+[A-Z]') or regexp_matches(a, '^[A-Z][A-Z\s]{5,}$')) hits from x)
+    r"""with x as (select doc_id, case doc_id % 5 when 0 then 'Section 4 rates' || chr(10) when 1 then chr(10) || '12. Terms' || chr(10) when 2 then 'hello' || chr(10) || 'ZONE RATES' || chr(10) when 3 then 'zones:' || chr(10) else '' end || "text" x, string_split("text", chr(10))[1] l from documents),
+ y as (select *, list_filter(list_transform(regexp_split_to_array(regexp_replace(x, '^\s+|\s+$', '', 'g'), chr(10)), lambda a: regexp_replace(a, '^\s+|\s+$', '', 'g')), lambda a: regexp_matches(a, '(?i)^(SECTION|ARTICLE|PART|SCHEDULE|EXHIBIT|APPENDIX|AMENDMENT)\s') or regexp_matches(a, '^\d+\.\s+[A-Z]') or regexp_matches(a, '^[A-Z][A-Z\s]{5,}$')) hits from x)
  select doc_id, hits[1] section_header, length(trim(l)) >= 3 and (regexp_matches(trim(l), '^\d+(\.\d+)*\s+[A-Z]') or (regexp_matches(trim(l), '^[A-Z][A-Z0-9\s\-&/,\.]{2,60}$') and length(trim(l)) <= 80) or (regexp_matches(trim(l), '^.{5,}:$') and length(trim(l)) <= 80)) ocr_header from y""",
 )
 def _(t):
     lead = "concat(case doc_id % 5 when 0 then 'Section 4 rates\\n' when 1 then '\\n12. Terms\\n' when 2 then 'hello\\nZONE RATES\\n' when 3 then 'zones:\\n' else '' end, text)"
-    return t.table("documents").where("lang = 'en'").select(
+    return t.table("documents").select(
         "doc_id", lb.section_header(F.expr(lead)).alias("section_header"), lb.ocr_header(F.expr("split(text, '\\n')[0]")).alias("ocr_header")
     )
 

@@ -140,9 +140,9 @@ def account_like(raw: Column) -> Column:
 
 
 def section_header(text: Column) -> Column:
-    """First of the first five lines that looks like a section header."""
+    """First line that looks like a section header."""
     trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    lines = F.transform(F.slice(F.split(trimmed, "\n"), 1, 5), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lines = F.transform(F.split(trimmed, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     header = lambda x: (
         x.rlike(r"(?i)^(SECTION|ARTICLE|PART|SCHEDULE|EXHIBIT|APPENDIX|AMENDMENT)\s") | x.rlike(r"^\d+\.\s+[A-Z]") | x.rlike(r"^[A-Z][A-Z\s]{5,}$")
     )

@@ -158,13 +158,12 @@ def provisions(pages: DataFrame) -> DataFrame:
 
 
 def likely_invoice(text: Column) -> Column:
-    head = F.substring(text, 1, 4000)
-    has = lambda w: F.contains(head, F.lit(w))
+    has = lambda w: F.contains(text, F.lit(w))
     return (has("Invoice Number") & has("Invoice Date")) | has("Delivery Service Invoice")
 
 
 def likely_non_contract(text: Column) -> Column:
-    head = F.lower(F.substring(text, 1, 12000))
+    head = F.lower(text)
     other = ["statement of work", "sow", "scope of work", "master services agreement", "proposal", "project plan"]
     return _contains_any(head, other) & ~_contains_any(head, ["pricing agreement", "carrier agreement", "service terms", "surcharge", "fedex", "ups"])
 
@@ -173,7 +172,7 @@ SERVICE_TOTAL = r"(?i)([A-Za-z][A-Za-z &/\-]{3,80}?)\s+Total Charges\s+USD\s+\$?
 
 
 def invoice_signals(documents: DataFrame) -> DataFrame:
-    """Rows (kind, name, value) an invoice shows: type, number, up to five services, totals, fuel."""
+    """Rows (kind, name, value) an invoice shows: type, number, services, totals, fuel."""
     t = F.col("full_text")
     number, total = r"(?i)Invoice Number\s+([A-Z0-9\-]+)", r"(?i)TOTAL\s+THIS\s+INVOICE\s+USD\s+\$?([\d,]+(?:\.\d{2})?)"
     fuel, transport = r"(?i)Fuel Surcharge\s+([\d,]+(?:\.\d{2})?)", r"(?i)Transportation Charges\s+([\d,]+(?:\.\d{2})?)"
@@ -184,7 +183,6 @@ def invoice_signals(documents: DataFrame) -> DataFrame:
     row = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.alias("value"))
     all_services = F.transform(names, lambda n, i: row("service", n, F.concat(F.lit("Total Charges USD "), F.get(amounts, i))))
     first_seen = F.filter(all_services, lambda r, i: F.array_position(keys, F.lower(r["name"])) == i + 1)
-    services = F.slice(first_seen, 1, 5)
     lone = F.when((F.size(names) == 0) & grab(transport).isNotNull(), row("service", F.lit("UPS Transportation Charges"), grab(transport, "Transportation Charges ")))
     specials = F.array(
         row("special", F.lit("Document Type"), F.lit("Invoice")),
@@ -193,7 +191,7 @@ def invoice_signals(documents: DataFrame) -> DataFrame:
         F.when(grab(fuel).isNotNull(), row("surcharge", F.lit("Fuel Surcharge"), grab(fuel, "Observed amount "))),
         lone,
     )
-    return documents.where(likely_invoice(t)).select("doc_id", F.inline(F.concat(services, F.array_compact(specials))))
+    return documents.where(likely_invoice(t)).select("doc_id", F.inline(F.concat(first_seen, F.array_compact(specials))))
 
 
 # ---------------------------------------------------------------- metadata

@@ -178,57 +178,56 @@ def field_problems(fields: DataFrame) -> DataFrame:
     return fields.select("extraction_id", "field_path", F.explode(codes).alias("code"))
 
 
-def verifier_candidates(fields: DataFrame, max_chars: int = 4000) -> DataFrame:
-    """Doubtful fields in (confidence, path) order, as many as fit `max_chars` of JSON.
+def verifier_candidates(fields: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """All doubtful fields in (confidence, path) order, with the JSON size used up to each.
 
-    One candidate takes over 100 characters of JSON, so the first max_chars/100 per
-    extraction always suffice; that rank limit is applied before the shuffle.
+    `max_chars` keeps those that fit a budget.
     """
     body = F.to_json(
         F.struct(
             "field_path", "value", F.col("confidence").cast("double").alias("confidence"), "needs_review", "source_page",
-            F.substring(F.coalesce("source_text", F.lit("")), 1, 240).alias("source_text"),
+            F.coalesce("source_text", F.lit("")).alias("source_text"),
         ),
         {"ignoreNullFields": "false"},
     )
     doubtful = fields.where((F.col("confidence") < _dec(VERIFY_BELOW)) | F.col("needs_review"))
     order = Window.partitionBy("extraction_id").orderBy("confidence", "field_path")
-    near = doubtful.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= max_chars // 100)
+    near = doubtful.withColumn("pick", F.row_number().over(order))
     # 11 blanks separate keys and values of one object, 2 characters separate objects, and
     # the wrapper takes 29.
     taken = F.sum(F.length("json") + 13).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 2 + 29
-    return near.withColumn("json", body).withColumn("used", taken).where(F.col("used") <= max_chars)
+    sized = near.withColumn("json", body).withColumn("used", taken)
+    return sized if max_chars is None else sized.where(F.col("used") <= max_chars)
 
 
-def context_sections(documents: DataFrame, paths: DataFrame, reach: int = 500, max_spans: int = 24, max_chars: int = 12000) -> DataFrame:
-    """Head of the text plus the surroundings of keywords, overlaps merged.
+def context_sections(documents: DataFrame, paths: DataFrame, reach: int = 500, head: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """The text plus the surroundings of keywords, overlaps merged.
 
-    Keywords are the fixed words and the tokens of the doubtful field paths. At most
-    `max_spans` hits count per document, in keyword order; the limit is part of the
-    feature and bounds the merge window.
+    Keywords are the fixed words and the tokens of the doubtful field paths. All their hits
+    count; `head` clips the text in front and `max_chars` the whole, where they are given. A
+    document travels once, with its few words; hits are found inside its row.
     """
     tokens = paths.select("doc_id", F.explode(F.split(F.lower("field_path"), "[^a-z0-9_]+")).alias("word")).where("length(word) > 2")
-    fixed = documents.select("doc_id", F.explode(F.array(*[F.lit(w) for w in CONTEXT_WORDS])).alias("word"))
-    words = fixed.unionByName(tokens).distinct()
-    low = F.lower("text")
-    # Positions of a word: running length of the pieces between its occurrences.
-    quoted = F.concat(F.lit("\\Q"), F.col("word"), F.lit("\\E"))
-    pieces = F.split(low, quoted, max_spans + 1)
-    hits = documents.select("doc_id", "text").join(words, "doc_id").select("doc_id", "word", F.length("text").alias("n"), pieces.alias("pieces"))
-    starts = F.transform(
-        F.slice("pieces", F.lit(1), F.size("pieces") - 1),
-        lambda _, i: F.aggregate(F.slice("pieces", F.lit(1), i + 1), F.lit(0), lambda acc, x: acc + F.length(x)) + i * F.length("word"),
-    )
-    spans = hits.where(F.size("pieces") > 1).select("doc_id", "word", "n", F.explode(starts).alias("at"))
-    rank = Window.partitionBy("doc_id").orderBy("word", "at")
-    spans = spans.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= max_spans)
-    spans = spans.select("doc_id", F.greatest(F.lit(0), F.col("at") - reach).alias("s"), F.least(F.col("n"), F.col("at") + F.length("word") + reach).alias("e"))
+    words = tokens.groupBy("doc_id").agg(F.collect_set("word").alias("own"))
+    fixed = F.array(*[F.lit(w) for w in CONTEXT_WORDS])
+    known = documents.select("doc_id", "text").join(words, "doc_id", "left").withColumn("words", F.array_union(fixed, F.coalesce("own", F.array().cast("array<string>"))))
+    low, size = F.lower("text"), F.length("text")
+
+    def spans_of(word: Column) -> Column:
+        pieces = F.split(low, F.concat(F.lit("\\Q"), word, F.lit("\\E")), -1)
+        lengths = F.transform(pieces, F.length)
+        # Running length of the pieces before each hit, carried in one pass.
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        step = lambda acc, n: F.struct((acc["at"] + n + F.length(word)).alias("at"), F.array_append(acc["all"], acc["at"] + n).alias("all"))
+        hits = F.slice(F.aggregate(lengths, start, step)["all"], F.lit(1), F.size(pieces) - 1)
+        return F.transform(hits, lambda at: F.struct(F.greatest(F.lit(0), at - reach).alias("s"), F.least(size, at + F.length(word) + reach).alias("e")))
+
+    spans = known.select("doc_id", F.explode(F.flatten(F.transform("words", spans_of))).alias("x")).select("doc_id", "x.s", "x.e")
     order = Window.partitionBy("doc_id").orderBy("s", "e")
     reached = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("opens", (F.col("s") > F.coalesce(reached, F.lit(-1))).cast("int"))
     islands = opened.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("doc_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    # 24 spans at most per document: a bounded list.
     listed = merged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
     joined = documents.join(listed, "doc_id", "left")
     cuts = F.transform("spans", lambda x: F.substring(F.col("text"), x["s"] + 1, x["e"] - x["s"]))
@@ -236,9 +235,10 @@ def context_sections(documents: DataFrame, paths: DataFrame, reach: int = 500, m
         F.size("spans") > 0,
         F.concat(F.lit("\n\n--- TARGETED KEYWORD SECTIONS ---\n\n"), F.array_join(cuts, "\n\n---\n\n")),
     ).otherwise("")
+    front = F.col("text") if head is None else F.substring("text", 1, head)
+    whole = F.concat(front, F.coalesce(tail, F.lit("")))
     return joined.select(
-        "doc_id", F.coalesce(F.size("spans"), F.lit(0)).alias("sections"),
-        F.substring(F.concat(F.substring("text", 1, 8000), F.coalesce(tail, F.lit(""))), 1, max_chars).alias("context"),
+        "doc_id", F.coalesce(F.size("spans"), F.lit(0)).alias("sections"), (whole if max_chars is None else F.substring(whole, 1, max_chars)).alias("context"),
     )
 
 

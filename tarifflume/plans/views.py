@@ -247,8 +247,8 @@ class Views:
         return docs.text_lines(self.invoice_page)
 
     @cached_property
-    def invoice_head(self) -> DataFrame:
-        return docs.head_text(self.invoice_page)
+    def invoice_marked_page(self) -> DataFrame:
+        return self.invoice_page.select("doc_id", "page_number", docs.marked_page().alias("text"))
 
 
 def _fields(ddl: str) -> list[tuple[str, str]]:

@@ -29,12 +29,14 @@ def full_text(pages: DataFrame) -> DataFrame:
     )
 
 
-def head_text(pages: DataFrame, chars: int = 5000) -> DataFrame:
-    """First `chars` characters of the full text.
+def head_text(pages: DataFrame, chars: int | None = None) -> DataFrame:
+    """The full text as `head`, or its first `chars` characters.
 
     Every page adds more than 16 characters (its marker), so the first chars/16 pages
     always suffice; the rank limit is applied before the shuffle.
     """
+    if chars is None:
+        return full_text(pages).withColumnRenamed("full_text", "head")
     enough = chars // 16 + 1
     first = Window.partitionBy("doc_id").orderBy("page_number")
     near = pages.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= enough)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tarifflume.functions import values as v
 from tarifflume.functions.services import service_pair
@@ -62,16 +62,46 @@ def dialect_of(columns: list[str], hint: str) -> str:
     return hint
 
 
-def read_csv_invoice(spark: SparkSession, path: str, carrier_hint: str, strict_reference: bool = False) -> DataFrame:
-    """CSV invoices of one dialect as line items.
+def header_groups(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of a path, grouped by their header line. A row for each file reaches the driver."""
+    first = (
+        spark.read.text(path)
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+        .where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    )
+    groups: dict[str, list[str]] = {}
+    for row in first.orderBy("file").collect():
+        groups.setdefault(row["header"].strip("\ufeff\r"), []).append(row["file"])
+    return list(groups.values())
+
+
+def numbered_rows(raw: DataFrame) -> DataFrame:
+    """Adds `_file` and `_row`, the 1-based row in the file, in file order however it was split.
 
-    `row_id` is (file, position in the scan): stable for the order of a file, and unique
-    across files; it stands in for the row number when a line brings no id.
+    Rows are numbered inside their split, and splits by the rows of the file's earlier ones.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True).select(
-        "*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_row")
-    )
-    return csv_lines(raw, carrier_hint, strict_reference)
+    placed = raw.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    split = Window.partitionBy("_path", "_start")
+    counts = placed.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_path", "_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return placed.withColumn("_row", F.row_number().over(split.orderBy("_at"))).join(before, ["_path", "_start"]).withColumn("_row", F.col("_row") + F.col("_before")).drop("_path", "_start", "_at", "_before")
+
+
+def read_csv_invoice(spark: SparkSession, path: str, carrier_hint: str, strict_reference: bool = False, multi_line: bool = False) -> DataFrame:
+    """CSV invoices as line items; each file is read in the dialect of its own header.
+
+    `_row` is the row number in its file. `multi_line` allows line breaks inside quoted fields;
+    a file is then one task.
+    """
+    out = None
+    for files in header_groups(spark, path):
+        raw = spark.read.csv(files, header=True, inferSchema=False, multiLine=multi_line)
+        lines = csv_lines(numbered_rows(raw), carrier_hint, strict_reference)
+        out = lines if out is None else out.unionByName(lines, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no invoice file with a header line in {path}")
+    return out
 
 
 def csv_lines(raw: DataFrame, carrier_hint: str, strict_reference: bool = False) -> DataFrame:
@@ -80,7 +110,7 @@ def csv_lines(raw: DataFrame, carrier_hint: str, strict_reference: bool = False)
     dialect = dialect_of(named, carrier_hint)
     by_key = {v.header_key_of(c): F.col(f"`{c}`") for c in named}
     # Blank-free text of the row, for evidence.
-    evidence = F.substring(F.to_json(F.struct(*[F.col(f"`{c}`") for c in named])), 1, 220)
+    evidence = F.to_json(F.struct(*[F.col(f"`{c}`") for c in named]))
     base = raw.withColumn("raw_line_text", evidence)
     if dialect == "canonical":
         return _canonical(base, by_key, carrier_hint, strict_reference)

@@ -57,9 +57,15 @@ def fuel_rates_from_json(bodies: DataFrame) -> DataFrame:
 
 
 def fuel_intervals(rates: DataFrame) -> DataFrame:
-    """Each weekly rate with the day it stops to apply (null for the latest week)."""
+    """Each weekly rate with the day it stops to apply (null for the latest week).
+
+    Of a week that occurs twice the row of greatest `row_ord` counts, without that column the
+    greatest rate.
+    """
+    last = F.max_by("pct", "row_ord") if "row_ord" in rates.columns else F.max("pct")
+    weeks = rates.groupBy("carrier", "class", "week_start").agg(last.alias("pct"))
     series = Window.partitionBy("carrier", "class").orderBy("week_start")
-    return rates.withColumn("week_end", F.lead("week_start").over(series))
+    return weeks.withColumn("week_end", F.lead("week_start").over(series))
 
 
 def read_area_zips(spark: SparkSession, path: str, carrier: str) -> DataFrame:
@@ -68,7 +74,8 @@ def read_area_zips(spark: SparkSession, path: str, carrier: str) -> DataFrame:
     Row order of a CSV scan is (file, block offset in file, position in block).
     """
     raw = spark.read.csv(path, header=True)
-    return area_zips(raw.withColumn("row_ord", F.monotonically_increasing_id()), F.lit(carrier))
+    order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("at"))
+    return area_zips(raw.withColumn("row_ord", order), F.lit(carrier))
 
 
 def area_zips(raw: DataFrame, carrier: Column) -> DataFrame:
