@@ -56,17 +56,17 @@ def incentive_rows(pages: DataFrame) -> DataFrame:
 
 
 def dim_specs(pages: DataFrame) -> DataFrame:
-    """Custom DIM divisors and cubic thresholds with the service named shortly before them."""
+    """Custom DIM divisors and cubic thresholds with the service named last before them."""
     named = r"(?i)(UPS[^\n]*?-\s*DimensionalWeight)"
     near = r"(UPS\s*[^\n]{3,40}?)(?:\n|$)"
     loose = r"(UPS[^\n]*?)(?:\n|$)"
     last = lambda ctx, p: F.try_element_at(F.regexp_extract_all(ctx, F.lit(p), F.lit(1)), F.lit(-1))
-    before = lambda n: _strip(F.substring(F.col("text"), F.greatest(F.lit(1), F.col("m.start") - n + 1), F.least(F.lit(n), F.col("m.start"))))
+    before = _strip(F.substring(F.col("text"), F.lit(1), F.col("m.start")))
     own = lambda c: F.trim(F.regexp_replace(_unmark(c), r"(?i)\s*-?\s*DimensionalWeight\s*$", ""))
     blank = lambda c: F.when(c != "", c)
-    divisors = pages.select("doc_id", "page_number", "text", F.posexplode(match_spans(F.col("text"), DIM_DIVISOR)).alias("row_ord", "m")).withColumn("ctx", before(300))
-    service = F.when(last(F.col("ctx"), named).isNotNull(), blank(own(last(F.col("ctx"), named)))).otherwise(blank(F.substring(_unmark(last(F.col("ctx"), near)), 1, 60)))
-    cubic = pages.select("doc_id", "page_number", "text", F.posexplode(match_spans(F.col("text"), CUBIC_THRESHOLD)).alias("row_ord", "m")).withColumn("ctx", before(200))
+    divisors = pages.select("doc_id", "page_number", "text", F.posexplode(match_spans(F.col("text"), DIM_DIVISOR)).alias("row_ord", "m")).withColumn("ctx", before)
+    service = F.when(last(F.col("ctx"), named).isNotNull(), blank(own(last(F.col("ctx"), named)))).otherwise(blank(_unmark(last(F.col("ctx"), near))))
+    cubic = pages.select("doc_id", "page_number", "text", F.posexplode(match_spans(F.col("text"), CUBIC_THRESHOLD)).alias("row_ord", "m")).withColumn("ctx", before)
     fill = lambda df, svc, title: df.withColumn("application", F.coalesce(svc, F.lit("UPS Service"))).select(
         "doc_id", "page_number", F.lit(title).alias("kind"), "row_ord", F.concat(F.lit(title + " ("), "application", F.lit(")")).alias("name"), F.col("m.g1").cast("double").alias("divisor"), "application"
     )
@@ -139,7 +139,7 @@ def provisions(pages: DataFrame) -> DataFrame:
     t = F.col("text")
     clause = lambda p: F.when(t.rlike(p), F.regexp_extract(t, p, 1))
     money_text = clause(money)
-    money_value = F.when(F.contains(F.lower(money_text), F.lit("waive")), "Waived").when(money_text.isNotNull(), F.substring(_strip(money_text), 1, 200))
+    money_value = F.when(F.contains(F.lower(money_text), F.lit("waive")), "Waived").when(money_text.isNotNull(), _strip(money_text))
     matched = F.when(t.rlike(due), F.regexp_extract(t, due, 1))
     reach = F.substring(t, F.instr(t, matched), F.length(matched) + 50)
     days = F.when(reach.rlike(r":\s*(\d+)"), F.concat(F.lit("Net "), F.regexp_extract(reach, r":\s*(\d+)", 1), F.lit(" days")))
@@ -147,7 +147,7 @@ def provisions(pages: DataFrame) -> DataFrame:
     found = F.array_compact(
         F.array(
             named("Money-Back Guarantee", money_value),
-            named("Unexpected International Volume", F.when(t.rlike(volume), F.substring(_strip(clause(volume)), 1, 200))),
+            named("Unexpected International Volume", F.when(t.rlike(volume), _strip(clause(volume)))),
             named("Payment Terms", days),
         )
     )
@@ -301,12 +301,10 @@ def find_first(text: Column, patterns: list[str], confidence: float = 0.85, **kw
 
 
 def _block(text: Column, pattern: str, confidence: float, at_least: int) -> Column:
-    """Collapsed narrative of a section; 4,000 characters at most, then an ellipsis."""
+    """Collapsed narrative of a section."""
 
     def build(body: Column) -> Column:
-        clipped = F.concat(F.substring(body, 1, 4000), F.when(F.length(body) > 4000, "…").otherwise(""))
-        snippet = F.concat(F.substring(body, 1, 500), F.when(F.length(body) > 500, "…").otherwise(""))
-        return F.when(F.length(body) >= at_least, F.struct(clipped, F.lit(confidence), snippet, F.lit(True)).cast(EV))
+        return F.when(F.length(body) >= at_least, F.struct(body, F.lit(confidence), body, F.lit(True)).cast(EV))
 
     return F.get(F.transform(F.array(lb.squeeze(F.regexp_extract(text, pattern, 1))), build), 0)
 
@@ -330,7 +328,7 @@ def _customer(head: Column) -> Column:
 
 def _account(text: Column) -> Column:
     found = F.coalesce(
-        find_first(text, ACCOUNT), _hit(text, ADDENDUM_ACCOUNT, 0.82), _hit(F.substring(text, 1, 8000), LOOSE_ACCOUNT, 0.70, before=10, review=True)
+        find_first(text, ACCOUNT), _hit(text, ADDENDUM_ACCOUNT, 0.82), _hit(text, LOOSE_ACCOUNT, 0.70, before=10, review=True)
     )
     # The check runs last, so a first hit that fails it leaves the field empty.
     return F.get(F.transform(F.array(found), lambda c: F.when(lb.account_like(c["value"]), c)), 0)
@@ -347,20 +345,20 @@ def _payment(text: Column) -> Column:
 
 def metadata(documents: DataFrame) -> DataFrame:
     """The twelve metadata fields of each document, one struct column each."""
-    text, head, wide = F.col("full_text"), F.substring("full_text", 1, 5000), F.substring("full_text", 1, 32000)
+    text = F.col("full_text")
     base = documents.select(
         "doc_id",
         "full_text",
-        _customer(head).alias("customer_name"),
+        _customer(text).alias("customer_name"),
         _account(text).alias("account_number"),
         F.coalesce(find_first(text, AGREEMENT), _hit(text, UPS_AGREEMENT, 0.80, before=10)).alias("agreement_number"),
         find_first(text, VERSION).alias("version_number"),
-        F.coalesce(find_first(head, EFFECTIVE), find_first(wide, EFFECTIVE)).alias("effective_date"),
+        find_first(text, EFFECTIVE).alias("effective_date"),
         find_first(text, OFFER).alias("offer_expiration"),
         find_first(text, EXTERNAL_TERM, 0.78, value=lambda _: F.lit("true"), before=60, after=80, clip=220, review=True).alias("external_term_reference"),
-        _carrier(head).alias("carrier"),
+        _carrier(text).alias("carrier"),
         _payment(text).alias("payment_terms"),
-        F.coalesce(_block(F.substring(text, 1, 25000), SERVICES_BLOCK, 0.74, 25), F.when(~F.substring(text, 1, 25000).rlike(r"(?i)\bApplicable\s+Services"), _block(F.substring(text, 1, 25000), SERVICES_CLAUSE, 0.74, 25))).alias("applicable_services"),
+        F.coalesce(_block(text, SERVICES_BLOCK, 0.74, 25), F.when(~text.rlike(r"(?i)\bApplicable\s+Services"), _block(text, SERVICES_CLAUSE, 0.74, 25))).alias("applicable_services"),
         find_first(text, TERM_RANGE, group=1, before=10, after=10).alias("range_start"),
         find_first(text, TERM_RANGE, group=2, before=10, after=10).alias("range_end"),
         _hit(text, TERM_DURATION, 0.80, value=lambda t: F.concat_ws(" ", F.regexp_extract(t, TERM_DURATION, 1), F.regexp_extract(t, TERM_DURATION, 2))).alias("duration"),
@@ -416,8 +414,8 @@ REPLACED = r"(?i)(?:replaces?|replaced)\s+(?:with\s+)?the\s+pricing\s+(?:contain
 
 def amendments(documents: DataFrame) -> DataFrame:
     """Documents titled as amendments: number, superseded version and effective date."""
-    text, head = F.col("full_text"), F.substring("full_text", 1, 2000)
-    number = F.when(head.rlike(AMENDMENT_NUMBER), F.regexp_extract(head, AMENDMENT_NUMBER, 1))
+    text = F.col("full_text")
+    number = F.when(text.rlike(AMENDMENT_NUMBER), F.regexp_extract(text, AMENDMENT_NUMBER, 1))
     stated = F.coalesce(
         *[F.when(text.rlike(p), F.regexp_extract(text, p, 1)) for p in SUPERSEDES], F.when(text.rlike(REPLACED), F.lit("All prior pricing"))
     )
@@ -425,8 +423,8 @@ def amendments(documents: DataFrame) -> DataFrame:
     derived = F.when(ver > 1, F.concat(base, F.lit("-"), F.when(ver <= 10, F.lpad((ver - 1).cast("string"), 2, "0")).otherwise((ver - 1).cast("string")))).when(
         ver.isNotNull(), F.concat(base, F.lit(" (original)"))
     )
-    effective = F.coalesce(*[F.when(head.rlike(p), F.regexp_extract(head, p, 1)) for p in EFFECTIVE])
-    return documents.where(head.rlike(AMENDMENT_TITLE)).select(
+    effective = F.coalesce(*[F.when(text.rlike(p), F.regexp_extract(text, p, 1)) for p in EFFECTIVE])
+    return documents.where(text.rlike(AMENDMENT_TITLE)).select(
         "doc_id", F.coalesce(number, F.lit("Unknown")).alias("amendment_number"), F.coalesce(stated, derived).alias("supersedes_version"), effective.alias("effective_date"),
         F.when(F.coalesce(stated, derived).isNotNull(), 0.80).otherwise(0.0).alias("supersedes_confidence"), F.when(effective.isNotNull(), 0.80).otherwise(0.0).alias("date_confidence"),
     )
