@@ -270,7 +270,8 @@ def _overlay_rows(t):
 @query(
     "m4_overlaid_fields",
     f"""with {DOCS}, b as (select * from rk where rn = 1), l as (select * from (select *, row_number() over (partition by company_key order by rn desc) k from rk where coalesce(ov, val, '') <> '') where k = 1)
- select b.company_key, case when l.rn > 1 then l.val else b.val end "value", b.ov "override", (case when l.rn > 1 then l.o_orderkey else b.o_orderkey end % 9)::int source_page, case when l.rn > 1 and l.doc_type = 'amendment' then 'Controlled by amendment file' || l.o_orderkey::varchar end rationale from b left join l using (company_key)""",
+ select b.company_key, case when l.rn > 1 then l.val else b.val end "value", b.ov "override", (case when l.rn > 1 then l.o_orderkey else b.o_orderkey end % 9)::int source_page, list_reduce(notes, lambda acc, x: case when contains(acc, x) then acc else acc || '; ' || x end) rationale from b left join l using (company_key)
+ left join (select company_key, list('Controlled by amendment file' || o_orderkey::varchar order by rn) notes from rk where rn > 1 and doc_type = 'amendment' and coalesce(ov, val, '') <> '' group by 1) n using (company_key)""",
 )
 def _(t):
     return rs.overlay_fields(_overlay_rows(t)).select("company_key", "value", "override", "source_page", "rationale")

@@ -254,7 +254,7 @@ def apply_corrections(fields: DataFrame, corrections: DataFrame) -> DataFrame:
     when = lambda c, other: F.when(F.col("was_llm_corrected"), c).otherwise(other)
     given = F.col("c.confidence").cast(CONF)
     clamp = F.when(given.isNotNull(), F.greatest(F.lit(0).cast(CONF), F.least(F.lit(1).cast(CONF), given)))
-    text = F.substring(F.nullif(F.col("c.source_text"), F.lit("")), 1, 240)
+    text = F.nullif(F.col("c.source_text"), F.lit(""))
     return (
         joined.withColumn("original_parser_value", when(F.col("value"), F.lit(None)))
         .withColumn("llm_corrected_value", when(F.col("c.corrected"), F.lit(None)))

@@ -74,7 +74,9 @@ def document_place(effective: Column, doc_type: Column, ordinal: Column) -> Colu
 def overlay_fields(fields: DataFrame) -> DataFrame:
     """Per (company, field): the value of the last document whose effective value is filled.
 
-    The first document supplies the row, and its reviewer override stays in force.
+    The first document supplies the row, and its reviewer override stays in force. The
+    rationale names every amendment that set the field, in document order, also where a later
+    document of another type overwrote the value.
     Input has `place` (see `document_place`), `doc_type` and `file_name`.
     """
     effective = F.coalesce("override", "value")
@@ -84,12 +86,13 @@ def overlay_fields(fields: DataFrame) -> DataFrame:
         F.min_by(F.struct("override", F.struct(content.alias("c")).alias("own")), "place").alias("base"),
         F.max_by(F.struct("place", content.alias("c")), F.when(filled, F.col("place"))).alias("last"),
         F.min("place").alias("base_place"),
+        F.array_sort(F.collect_list(F.when(filled & (F.lower("doc_type") == "amendment"), F.struct("place", F.concat(F.lit("Controlled by amendment "), "file_name").alias("note"))))).alias("notes"),
     )
     use_last = F.col("last").isNotNull() & (F.col("last.place") > F.col("base_place"))
     chosen = F.when(use_last, F.col("last.c")).otherwise(F.col("base.own.c"))
-    note = F.when(
-        use_last & (F.lower("chosen.doc_type") == "amendment"), F.concat(F.lit("Controlled by amendment "), F.col("chosen.file_name"))
-    )
+    later = F.transform(F.filter("notes", lambda n: n["place"] > F.col("base_place")), lambda n: n["note"])
+    joined = lambda acc, n: F.when(acc.isNull(), n).when(F.contains(acc, n), acc).otherwise(F.concat(acc, F.lit("; "), n))
+    note = F.aggregate(later, F.lit(None).cast("string"), joined)
     return merged.withColumn("chosen", chosen).select(
         "company_key", "field_path", "chosen.value", F.col("base.override").alias("override"), "chosen.confidence", "chosen.source_page",
         "chosen.source_text", note.alias("rationale"),
