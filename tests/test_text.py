@@ -149,7 +149,8 @@ def test_context_sections(spark):
 def test_verifier_budget(spark):
     rows = [("e", f"f{i:02d}", "x" * 90, 0.5, False, 1, "s") for i in range(60)]
     df = spark.createDataFrame(rows, "extraction_id string, field_path string, value string, c double, needs_review boolean, source_page int, source_text string").withColumn("confidence", F.col("c").cast("decimal(6,4)"))
-    got = qa.verifier_candidates(df).collect()
+    assert qa.verifier_candidates(df).count() == 60
+    got = qa.verifier_candidates(df, max_chars=4000).collect()
     import json
 
     whole = json.dumps({"low_confidence_fields": [{"field_path": r["field_path"], "value": r["value"], "confidence": 0.5, "needs_review": False, "source_page": 1, "source_text": "s"} for r in got]})
