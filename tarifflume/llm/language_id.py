@@ -60,25 +60,30 @@ class Model:
         x = there.astype(np.float32)
         return (x @ self.landmarks) / (np.sqrt(np.maximum(x.sum(1), 1))[:, None] * self.roots)
 
+    def kernel_of(self, bits: np.ndarray) -> np.ndarray:
+        """The kernel of texts given as packed bits, some at a time."""
+        parts = [self.kernel(np.unpackbits(bits[a : a + 128], axis=1)) for a in range(0, len(bits), 128)]
+        return np.concatenate(parts)
+
     def scores(self, there: np.ndarray) -> np.ndarray:
         return self.kernel(there) @ self.weights + self.bias
 
 
-def fit(there: np.ndarray, langs: list[str], n_landmarks: int = 256, ridge: float = 1e-3) -> Model:
-    """Rows of presence and their languages. Landmarks are dealt evenly over the languages."""
+def fit(bits: np.ndarray, langs: list[str], n_landmarks: int = 256, ridge: float = 1e-3) -> Model:
+    """Rows of presence, packed to bits, and their languages. Landmarks are dealt evenly over the languages."""
     classes = sorted(set(langs))
     of = np.array([classes.index(x) for x in langs])
     turn = np.zeros(len(of), np.int64)
     for c in range(len(classes)):
         turn[of == c] = np.arange(int((of == c).sum()))
     marks = np.lexsort((of, turn))[:n_landmarks]
-    chosen = there[marks].astype(np.float32)
+    chosen = np.unpackbits(bits[marks], axis=1).astype(np.float32)
     roots = np.sqrt(np.maximum(chosen.sum(1), 1)).astype(np.float32)
     model = Model(classes, np.ascontiguousarray(chosen.T), roots, np.zeros((len(marks), len(classes)), np.float32), np.zeros(len(classes), np.float32))
-    values, vectors = np.linalg.eigh(model.kernel(there[marks]).astype(np.float64))
+    values, vectors = np.linalg.eigh(model.kernel_of(bits[marks]).astype(np.float64))
     kept = values > 1e-6 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
-    features = model.kernel(there).astype(np.float64) @ whiten
+    features = model.kernel_of(bits).astype(np.float64) @ whiten
     target = np.where(of[:, None] == np.arange(len(classes)), 1.0, -1.0)
     # every language weighs the same, however many texts it has
     weight = (len(of) / (len(classes) * np.bincount(of, minlength=len(classes))))[of][:, None]
@@ -112,8 +117,8 @@ def train(labelled: DataFrame, sample: int = 4000, n_landmarks: int = 256, ridge
     found = sorted((r["lang"], bytes(r["bits"])) for r in least.mapInArrow(build, "bits binary, lang string").collect())
     if not found:
         return None
-    there = np.unpackbits(np.frombuffer(b"".join(b for _, b in found), np.uint8).reshape(len(found), -1), axis=1).astype(bool)
-    return fit(there, [lang for lang, _ in found], n_landmarks, ridge)
+    bits = np.frombuffer(b"".join(b for _, b in found), np.uint8).reshape(len(found), -1)
+    return fit(bits, [lang for lang, _ in found], n_landmarks, ridge)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
