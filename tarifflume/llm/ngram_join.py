@@ -193,7 +193,9 @@ def _search(groups: DataFrame, n: int, percent: int) -> DataFrame:
             yield _rows(solve(group), schema)
 
     keys = ["cluster", "low", "high"]
-    return groups.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "doc_id long, n_links long, root long")
+    # many small tasks, so that large groups spread; Spark would join tasks of so few bytes
+    tasks = 4 * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, "doc_id long, n_links long, root long")
 
 
 def similar(docs: DataFrame, n: int = 3, percent: int = 90, group_ngrams: int = 4_000_000) -> DataFrame:
