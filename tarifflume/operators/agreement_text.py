@@ -30,11 +30,21 @@ def _contains_any(text: Column, words: list[str]) -> Column:
 
 
 def match_spans(text: Column, pattern: str) -> Column:
-    """Array of (start, full, g1) of every match; start counts from 0."""
+    """Array of (start, full, g1) of every match; start counts from 0.
+
+    One pass carries the length of all pieces and matches so far.
+    """
     pieces = F.split(text, pattern)
     full, g1 = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    size = lambda arr, n: F.aggregate(F.slice(arr, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
-    return F.transform(full, lambda m, i: F.struct((size(pieces, i + 1) + size(full, i)).alias("start"), m.alias("full"), F.get(g1, i).alias("g1")))
+    rows = F.arrays_zip(F.transform(pieces, F.length).alias("gap"), full.alias("full"), g1.alias("g1"))
+    matches = F.slice(rows, F.lit(1), F.size(full))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, full: string, g1: string>>").alias("all"))
+
+    def step(acc: Column, m: Column) -> Column:
+        at = acc["at"] + m["gap"]
+        return F.struct((at + F.length(m["full"])).alias("at"), F.array_append(acc["all"], F.struct(at.alias("start"), m["full"].alias("full"), m["g1"].alias("g1"))).alias("all"))
+
+    return F.aggregate(matches, start, step)["all"]
 
 
 INCENTIVE = r"(?i)(UPS[^\n]*?)-\s*Incentives?\s*Off\s*Effective\s*Rates\s*-?\s*(\d+(?:\.\d+)?)\s*%"

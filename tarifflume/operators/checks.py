@@ -199,7 +199,8 @@ def attach_promise(lines: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def attach_area_tier(lines: DataFrame, zips: DataFrame) -> DataFrame:
-    listed = zips.select(F.col("carrier").alias("ag_carrier"), F.col("zip").alias("zip_key"), F.col("tier").alias("area_tier"))
+    # one tier a ZIP, whatever the caller's table holds, so no line is doubled and 100,000 ZIPs a carrier are the most
+    listed = zips.groupBy(F.col("carrier").alias("ag_carrier"), F.col("zip").alias("zip_key")).agg(F.max("tier").alias("area_tier"))
     return lines.withColumn("zip_key", v.zip5(F.col("destination_zip"))).join(
         F.broadcast(listed), ["ag_carrier", "zip_key"], "left"
     )
