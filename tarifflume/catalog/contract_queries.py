@@ -237,11 +237,38 @@ def _(t):
  union all select k, 'special', 'Invoice Total', 'USD 512.00' from c where k % 2 = 0 union all select k, 'surcharge', 'Fuel Surcharge', 'Observed amount 12.34' from c where k % 5 = 0""",
 )
 def _(t):
+    return tx.invoice_signals(_invoices(t))
+
+
+def _invoices(t):
     lanes = "concat_ws(chr(10), transform(array(0, 1, 0, 2, 3, 4, 5, 6), i -> concat('Home  Lane ', chr(65 + i), ' Total Charges USD $1,0', cast(i as string), '0.50')))"
     body = f"""concat_ws(chr(10), case when k % 3 = 2 then 'Statement' else 'Invoice Date today' end, concat('Invoice Number INV', cast(k as string)), case when k % 3 = 0 then {lanes} end, case when k % 3 = 1 then 'Transportation Charges 88.10' end,
       case when k % 2 = 0 then 'Total This Invoice USD $512.00' end, case when k % 5 = 0 then 'Fuel Surcharge 12.34' end)"""
-    documents = t.table("customer").selectExpr("c_custkey k").selectExpr("k doc_id", f"{body} full_text")
-    return tx.invoice_signals(documents)
+    return t.table("customer").selectExpr("c_custkey k").selectExpr("k doc_id", f"{body} full_text")
+
+
+@query(
+    "e18_gated_terms",
+    """with c as (select c_custkey k from customer where c_custkey % 3 <> 2 and c_custkey % 5 < 3)
+ select k doc_id, 'special' kind, 'Document Type' "name", 'Invoice' "value" from c where k % 4 <> 0 union all select k, 'special', 'Invoice Number', 'INV' || k::varchar from c
+ union all select k, 'service', 'Home Lane ' || chr(65 + i::int), 'Total Charges USD 1,0' || i::varchar || '0.50' from c, range(7) r(i) where k % 3 = 0 and not (k % 2 = 1 and i = 1) union all select k, 'service', 'UPS Transportation Charges', 'Transportation Charges 88.10' from c where k % 3 = 1
+ union all select k, 'special', 'Invoice Total', 'USD 512.00' from c where k % 2 = 0 union all select k, 'surcharge', 'Fuel Surcharge', 'Observed amount 12.34' from c where k % 5 = 0
+ union all select c_custkey, 'special', 'document type ', 'known' from customer where c_custkey % 4 = 0 union all select c_custkey, 'service', 'HOME LANE B', 'known' from customer where c_custkey % 2 = 1""",
+)
+def _(t):
+    customers = t.table("customer").selectExpr("c_custkey doc_id")
+    signals = asm.gated_signals(_invoices(t), customers.selectExpr("doc_id", "doc_id % 5 hits"))
+    services = customers.where("doc_id % 2 = 1").selectExpr("doc_id", "'HOME LANE B' service_name", "'known' conditions")
+    specials = customers.where("doc_id % 4 = 0").selectExpr("doc_id", "'document type ' term_name", "'known' term_value")
+    surcharges = customers.where("false").selectExpr("doc_id", "'' name", "'' modification")
+    lists = zip(("service", "surcharge", "special"), asm.with_invoice_signals(services, surcharges, specials, signals))
+    out = None
+    for kind, rows in lists:
+        part = rows.toDF("doc_id", "name", "value").select("doc_id", F.lit(kind).alias("kind"), "name", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 
 
 @query(

@@ -101,6 +101,29 @@ def merge_by_name(known: DataFrame, proposed: DataFrame, name: str, fold_case: b
     return known.unionByName(fresh, allowMissingColumns=True)
 
 
+def gated_signals(documents: DataFrame, hits: DataFrame, least: int = 3) -> DataFrame:
+    """Invoice signals of the documents with fewer than `least` parsed objects (see `deterministic_hits`)."""
+    covered = hits.where(F.col("hits") >= least).select("doc_id")
+    return tx.invoice_signals(documents.join(covered, "doc_id", "left_anti"))
+
+
+def with_invoice_signals(services: DataFrame, surcharges: DataFrame, specials: DataFrame, signals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three term lists of documents with the signals whose names they don't have yet, whatever the case."""
+    of = lambda kind, name, value: signals.where(F.col("kind") == kind).select("doc_id", F.col("name").alias(name), F.col("value").alias(value))
+    return (
+        merge_by_name(services, of("service", "service_name", "conditions"), "service_name", fold_case=True),
+        merge_by_name(surcharges, of("surcharge", "name", "modification"), "name", fold_case=True),
+        merge_by_name(specials, of("special", "term_name", "term_value"), "term_name", fold_case=True),
+    )
+
+
+def amendment_payload(found: DataFrame, services: DataFrame, surcharges: DataFrame, dims: DataFrame) -> DataFrame:
+    """What each amendment changes: the service terms, surcharges and DIM rules of its own document."""
+    body = lambda df, kind: df.select("doc_id", F.lit(kind).alias("kind"), F.to_json(F.struct(*[c for c in df.columns if c != "doc_id"])).alias("term"))
+    terms = body(services, "service_terms").unionByName(body(surcharges, "surcharges")).unionByName(body(dims, "dim_rules"))
+    return found.select("doc_id", "amendment_number").join(terms, "doc_id")
+
+
 def raw_field(raw: Column) -> Column:
     """Value struct of a raw JSON field: objects carry their confidence, bare values get .5,
     null gives an empty value."""

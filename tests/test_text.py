@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarifflume.functions import labels as lb, values as v
-from tarifflume.operators import agreement_text as tx, invoice_text as it, positions as ps, quality as qa, resolve as rs, sections as sc
+from tarifflume.operators import agreement_text as tx, assembly as asm, invoice_text as it, positions as ps, quality as qa, resolve as rs, sections as sc
 from tarifflume.sources import documents as docs
 
 UPS_PAGES = [
@@ -173,3 +173,11 @@ def test_correction_keeps_provenance(spark):
     corr = spark.sql("select 'e' extraction_id, 'metadata.customer_name' field_path, 1 ord, 'ARMOIRE' corrected, 'why' reason, cast(null as string) rationale, 0.95 confidence, cast(null as int) source_page, '' source_text")
     row = qa.apply_corrections(fields, corr).first()
     assert (row["value"], row["original_parser_value"], float(row["confidence"]), row["source_text"], row["was_llm_corrected"]) == ("ARMOIRE", "Armoire LLC", 0.95, "s", True)
+
+
+def test_amendment_payload_holds_the_terms_of_its_document(spark):
+    found = spark.createDataFrame([(1, "A-1"), (3, "A-3")], "doc_id long, amendment_number string")
+    services = spark.createDataFrame([(1, "Ground"), (1, "Air"), (2, "Ground")], "doc_id long, service_name string")
+    dims = spark.createDataFrame([(1, 139.0)], "doc_id long, divisor double")
+    got = {(r["amendment_number"], r["kind"], r["term"]) for r in asm.amendment_payload(found, services, services.where("false"), dims).collect()}
+    assert got == {("A-1", "service_terms", '{"service_name":"Ground"}'), ("A-1", "service_terms", '{"service_name":"Air"}'), ("A-1", "dim_rules", '{"divisor":139.0}')}
