@@ -198,7 +198,7 @@ def _search(groups: DataFrame, n: int, percent: int) -> DataFrame:
     return groups.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, "doc_id long, n_links long, root long")
 
 
-def similar(docs: DataFrame, n: int = 3, percent: int = 90, group_ngrams: int = 4_000_000) -> DataFrame:
+def similar(docs: DataFrame, n: int = 3, percent: int = 90, group_ngrams: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links for each row of `docs`.
 
     Words are runs of other than ASCII white space, A-Z in lower case; a document's set is its
