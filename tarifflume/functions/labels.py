@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # Contract service wording -> canonical name, tried in this order.
@@ -31,6 +33,7 @@ NOT_A_COMPANY = [
     "total amount outstanding",
     "invoice number",
 ]
+# Words of company names.
 COMPANY_MARKERS = ["llc", "inc", "corp", "ltd", "co", "company", "international", "holdings"]
 
 
@@ -107,13 +110,19 @@ def weight_range(text: Column) -> Column:
     )
 
 
+# Patterns of spoiled company names, in order, and what takes their place.
+COMPANY_SPACING = [
+    (r"(?i)^UPSHC[-_]", ""),
+    (r"(?<=[a-z])(?=[A-Z])", " "),
+    (r"(?<=[a-zA-Z])(LLC|INC|CORP|LTD|CO|LP)\b", " $1"),
+    (r"(?<=[a-zA-Z])(Inc|Corp|Ltd)\.", " $1."),
+    (r"\s{2,}", " "),
+]
+
+
 def clean_company(name: Column) -> Column:
     """Company name with the spaces that page text loses: camel case and glued suffixes."""
-    out = F.regexp_replace(name, r"(?i)^UPSHC[-_]", "")
-    out = F.regexp_replace(out, r"(?<=[a-z])(?=[A-Z])", " ")
-    out = F.regexp_replace(out, r"(?<=[a-zA-Z])(LLC|INC|CORP|LTD|CO|LP)\b", " $1")
-    out = F.regexp_replace(out, r"(?<=[a-zA-Z])(Inc|Corp|Ltd)\.", " $1.")
-    return F.trim(F.regexp_replace(out, r"\s{2,}", " "))
+    return F.trim(reduce(lambda text, rule: F.regexp_replace(text, *rule), COMPANY_SPACING, name))
 
 
 def valid_company(name: Column) -> Column:
@@ -143,6 +152,7 @@ def section_header(text: Column) -> Column:
     """First line that looks like a section header."""
     trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
     lines = F.transform(F.split(trimmed, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    # Wording of headers.
     header = lambda x: (
         x.rlike(r"(?i)^(SECTION|ARTICLE|PART|SCHEDULE|EXHIBIT|APPENDIX|AMENDMENT)\s") | x.rlike(r"^\d+\.\s+[A-Z]") | x.rlike(r"^[A-Z][A-Z\s]{5,}$")
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# A percentage.
 PERCENT = r"(\d+(?:\.\d+)?)\s*%"
 TABLE_KEY = ["doc_id", "page_number", "table_ord"]
 
@@ -23,6 +24,7 @@ SERVICE_HEADINGS = [
     r"UPS\s+(?:Ground|Next\s+Day\s+Air|2nd\s+Day\s+Air|3\s+Day\s+Select)(?:\s+(?:Saver|A\.M\.)?)?(?:\s+(?:Letter|Package))?",
 ]
 SERVICE_HEADING = r"(?m)^(" + "|".join(SERVICE_HEADINGS) + r")\s*$"
+# Words of lines that name no service.
 NOT_A_SERVICE = ["term ", "agreement", "version", "proposal", "pricing", "supersedes", "discounts and"]
 
 

@@ -47,6 +47,7 @@ def match_spans(text: Column, pattern: str) -> Column:
     return F.aggregate(matches, start, step)["all"]
 
 
+# Wording of incentives and dimensional terms.
 INCENTIVE = r"(?i)(UPS[^\n]*?)-\s*Incentives?\s*Off\s*Effective\s*Rates\s*-?\s*(\d+(?:\.\d+)?)\s*%"
 DIM_DIVISOR = r"(?i)Custom\s*Dimensional\s*Weight\s*Divisor\s*[:\s]*(\d+)"
 CUBIC_THRESHOLD = r"(?i)Custom\s*Cubic\s*Inch\s*Threshold\s*[:\s]*(\d+)"
@@ -143,6 +144,7 @@ def text_pricing(pages: DataFrame) -> DataFrame:
 
 def provisions(pages: DataFrame) -> DataFrame:
     """Money-back waiver, unexpected volume and payment days of page text."""
+    # Wording of provisions.
     money = r"(?is)Money\s*[-\s]?Back\s+Guarantee\.\s*(.+?)(?:\n[A-Z]|\n\n)"
     volume = r"(?is)Unexpected\s+International\s+Volume\.\s*(.+?)(?:\n[A-Z][a-z]|\n\n)"
     due = r"(?i)(Payment\s+Terms?\.\s*Payment\s+is\s+due\s+within\s+(?:the\s+following\s+number\s+of\s+days|\d+\s+days))"
@@ -178,12 +180,14 @@ def likely_non_contract(text: Column) -> Column:
     return _contains_any(head, other) & ~_contains_any(head, ["pricing agreement", "carrier agreement", "service terms", "surcharge", "fedex", "ups"])
 
 
+# A service total of an invoice.
 SERVICE_TOTAL = r"(?i)([A-Za-z][A-Za-z &/\-]{3,80}?)\s+Total Charges\s+USD\s+\$?([\d,]+(?:\.\d{2})?)"
 
 
 def invoice_signals(documents: DataFrame) -> DataFrame:
     """Rows (kind, name, value) an invoice shows: type, number, services, totals, fuel."""
     t = F.col("full_text")
+    # Wording of invoices.
     number, total = r"(?i)Invoice Number\s+([A-Z0-9\-]+)", r"(?i)TOTAL\s+THIS\s+INVOICE\s+USD\s+\$?([\d,]+(?:\.\d{2})?)"
     fuel, transport = r"(?i)Fuel Surcharge\s+([\d,]+(?:\.\d{2})?)", r"(?i)Transportation Charges\s+([\d,]+(?:\.\d{2})?)"
     grab = lambda p, prefix="": F.when(t.rlike(p), F.concat(F.lit(prefix), F.regexp_extract(t, p, 1)))
@@ -378,6 +382,7 @@ def metadata(documents: DataFrame) -> DataFrame:
         "effective_date", F.coalesce("effective_date", F.when(F.col("carrier.value") == "UPS", F.col("procedural")))
     ).withColumn("parseable", F.coalesce(lb.dated(F.col("effective_date.value")), F.lit(False)))
     eff = F.col("effective_date.value")
+    # The text of a provisional start.
     note = (
         "Provisional term_start: same as Effective Date because the text references an external document for the full term; "
         "term_end intentionally left unset. Review required."
@@ -416,6 +421,7 @@ def metadata_rows(wide: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- amendments
 
+# Wording of amendments.
 AMENDMENT_TITLE = r"(?i)((?:FedEx|UPS)?\s*(?:Transportation\s+Services\s+)?Agreement\s+Amendment)"
 AMENDMENT_NUMBER = r"(?i)Agreement\s*Number\(?s?\)?\s*[:\-]?\s*([\d\-]+)"
 SUPERSEDES = [r"(?i)(?:supersedes|replaces)\s+(?:Pricing\s+Proposal\s+)?(?:Version\s+)?(\d+)", r"(?i)supersedes\s+all\s+prior\s+(.+?)\s+pricing"]

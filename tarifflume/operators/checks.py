@@ -26,7 +26,7 @@ from tarifflume.sources.reference import (
 OVER, UNDER = "overcharge", "undercharge"
 UNSUPPORTED, MISSING, AMBIGUOUS = "unsupported_fee", "missing_discount", "ambiguous_needs_review"
 
-# check -> (order in the run, field, confidence, reason)
+# Check -> (order in the run, field, confidence, reason)
 CHECKS: dict[str, tuple[int, str, float, str]] = {
     "duplicate": (0, "duplicate_charge", 0.9, "Potential duplicate invoice line."),
     "guarantee": (1, "gsr_late_delivery", 0.9, "Late delivery qualifies for money-back guarantee refund."),

@@ -88,7 +88,7 @@ def _any(text: Column, words: list[str]) -> Column:
 def detect_vendor(documents: DataFrame) -> DataFrame:
     """Best of four additive keyword scores (the earlier vendor wins ties) with its signals."""
     t = F.col("t")
-    # vendor -> (shown name, [(test, weight, signal)])
+    # Vendor -> (shown name, [(test, weight, signal)])
     scorers = {
         "fedex": ("FedEx", [
             (_any(t, ["fedex", "federal express"]), "0.6", "keyword:fedex"),
