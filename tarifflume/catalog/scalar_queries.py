@@ -148,7 +148,13 @@ def _(t):
 _COMPANIES = ["ArmoireLLC", "UPSHC_GlobexInc.", "Do not pay this bill Inc", "the long way", "Nine words are far too many for one name", "Blue Bird", "Acme (west)", "Delta Holdings of the World", "AB", "invoice number 5 LLC"]
 
 
-@query("f17_clean_company")
+@query(
+    "f17_clean_company",
+    f"""with c as (select c_custkey k, {_pick_sql(_COMPANIES, 'c_custkey')} || ' ' || c_mktsegment s from customer),
+ a as (select k, regexp_replace(s, '^UPSHC[-_]', '', 'i') s from c), b as (select k, regexp_replace(s, '([a-z])([A-Z])', '\\1 \\2', 'g') s from a),
+ d as (select k, regexp_replace(s, '([a-zA-Z])(LLC|INC|CORP|LTD|CO|LP)\\b', '\\1 \\2', 'g') s from b), e as (select k, regexp_replace(s, '([a-zA-Z])(Inc|Corp|Ltd)\\.', '\\1 \\2.', 'g') s from d)
+ select k, trim(regexp_replace(s, '\\s{{2,}}', ' ', 'g')) company from e""",
+)
 def _(t):
     rows = t.table("customer").selectExpr("c_custkey k", f"concat({_pick(_COMPANIES, 'c_custkey')}, ' ', c_mktsegment) raw")
     return rows.select("k", lb.clean_company(F.col("raw")).alias("company"))
@@ -226,7 +232,12 @@ def _(t):
     return t.table("customer").withColumn("x", lb.path_parts(F.expr(path))).select(F.col("c_custkey").alias("k"), "x.entity", "x.ord", "x.field")
 
 
-@query("f35_dated_text")
+@query(
+    "f35_dated_text",
+    r"""with t as (select o_orderkey k, case o_orderkey % 4 when 0 then 'as of ' || strftime(o_orderdate::date, '%B %-d, %Y') when 1 then 'Monday after signing' when 2 then '13/45/2024' else strftime(o_orderdate::date, '%-m/%-d/%Y') end s from orders),
+ w as (select k, regexp_extract(s, '(?i)((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{4}-\d{2}-\d{2})', 1) d from t)
+ select k, d <> '' and coalesce(try_strptime(d, '%m/%d/%Y'), try_strptime(d, '%d/%m/%Y'), try_strptime(d, '%Y-%m-%d'), try_strptime(replace(d, ',', ''), '%B %d %Y')) is not null parseable from w""",
+)
 def _(t):
     text = "case o_orderkey % 4 when 0 then concat('as of ', date_format(o_orderdate, 'MMMM d, yyyy')) when 1 then 'Monday after signing' when 2 then '13/45/2024' else date_format(o_orderdate, 'M/d/yyyy') end"
     return t.table("orders").select(F.col("o_orderkey").alias("k"), lb.dated(F.expr(text)).alias("parseable"))
