@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -71,8 +72,10 @@ def released(spark: SparkSession, *done: DataFrame) -> None:
     """Deletes staged rows that are no longer needed, and lets Spark's cleaner drop old shuffle files."""
     for df in done:
         remove(spark, df._staged_path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # references of Python go with the first round, those of the JVM with the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 # --- words and their hashes -------------------------------------------------------------

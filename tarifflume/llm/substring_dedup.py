@@ -83,7 +83,7 @@ def _anchor_rows(docs: DataFrame, length: int, places: bool) -> DataFrame:
 
 
 def _spans(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """key, span, doc_id, version, start for each run."""
+    """key, run, doc_id, version and the words of the span for each run."""
 
     def build(batches):
         for batch in batches:
@@ -92,13 +92,14 @@ def _spans(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
                 words = _WORD.findall(text)
                 for run, key in zip(own, keys, strict=True):
                     start = run >> 16
-                    rows.append((key, " ".join(words[start : start + (run & 65535) - 1 + length]), doc_id, version, start))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64()]
+                    rows.append((key, run, doc_id, version, " ".join(words[start : start + (run & 65535) - 1 + length])))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "span", "doc_id", "version", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "run", "doc_id", "version", "span"])
 
     per_doc = runs.groupBy("doc_id", "version").agg(F.collect_list("run").alias("runs"), F.collect_list("key").alias("keys"))
-    return docs.join(per_doc, ["doc_id", "version"]).mapInArrow(build, "key long, span string, doc_id long, version int, start long")
+    rows = docs.join(per_doc, ["doc_id", "version"]).mapInArrow(build, "key long, run long, doc_id long, version int, span string")
+    return rows.withColumns({"h1": F.xxhash64("span"), "h2": F.xxhash64(F.lit(1), "span")})
 
 
 def deep_nodes(spans: list[list[str]], length: int) -> list[list[tuple[int, int]]]:
@@ -170,20 +171,24 @@ def repeated_windows(docs: DataFrame, length: int, group_spans: int = 20_000) ->
     released(spark)
     runs = staged(_anchor_rows(texts, length, True).join(shared, "key", "left_semi"), "runs")
     released(spark, shared)
-    spans = _spans(texts, runs, length).withColumns({"h1": F.xxhash64("span"), "h2": F.xxhash64(F.lit(1), "span")})
-    spans = staged(spans, "spans")
+    spans = staged(_spans(texts, runs, length).drop("span"), "spans")
     released(spark, runs)
-    distinct = staged(spans.groupBy("key", "h1", "h2", "span").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "leaves")
+    place = F.min(F.struct("doc_id", "version", "run")).alias("place")
+    distinct = staged(spans.groupBy("key", "h1", "h2").agg(place, F.max("doc_id").alias("high")), "leaves")
     released(spark)
-    groups = distinct.groupBy("key").agg(F.count("*").alias("n"), F.min("low").alias("from"), F.max("high").alias("to")).where("from < to")
-    leaves = distinct.join(groups.select("key", "n"), "key")
-    alone = leaves.where("n = 1").select("h1", "h2", F.array_repeat("low", F.size(F.split("span", " ")) - (length - 1)).alias("firsts"))
-    some = _subtrees(leaves.where(f"n between 2 and {group_spans}"), length)
-    many = _long_prefixes(leaves.where(f"n > {group_spans}"), length)
-    firsts = staged(alone.unionByName(some).unionByName(many), "nodes")
+    groups = distinct.groupBy("key").agg(F.count("*").alias("n"), F.min("place.doc_id").alias("from"), F.max("high").alias("to")).where("from < to")
+    leaves = staged(distinct.join(groups.select("key", "n"), "key").select("key", "n", "h1", "h2", "place.*"), "leaves")
     released(spark, distinct)
-    starts = F.filter(F.transform("firsts", lambda low, i: F.when(low < F.col("doc_id"), F.col("start") + i)), lambda s: s.isNotNull())
-    hits = spans.select("h1", "h2", "doc_id", "version", "start").join(firsts, ["h1", "h2"]).select("doc_id", "version", starts.alias("own")).where(F.size("own") > 0)
+    alone = leaves.where("n = 1").select("h1", "h2", F.array_repeat("doc_id", F.col("run").bitwiseAND(65535).cast("int")).alias("firsts"))
+    # words only of leaves that are not alone, from the first document of each
+    worded = lambda which: _spans(texts, leaves.where(which).select("doc_id", "version", "run", "key"), length).withColumn("low", F.col("doc_id"))
+    some = _subtrees(worded(f"n between 2 and {group_spans}"), length)
+    many = _long_prefixes(worded(f"n > {group_spans}"), length)
+    firsts = staged(alone.unionByName(some).unionByName(many), "nodes")
+    released(spark, leaves)
+    start = F.shiftright("run", 16)
+    starts = F.filter(F.transform("firsts", lambda low, i: F.when(low < F.col("doc_id"), start + i)), lambda s: s.isNotNull())
+    hits = spans.select("h1", "h2", "doc_id", "version", "run").join(firsts, ["h1", "h2"]).select("doc_id", "version", starts.alias("own")).where(F.size("own") > 0)
     return hits.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("own")).alias("starts"))
 
 
