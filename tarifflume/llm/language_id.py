@@ -4,6 +4,10 @@ The kernel of two texts is the number of byte n-grams (of `LENGTHS`, blended) pr
 over the root of the product of their numbers. A Nyström map through landmark texts turns it into
 a few hundred features; one-versus-rest kernel ridge regression on them gives a score for each
 language. A batch of texts is scored by two matrix products: presence x landmarks, then weights.
+
+The scores compare languages with each other: over C languages their regression values sum to 2 - C
+for any text, so some language always has 1/C or more. Whether a text is in the winner's language
+at all is told by its n-grams: how many of them several labelled texts of that language hold too.
 """
 
 from __future__ import annotations
@@ -19,6 +23,11 @@ from tarifflume.llm.common import ship, slices
 
 #: Lengths of the n-grams, and log2 of the places that they are hashed to.
 LENGTHS, PLACES = (1, 2, 3, 4), 14
+#: Share of a language's labelled texts, and number, that make an n-gram one of the language.
+COMMON, SEVERAL = 0.005, 2
+#: A text is rejected under `NEAR` (with the n-grams of all languages, `NEAR_ALL`) of what all but
+#: `STRAY` of the winner's labelled texts reach.
+NEAR, NEAR_ALL, STRAY = 0.6, 0.85, 0.05
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 0x20
@@ -55,6 +64,8 @@ class Model:
     roots: np.ndarray  # root of each landmark's number of n-grams
     weights: np.ndarray  # landmarks x classes
     bias: np.ndarray
+    common: np.ndarray  # classes x places: whether the n-gram is one of the language
+    usual: np.ndarray  # by class, the affinity that its labelled texts have at least; -inf if they share nothing
 
     def kernel(self, there: np.ndarray) -> np.ndarray:
         x = there.astype(np.float32)
@@ -68,6 +79,42 @@ class Model:
     def scores(self, there: np.ndarray) -> np.ndarray:
         return self.kernel(there) @ self.weights + self.bias
 
+    def rejects(self, there: np.ndarray, winner: np.ndarray) -> np.ndarray:
+        """Whether each text is too far from the language that won, and from all of them together (as texts in two are not)."""
+        usual = self.usual[winner]
+        return (affinity(there, self.common[winner]) < NEAR * usual) & (affinity(there, self.common.any(0)) < NEAR_ALL * usual)
+
+
+def affinity(there: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The share of a text's n-grams that are in `common`, beyond chance: 1 if all are, about 0 for n-grams at random.
+
+    It does not fall with the length of a text, as the kernel's values do. `common` has a row for each text, or one row.
+    """
+    chance = np.minimum(common.mean(-1), 0.99)
+    return ((there & common).sum(1) / np.maximum(there.sum(1), 1) - chance) / (1 - chance)
+
+
+def ranges(bits: np.ndarray, of: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """`common` and `usual` of the classes: each labelled text is measured by the others of its language.
+
+    A language whose texts share nothing, as one with a single text, rejects nothing.
+    """
+    common, usual = np.zeros((n_classes, bits.shape[1] * 8), bool), np.full(n_classes, -np.inf)
+    for c in range(n_classes):
+        own = bits[of == c]
+        parts = [own[a : a + 128] for a in range(0, len(own), 128)]
+        counts = sum(np.unpackbits(part, axis=1).sum(0, dtype=np.int64) for part in parts)
+        needed = lambda n: max(SEVERAL, int(np.ceil(COMMON * n)))
+        common[c] = counts >= needed(len(own))
+        values = []
+        for part in parts:
+            there = np.unpackbits(part, axis=1).astype(bool)
+            values.append(affinity(there, counts - there >= needed(len(own) - 1)))
+        low = np.quantile(np.concatenate(values), STRAY)
+        if low > 0:
+            usual[c] = low
+    return common, usual
+
 
 def fit(bits: np.ndarray, langs: list[str], n_landmarks: int = 256, ridge: float = 1e-3) -> Model:
     """Rows of presence, packed to bits, and their languages. Landmarks are dealt evenly over the languages."""
@@ -79,7 +126,7 @@ def fit(bits: np.ndarray, langs: list[str], n_landmarks: int = 256, ridge: float
     marks = np.lexsort((of, turn))[:n_landmarks]
     chosen = np.unpackbits(bits[marks], axis=1).astype(np.float32)
     roots = np.sqrt(np.maximum(chosen.sum(1), 1)).astype(np.float32)
-    model = Model(classes, np.ascontiguousarray(chosen.T), roots, np.zeros((len(marks), len(classes)), np.float32), np.zeros(len(classes), np.float32))
+    model = Model(classes, np.ascontiguousarray(chosen.T), roots, np.zeros((len(marks), len(classes)), np.float32), np.zeros(len(classes), np.float32), *ranges(bits, of, len(classes)))
     values, vectors = np.linalg.eigh(model.kernel_of(bits[marks]).astype(np.float64))
     kept = values > 1e-6 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
@@ -156,10 +203,11 @@ def held_out() -> Column:
 
 
 def with_language(docs: DataFrame, model: Model | None, min_score: float = 0.25) -> DataFrame:
-    """The rows of `docs`, all columns, but for those that `identify` calls `und` or scores under `min_score`.
+    """The rows of `docs`, all columns, but for those that `identify` calls `und`, that are in no known language
+    (`Model.rejects`), or that score under `min_score`.
 
-    At 0.25 no language has a regression value above -0.5: none is likely. Short clean texts lie
-    well above. Where there is no model, only texts without letters go.
+    The score of the best of C languages is never under 1/C, so with four or fewer only a greater
+    `min_score` than 0.25 rejects anything. Where there is no model, only texts without letters go.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -173,7 +221,9 @@ def with_language(docs: DataFrame, model: Model | None, min_score: float = 0.25)
             kept = np.array([has_letters(t) for t in texts.to_pylist()], bool)
             for a, b, data, bounds in slices(texts):
                 if own is not None:
-                    kept[a:b] &= np.clip((own.scores(presence(data, bounds)).max(1) + 1) / 2, 0, 1) >= min_score
+                    there = presence(data, bounds)
+                    found = own.scores(there)
+                    kept[a:b] &= (np.clip((found.max(1) + 1) / 2, 0, 1) >= min_score) & ~own.rejects(there, found.argmax(1))
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

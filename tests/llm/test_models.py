@@ -1,3 +1,4 @@
+import base64
 import random
 import re
 import zlib
@@ -79,6 +80,33 @@ def test_languages_of_held_out_texts(spark):
     assert language_id.with_language(docs, model).columns == docs.columns
 
 
+def unknown_texts(rng):
+    """Texts in no language of the tests: foreign scripts, letters at random, base64."""
+    letters = ["абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x5600))), "bcdefghijklmnopqrstuvwxyzBCDEFGHJKLMNPQRSTUVWXYZ"]
+    texts = [" ".join("".join(rng.choices(a, k=rng.randint(3, 9))) for _ in range(n)) for a in letters for n in (12, 60, 3000)]
+    return texts + [base64.b64encode(rng.randbytes(n)).decode() for n in (300, 5000)]
+
+
+def test_texts_in_no_known_language_are_rejected(spark, make_docs):
+    rng = random.Random(9)
+    parts = {"aa": ["ka", "to", "mi", "ru", "shi", "no"], "bb": ["sch", "ein", "ung", "ver", "ich", "mit"], "cc": ["é", "eau", "ou", "tion", "que", "la"]}
+    text = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 3))) for _ in range(n))
+    known = [text(lang, n) for lang in parts for n in (1, 2, 3, 10, 100, 20000)] + [text("aa", 50) + " " + text("cc", 50)]
+    unknown = unknown_texts(rng)
+    for labelled in (["aa", "bb", "cc"], ["aa"]):
+        rows = [(k, text(lang, rng.randint(3, 60)), lang) for k in range(200) for lang in [rng.choice(labelled)]]
+        rows.append((200, unknown[0], "aa"))  # one wrong label teaches nothing
+        model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=300, n_landmarks=40)
+        right = known if len(labelled) == 3 else known[:6]
+        kept = [r["doc_id"] for r in language_id.with_language(make_docs(right + unknown), model).collect()]
+        assert sorted(kept) == list(range(len(right)))
+
+
+def test_one_labelled_text_rejects_nothing(spark, make_docs):
+    docs = make_docs(["some words", "other text", "αβγ"])
+    assert language_id.with_language(docs, language_id.train(docs.limit(1))).count() == 3
+
+
 def test_no_labelled_rows_no_model(spark, make_docs):
     docs = make_docs(["some words", None]).withColumn("lang", F.lit(None).cast("string"))
     assert language_id.train(docs) is None

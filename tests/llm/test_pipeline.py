@@ -1,6 +1,7 @@
 import random
 
 import brute
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarifflume.llm.queries import ORACLE, QUERIES
@@ -40,3 +41,14 @@ def test_stages_against_brute_force(spark, make_docs, tmp_path):
     assert 11 not in expected and 14 not in expected and len(expected[13].split()) == 60
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(expected)
+
+
+def test_pipeline_without_texts_in_no_known_language(spark, make_docs, tmp_path):
+    rng = random.Random(12)
+    words = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(n))
+    known = [words("aeiourstlnm", n) for n in [2, 3, 5] + [rng.randint(20, 200) for _ in range(57)]]
+    unknown = [words(a, n) for a in ("абвгдежзийклмнопрстуф", "αβγδεζηθικλμνξοπ", "bcdfghjkpqvwxyz") for n in (20, 400)]
+    docs = make_docs(known + unknown).withColumn("lang", F.when(F.col("doc_id") < len(known), F.col("lang")))
+    name, stage = corpus_pipeline.STAGES[0]
+    stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / name)).collect()) == list(range(len(known)))
