@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifflume.llm import ann, decontaminate, html_text, language_id, ngram_join, packing, sharding, substring_dedup, token_counts, token_files
+from tarifflume.llm import ann, decontaminate, html_text, language_id, ngram_join, packing, retrieval_packing, sharding, substring_dedup, token_counts, token_files
 from tarifflume.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing.pack(table(spark, sf_dir, "documents"))
+
+
 ORACLE["op10_decontamination"] = r"""
 with cut as (
     select 'd' as kind, doc_id as id, list_filter(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F\x{80}-\x{A9}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{2000}-\x{203F}]+'), lambda x: x <> '') as w from documents where doc_id is not null
