@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifflume.llm import ann, decontaminate, html_text, language_id, ngram_join, packing, retrieval_packing, sharding, substring_dedup, token_counts, token_files
+from tarifflume.llm import ann, decontaminate, html_text, language_id, lexical_search, ngram_join, packing, retrieval_packing, sharding, substring_dedup, token_counts, token_files
 from tarifflume.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing.pack(table(spark, sf_dir, "documents"))
@@ -121,3 +126,20 @@ select doc_id, len(s) as n_shingles, least(doc_id, coalesce((select min(b) from
     (select count(*) from link where a = doc_id) as n_links
 from sets
 """
+
+ORACLE["op11_lexical_search"] = r"""
+with cut as (
+    select kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+    from (select 'd' as kind, doc_id as id, text from documents where text is not null union all select 'i', item_id, text from benchmark where text is not null)),
+docs as (select id, len(w) as n from cut where kind = 'd' and len(w) > 0),
+total as (select count(*) as n_docs, sum(n)::bigint as n_terms from docs),
+posting as (select kind, id, term, count(*) as tf from (select kind, id, unnest(w) as term from cut) group by all),
+weight as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint as weight from posting, total where kind = 'd' group by term),
+scored as (
+    select i.id as item_id, d.id as doc_id, sum(i.tf * weight * ((1000000000 * d.tf) // (1000 * d.tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint as score
+    from posting i join posting d on i.kind = 'i' and d.kind = 'd' and i.term = d.term join weight on weight.term = d.term join docs on docs.id = d.id, total
+    group by i.id, d.id)
+select item_id, rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scored where score > 0)
+where rank <= 20
+"""
