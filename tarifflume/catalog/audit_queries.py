@@ -33,7 +33,7 @@ DUP = """select *, 'overcharge' kind, cast(0 as decimal(18,4)) expected, total_b
   select *, row_number() over (partition by agreement_id, trim(tracking_number), ship_date order by {seq}) k from line
   where trim(tracking_number) <> '' and lower(trim(tracking_number)) <> 'unknown') where k > 1 and total_billed > 0""".format(seq=ov.SEQ)
 
-GSR = """select j.*, 'overcharge' kind, cast(0 as decimal(18,4)) expected, total_billed billed, cast(total_billed as decimal(18,2)) impact
+GSR = """select j.*, due.d promised, c.by_time, 'overcharge' kind, cast(0 as decimal(18,4)) expected, total_billed billed, cast(total_billed as decimal(18,2)) impact
 from j join commitment c using (service_code)
 join lateral (select count(*) k from workday w where w.d <= j.ship_date) before on true
 join workday due on due.n = before.k + c.n
@@ -78,7 +78,7 @@ from (select *, greatest(actual_weight_lbs, cast(dimlb as decimal(18,4)), case w
 where abs(rated_weight_lbs - expected) >= 0.5"""
 
 FUEL = """select *, 'overcharge' kind, fuel_surcharge_billed billed, fuel_surcharge_billed - expected impact
-from (select k.*, cast(round(cast((case when ag_carrier = 'fedex' then net_transport_charge else published_charge end) as decimal(14,4))
+from (select k.*, r.pct rate, case when fuel_exp is not null and ship_date > fuel_exp then 0 else fuel_pct end in_force, cast(round(cast((case when ag_carrier = 'fedex' then net_transport_charge else published_charge end) as decimal(14,4))
      * (r.pct * (100 - case when fuel_exp is not null and ship_date > fuel_exp then 0 else fuel_pct end)) * 0.0001, 2) as decimal(18,4)) expected
   from (select *, case when service_group in ('ground','home_delivery','ground_saver') then 'ground' when ag_carrier = 'ups' then 'air' else 'express' end class from j) k
   asof join fuel_rate r on r.carrier = k.ag_carrier and r.class = k.class and k.ship_date >= r.week_start where fuel_pct is not null)
@@ -174,8 +174,8 @@ def _(t):
     " cast(l_quantity as decimal(14,4)) q, cast(cast(l_tax as decimal(4,2)) + 1 as decimal(14,4)) r, cast(l_discount as decimal(4,2)) disc from lineitem),"
     " t as (select s_suppkey agreement_id, cast(case when s_suppkey % 4 <> 3 then 1.02 + 0.01 * (s_suppkey % 3) end as decimal(14,4)) rate, case when s_suppkey % 5 <> 0 then 'pallet' end su from supplier),"
     " j as (select *, cast(q * r * (1 - disc) as decimal(18,4)) amt from l join t using (agreement_id) where lower(trim(cat)) = 'storage')"
-    " select line_id, 'storage_rate' field, case when r > rate then 'overcharge' else 'undercharge' end kind, cast(round(amt - q * rate, 2) as double) impact, cast(round(q * rate, 2) as double) expected from j where abs(r - rate) > 0.01"
-    " union all select line_id, 'storage_unit', 'ambiguous_needs_review', 0.0, null from j where su is not null and unit <> su",
+    " select line_id, 'storage_rate' field, case when r > rate then 'overcharge' else 'undercharge' end kind, cast(round(amt - q * rate, 2) as double) impact, cast(round(q * rate, 2) as double) expected, '3PL storage billed rate differs from contract rate.' explanation from j where abs(r - rate) > 0.01"
+    " union all select line_id, 'storage_unit', 'ambiguous_needs_review', 0.0, null, 'Storage billed as ' || unit || ', contract expects ' || su || '.' from j where su is not null and unit <> su",
 )
 def _(t):
     lines = t.table("lineitem").selectExpr(
@@ -188,20 +188,44 @@ def _(t):
         "s_suppkey agreement_id", "cast(case when s_suppkey % 4 <> 3 then 1.02 + 0.01 * (s_suppkey % 3) end as decimal(18,4)) storage_rate", "case when s_suppkey % 5 <> 0 then 'pallet' end storage_unit"
     )
     return ck.storage_findings(lines, terms).selectExpr(
-        "line_id", "field", "discrepancy_type kind", "cast(dollar_impact as double) impact", "cast(expected_amount as double) expected"
+        "line_id", "field", "discrepancy_type kind", "cast(dollar_impact as double) impact", "cast(expected_amount as double) expected", "explanation"
     )
 
 
 # ---------------------------------------------------------------- rollups
 
-_F = "agreement_id, line_id, tracking_number, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, kind, impact"
-_ORDERED = [("guarantee", 1, "gsr_late_delivery"), ("earned", 2, "earned_discount"), ("dim", 3, "rated_weight_lbs"), ("fuel", 4, "fuel_surcharge"),
-            ("minimum", 5, "minimum_net_charge"), ("residential", 6, "residential_surcharge"), ("handling", 7, "ahs_surcharge"),
-            ("large", 8, "large_package_surcharge"), ("address", 9, "address_correction"), ("area", 10, "das_surcharge")]
+_F = "agreement_id, line_id, tracking_number, service_or_charge_type, ship_date, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, kind, expected, billed, impact"
+_CENTS = "cast(cast({} as decimal(18,2)) as varchar)"
+_E, _B = _CENTS.format("expected"), _CENTS.format("billed")
+_FLOAT = "cast(cast({} as double) as varchar)"
+_DIMS = [_FLOAT.format(c) for c in ("length", "width", "height")]
+_TENTHS = "cast(cast(round({}, 1) as decimal(18,1)) as varchar)"
+# (check, order in the run, field, reason, explanation)
+_ORDERED = [
+    ("guarantee", 1, "gsr_late_delivery", "'Late delivery qualifies for money-back guarantee refund.'",
+     f"'GSR eligible: promised ' || promised::varchar || ' by ' || coalesce(by_time::varchar, 'EOD') || ', delivered ' || strftime(delivered, '%Y-%m-%d %H:%M:%S') || '. Full refund of $' || {_B} || ' eligible.'"),
+    ("earned", 2, "earned_discount", "case when layered then 'Billed net charge exceeds expected after applying all contract discount layers.' else 'Applied earned discount does not match expected tier.' end",
+     f"case when layered then 'Published $' || {_CENTS.format('published_charge')} || ' × contract multi-layer discount (' || {_TENTHS.format('cast(100 - (100 - base_pct) * (100 - tpct) * 0.01 as decimal(18,8))')} || '% effective) = expected $' || {_E} || ', billed $' || {_B}"
+     f" else 'Rolling revenue $' || format('{{:,.0f}}', rolling) || ' -> tier expects ' || {_TENTHS.format('pct')} || '%, applied ' || {_TENTHS.format('cast(applied * 100 / gross as decimal(18,8))')} || '% ($' || {_B} || ' vs $' || {_E} || ')' end"),
+    ("dim", 3, "rated_weight_lbs", "'Rated weight differs from contract-based DIM expectation.'",
+     f"'DIM divisor ' || divisor || ': ceil(' || {_DIMS[0]} || ')×ceil(' || {_DIMS[1]} || ')×ceil(' || {_DIMS[2]} || ')/' || divisor || ' = ' || dimlb || ' lb DIM, rated ' || {_FLOAT.format('expected')} || ' lb, billed ' || {_FLOAT.format('billed')} || ' lb'"),
+    ("fuel", 4, "fuel_surcharge", "'Fuel surcharge does not match weekly table and contracted discount.'",
+     f"'Published rate ' || {_FLOAT.format('rate')} || '% - ' || {_FLOAT.format('in_force')} || '% contracted discount = ' || cast(cast(round(cast(rate * (100 - in_force) * 0.01 as decimal(18,8)), 3) as decimal(18,3)) as varchar) || '% effective. Base: $' || {_CENTS.format("case when ag_carrier = 'fedex' then net_transport_charge else published_charge end")} || '. Expected: $' || {_E} || ', Billed: $' || {_B}"),
+    ("minimum", 5, "minimum_net_charge", "'Published MNC appears used instead of contracted MNC.'", f"'Contract MNC $' || {_E} || ' but published default $' || {_CENTS.format('published')} || ' applied'"),
+    ("residential", 6, "residential_surcharge", "case when is_residential = false then 'Residential fee should not apply to commercial address.' else 'Residential surcharge does not match flat override.' end",
+     f"case when is_residential = false then 'Residential surcharge applied to commercial address' else 'Contract specifies flat residential fee of $' || {_E} || ', billed $' || {_B} end"),
+    ("handling", 7, "ahs_surcharge", "'AHS fee appears unsupported by package dimensions/weight.'",
+     f"'AHS charged but package dims ' || {_DIMS[0]} || 'x' || {_DIMS[1]} || 'x' || {_DIMS[2]} || ' and weight ' || {_FLOAT.format('actual_weight_lbs')} || ' lbs do not meet ' || upper(ag_carrier) || ' AHS criteria'"),
+    ("large", 8, "large_package_surcharge", "'Large package fee appears unsupported by dimension thresholds.'",
+     "'Large Package Surcharge charged but dims ' || cast(ceil(length) as int) || 'x' || cast(ceil(width) as int) || 'x' || cast(ceil(height) as int) || ' do not meet ' || upper(ag_carrier) || ' large package threshold'"),
+    ("address", 9, "address_correction", "'Address correction fee does not match contract override.'", f"'Contract address correction fee: $' || {_E} || ', billed: $' || {_B}"),
+    ("area", 10, "das_surcharge", "'DAS billed on ZIP not present in carrier DAS mapping.'", "'ZIP ' || destination_zip || ' is not on ' || upper(ag_carrier) || ' DAS list but DAS was charged'"),
+]
+_AGAIN = "'Tracking number ' || tracking_number || ' billed more than once on ' || ship_date::varchar"
 FINDINGS = (
     ", ".join(["with " + ov.LINES, ov.AGREEMENTS, JOINED, ov.SUSPENSION, ov.CALENDAR, ov.COMMITMENTS, REVENUE, ov.FUEL, ov.ZIPS])
-    + f", allf as (select {_F}, 0 ord, 'duplicate_charge' field from ({DUP.replace('from line' + chr(10), 'from j' + chr(10))})"
-    + "".join(f" union all select {_F}, {o}, '{field}' from ({LINE_SQL[c][1]})" for c, o, field in _ORDERED)
+    + f", allf as (select {_F}, 0 ord, 'duplicate_charge' field, 'Potential duplicate invoice line.' why, {_AGAIN} basis from ({DUP.replace('from line' + chr(10), 'from j' + chr(10))})"
+    + "".join(f" union all select {_F}, {o}, '{field}', {why}, {basis} from ({LINE_SQL[c][1]})" for c, o, field, why, basis in _ORDERED)
     + f"), ded as (select * from (select *, row_number() over (partition by agreement_id, line_id, field order by (ord > 0)::int, {ov.SEQ}, ord) rn from allf) where rn = 1)"
 )
 
@@ -216,11 +240,11 @@ def _(t):
     return ck.rolling_revenue(t.invoice_line, t.approved).selectExpr("agreement_id", "cast(rolling_revenue as double) rolling_revenue")
 
 
-@query("r2_r3_all_findings", FINDINGS + " select agreement_id, line_id, field, kind discrepancy_type, cast(impact as double) dollar_impact from allf")
+@query("r2_r3_all_findings", FINDINGS + " select agreement_id, line_id, field, kind discrepancy_type, cast(impact as double) dollar_impact, why why_discrepancy, basis explanation from allf")
 def _(t):
     lines = t.invoice_line.join(t.approved.select("agreement_id"), "agreement_id", "left_semi")
     return ru.all_findings(lines, t.approved, **t.reference).selectExpr(
-        "agreement_id", "line_id", "field", "discrepancy_type", "cast(dollar_impact as double) dollar_impact"
+        "agreement_id", "line_id", "field", "discrepancy_type", "cast(dollar_impact as double) dollar_impact", "why_discrepancy", "explanation"
     )
 
 
@@ -230,15 +254,15 @@ def _(t):
 
 
 _HEADER = """, hdr as (select agreement_id, count(*) lines_audited, min(ship_date) d0, max(ship_date) d1 from j group by 1),
- fl as (select agreement_id, coalesce(sum(impact) filter (impact > 0), 0) gain, count(distinct line_id) flagged, count(*) n from ded group by 1)
- select agreement_id, coalesce(case when s_suppkey % 5 = 0 then 'client ' || s_suppkey::varchar end, case when s_suppkey % 10 <> 1 then s_name end, 'Unknown Company') company_name,
+ fl as (select agreement_id, coalesce(sum(impact) filter (impact > 0), 0) gain, count(distinct line_id) flagged, count(*) n from ded group by 1),
+ hd as (select agreement_id, case when s_suppkey % 2 = 0 then ' FedEx' else 'UPS ' end shown_carrier, coalesce(case when s_suppkey % 5 = 0 then 'client ' || s_suppkey::varchar end, case when s_suppkey % 10 <> 1 then s_name end, 'Unknown Company') company_name,
  case when s_suppkey % 7 = 0 then s_suppkey::varchar else 'AG-' || s_suppkey::varchar end agreement_ref,
  strftime(d0, '%Y-%m-%d') period_start, strftime(d1, '%Y-%m-%d') period_end, cast(coalesce(gain, 0) as double) total_recovery_potential, lines_audited, coalesce(flagged, 0) lines_with_discrepancies,
  coalesce(n, 0) discrepancy_count, lines_audited * 10 checks_evaluated, greatest(lines_audited * 10 - coalesce(n, 0), 0) checks_without_result
- from hdr join agreement using (agreement_id) left join fl using (agreement_id)"""
+ from hdr join agreement using (agreement_id) left join fl using (agreement_id))"""
 
 
-@query("r5_r6_report_headers_and_counters", FINDINGS + _HEADER)
+@query("r5_r6_report_headers_and_counters", FINDINGS + _HEADER + " select * exclude (shown_carrier) from hd")
 def _(t):
     lines, findings = _audit(t)
     reports = ru.report_headers(lines, findings, t.approved)
@@ -289,7 +313,28 @@ def _(t):
     )
 
 
-@query("r7_text_report")
+_HEAD, _THIN = "=" * 72, "-" * 72
+_REPORT = (
+    FINDINGS
+    + _HEADER
+    + f""",
+ num as (select *, {_TITLE} issue, row_number() over (partition by agreement_id order by (ord > 0)::int, {ov.SEQ}, ord) n from ded),
+ typ as (select agreement_id, issue, count(*) k, sum(impact) total from num group by all),
+ part as (
+ select agreement_id, 1 section, 0 item, ['Invoice Audit Report', '{_HEAD}', 'Company:        ' || company_name, 'Agreement ID:   ' || agreement_ref, 'Carrier:        ' || shown_carrier,
+   'Invoice Period: ' || period_start || ' to ' || period_end, 'Audited Lines:  ' || lines_audited, 'Lines Flagged:  ' || lines_with_discrepancies,
+   'Total Recovery Potential: $' || {_CENTS.format('total_recovery_potential')}, 'Generated:      2026-04-20T00:00:00Z', '{_HEAD}', '', 'DISCREPANCIES FOUND', '{_THIN}', ''] texts from hd
+ union all select agreement_id, 2, n, ['[' || n || '] ' || upper(issue), '    Tracking:    ' || coalesce(nullif(trim(tracking_number), ''), l_orderkey::varchar), '    Transaction: ' || l_orderkey,
+   '    Ship Date:   ' || ship_date::varchar, '    Service:     ' || service_or_charge_type, '    Billed:      $' || {_B}, '    Expected:    $' || {_E},
+   '    Discrepancy: $' || {_CENTS.format('abs(impact)')} || case when impact >= 0 then ' overcharge' else ' undercharge' end, '    Why:         ' || why, '    Basis:       ' || basis, '    Action:      ' || {_ACTION}, ''] from num
+ union all select agreement_id, 3, 0, ['{_HEAD}', 'SUMMARY BY DISCREPANCY TYPE', '{_THIN}'] from hd
+ union all select agreement_id, 4, row_number() over (partition by agreement_id order by issue), [rpad(issue, 28, ' ') || lpad(k::varchar, greatest(3, length(k::varchar))::int, ' ') || ' shipments    $' || {_CENTS.format('total')}] from typ
+ union all select agreement_id, 5, 0, ['{_THIN}', 'TOTAL RECOVERY POTENTIAL                  $' || {_CENTS.format('total_recovery_potential')}, '{_HEAD}'] from hd)
+ select agreement_id, section, item, unnest(generate_series(0, len(texts) - 1))::int part, unnest(texts) "text" from part"""
+)
+
+
+@query("r7_text_report", _REPORT)
 def _(t):
     lines = t.invoice_line.join(t.approved.select("agreement_id"), "agreement_id", "left_semi")
     findings = ru.staged_findings(lines, t.approved, **t.reference)

@@ -28,7 +28,7 @@ select *,
 from base), line as (
 select *, l_suppkey agreement_id,
   l_orderkey::varchar || ':' || l_linenumber::varchar line_id,
-  case when l_orderkey % 97 = 0 then 'Unknown' when l_orderkey % 101 = 0 then ' ' else l_orderkey::varchar end tracking_number,
+  case when l_orderkey % 97 = 0 then 'Unknown' when l_orderkey % 101 = 0 then ' ' when l_orderkey % 7 = 3 then 'BULK-' || (l_orderkey % 5)::varchar else l_orderkey::varchar end tracking_number,
   l_orderkey::varchar transaction_id, 'INV-' || l_suppkey::varchar invoice_id,
   case when l_partkey % 11 <> 0 then ship_date + l_linenumber::int + to_hours(cast(8 + l_partkey % 11 as int)) + to_minutes(cast(l_orderkey % 60 as int)) end delivered,
   case when carrier = 'fedex' then ['fedex_ground','fedex_home_delivery','fedex_priority_overnight','fedex_2day','fedex_express_saver','fedex_ground_economy'][1 + l_partkey % 6]

@@ -15,7 +15,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tarifflume.functions import values as v
-from tarifflume.schemas import CENTS, FINDING_STRUCT, MONEY, PCT
+from tarifflume.schemas import CENTS, EVIDENCE, EVIDENCE_STRUCT, FINDING_STRUCT, MONEY, PCT
 from tarifflume.sources.reference import (
     EXEMPT_EXCEPTIONS,
     PUBLISHED_MINIMUM,
@@ -62,8 +62,10 @@ def _product(a: Column, b: Column, hundredths: str) -> Column:
     return (a * b).cast("decimal(28,8)") * F.lit(hundredths).cast("decimal(6,6)")
 
 
-def _finding(check: str | int, when: Column, kind: Column | str, expected, billed, impact) -> Column:
+def _finding(check: str | int, when: Column, kind: Column | str, expected, billed, impact, **seen: Column) -> Column:
+    """A finding with the evidence `seen`, or null; nothing of it is computed for lines in order."""
     order = check if isinstance(check, int) else CHECKS[check][0]
+    evidence = F.struct(*[seen.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in EVIDENCE.items()])
     kind = F.lit(kind) if isinstance(kind, str) else kind
     body = F.struct(
         F.lit(order).alias("check_ord"),
@@ -71,6 +73,7 @@ def _finding(check: str | int, when: Column, kind: Column | str, expected, bille
         _money(expected).alias("expected_value"),
         _money(billed).alias("billed_value"),
         impact.cast(CENTS).alias("dollar_impact"),
+        (evidence if seen else F.lit(None)).cast(EVIDENCE_STRUCT).alias("evidence"),
     )
     return F.when(when, body.cast(FINDING_STRUCT))
 
@@ -226,7 +229,10 @@ def guarantee_check() -> Column:
     late = (F.col("_arrived_day") > F.col("promised_date")) | F.coalesce(after_hour, F.lit(False))
     due = F.col("total_billed")
     # The cheap and selective lateness test comes first.
-    return _finding("guarantee", late & ~F.col("suspended") & (status == "active") & ~exempt, OVER, F.lit(0), due, F.round(due, 2))
+    return _finding(
+        "guarantee", late & ~F.col("suspended") & (status == "active") & ~exempt, OVER, F.lit(0), due, F.round(due, 2),
+        promised_date=F.col("promised_date"), commit_time=F.col("commit_time"), delivered=F.col("actual_delivery_datetime"),
+    )
 
 
 def _layered_base_pct() -> Column:
@@ -268,14 +274,25 @@ def _earned_steps() -> list[dict[str, Column]]:
 
 def earned_check() -> Column:
     net, due, gap = F.col("_layer_net"), F.col("_layer_due"), F.round("_layer_gap", 2)
-    layered = _finding(LAYERED_ORD, (net > 0) & (due > 0) & (gap > F.lit("0.05").cast("decimal(4,2)")), MISSING, due, net, gap)
+    kept = (F.lit(100).cast(PCT) - F.col("_base_pct")) * (F.lit(100).cast(PCT) - F.col("_layer_pct"))
+    layered = _finding(
+        LAYERED_ORD, (net > 0) & (due > 0) & (gap > F.lit("0.05").cast("decimal(4,2)")), MISSING, due, net, gap,
+        base=F.col("published_charge"), effective_pct=F.lit(100) - kept * F.lit("0.01").cast("decimal(2,2)"),
+    )
     gross, applied, delta = F.col("_gross"), F.col("_applied"), F.round("_tier_delta", 2)
     # |pct - applied/gross*100| >= 0.1, multiplied through by gross.
     off = F.abs(gross * F.col("_tier_pct") - applied * 100) >= F.abs(gross) * F.lit("0.1").cast("decimal(2,1)")
-    by_tier = _finding("earned", F.col("tier_found") & (gross != 0) & off, F.when(delta > 0, MISSING).otherwise(UNDER), F.col("_tier_due"), applied, delta)
+    by_tier = _finding(
+        "earned", F.col("tier_found") & (gross != 0) & off, F.when(delta > 0, MISSING).otherwise(UNDER), F.col("_tier_due"), applied, delta,
+        rolling_revenue=F.coalesce("rolling_revenue", F.lit(0)), discount_pct=F.col("_tier_pct"), effective_pct=applied / gross * 100,
+    )
     return F.when(F.col("_layered"), layered).otherwise(by_tier)
 
 
+def _sizes() -> dict[str, Column]:
+    return {c: F.col(c) for c in ("length", "width", "height")}
+
+
 def _dim_steps() -> list[dict[str, Column]]:
     longest = F.greatest(F.ceil("length"), F.ceil("width"), F.ceil("height"))
     rated = v.rated_weight(F.col("actual_weight_lbs"), F.col("_dim_lbs"))
@@ -293,7 +310,8 @@ def dim_check() -> Column:
     delta = F.col("_dim_delta")
     impact = F.round(delta * _amount("rate_per_lb").cast("decimal(14,4)"), 2)
     return _finding(
-        "dim", F.abs(delta) >= F.lit("0.5").cast("decimal(2,1)"), F.when(delta > 0, OVER).otherwise(UNDER), F.col("_dim_due"), F.col("_dim_billed"), impact
+        "dim", F.abs(delta) >= F.lit("0.5").cast("decimal(2,1)"), F.when(delta > 0, OVER).otherwise(UNDER), F.col("_dim_due"), F.col("_dim_billed"), impact,
+        divisor=F.col("dim_divisor"), dim_lbs=F.col("_dim_lbs"), **_sizes(),
     )
 
 
@@ -304,14 +322,19 @@ def _fuel_steps() -> list[dict[str, Column]]:
     due = F.round((base.cast("decimal(14,4)") * rate).cast("decimal(30,12)") * F.lit("0.0001").cast("decimal(4,4)"), 2)
     known = F.col("ag_carrier").isin("fedex", "ups") & F.col("fuel_discount_pct").isNotNull()
     return [
-        {"_fuel_due": F.when(known, _money(due))},
+        {"_fuel_due": F.when(known, _money(due)), "_fuel_base": base, "_fuel_in_force": in_force},
         {"_fuel_delta": _money(F.col("fuel_surcharge_billed") - F.col("_fuel_due"))},
     ]
 
 
 def fuel_check() -> Column:
     delta = F.round("_fuel_delta", 2)
-    return _finding("fuel", delta > F.lit("0.02").cast("decimal(4,2)"), OVER, F.col("_fuel_due"), F.col("fuel_surcharge_billed"), delta)
+    rate, discount = F.col("fuel_rate_pct"), F.col("_fuel_in_force")
+    return _finding(
+        "fuel", delta > F.lit("0.02").cast("decimal(4,2)"), OVER, F.col("_fuel_due"), F.col("fuel_surcharge_billed"), delta,
+        published_pct=rate, discount_pct=discount, base=F.col("_fuel_base"),
+        effective_pct=rate * (F.lit(100).cast(PCT) - discount) * F.lit("0.01").cast("decimal(2,2)"),
+    )
 
 
 def _minimum_steps() -> list[dict[str, Column]]:
@@ -323,7 +346,7 @@ def _minimum_steps() -> list[dict[str, Column]]:
 def minimum_check() -> Column:
     contracted, published, net = F.col("_mnc_contract"), F.col("_mnc_published"), _amount("net_transport_charge")
     used = F.abs(net - published) < F.lit("0.05").cast("decimal(4,2)")
-    return _finding("minimum", (contracted < published) & used, OVER, contracted, net, F.round(net - contracted, 2))
+    return _finding("minimum", (contracted < published) & used, OVER, contracted, net, F.round(net - contracted, 2), base=published)
 
 
 def _override_check(check: str, billed: Column, override: Column) -> Column:
@@ -363,21 +386,34 @@ def handling_check() -> Column:
     weight, billed = _amount("actual_weight_lbs"), _amount("ahs_billed")
     heavy = (F.col("_longest") > 48) | (weight > 70)
     fits = heavy | F.when(F.col("ag_carrier") == "fedex", F.col("_second") > 30).otherwise(_longest_and_girth() > 105)
-    return _finding("handling", (billed > 0) & F.col("_sized") & ~fits, UNSUPPORTED, F.lit(0), billed, billed)
+    return _finding(
+        "handling", (billed > 0) & F.col("_sized") & ~fits, UNSUPPORTED, F.lit(0), billed, billed,
+        carrier=F.col("ag_carrier"), weight=weight, **_sizes(),
+    )
 
 
 def large_package_check() -> Column:
     billed = _amount("large_package_billed")
     fits = (_longest_and_girth() > 165) | (F.col("_longest") > F.when(F.col("ag_carrier") == "fedex", 96).otherwise(108))
-    return _finding("large", (billed > 0) & F.col("_sized") & ~fits, UNSUPPORTED, F.lit(0), billed, billed)
+    return _finding(
+        "large", (billed > 0) & F.col("_sized") & ~fits, UNSUPPORTED, F.lit(0), billed, billed,
+        carrier=F.col("ag_carrier"), length=F.col("_l"), width=F.col("_w"), height=F.col("_h"),
+    )
 
 
 def area_check() -> Column:
     billed = _amount("das_billed")
-    return _finding("area", (billed > 0) & F.col("area_tier").isNull(), UNSUPPORTED, F.lit(0), billed, billed)
+    return _finding("area", (billed > 0) & F.col("area_tier").isNull(), UNSUPPORTED, F.lit(0), billed, billed, carrier=F.col("ag_carrier"), zip=F.col("zip_key"))
+
+
+def duplicate_check(order: str = "line_seq") -> Column:
+    """A later bill of a repeated (tracking number, ship date)."""
+    total = F.col("total_billed")
+    return _finding("duplicate", (F.col(order) > F.col("first_seq")) & (total > 0), OVER, F.lit(0), total, total)
 
 
 LINE_CHECKS = {
+    "duplicate": duplicate_check,
     "guarantee": guarantee_check,
     "earned": earned_check,
     "dim": dim_check,
@@ -430,7 +466,7 @@ def enrich(
     terms = agreement_terms(agreements)
     if "earned" in checks:
         terms = with_earned_tier(terms, rolling_revenue(lines, agreements))
-    out = lines.join(terms, "agreement_id")
+    out = (attach_repeats(lines) if "duplicate" in checks else lines).join(terms, "agreement_id")
     if "fuel" in checks:
         out = attach_fuel_rate(out, fuel_rates)
     if "guarantee" in checks:
@@ -452,35 +488,80 @@ def run_checks(enriched: DataFrame, checks: list[str], order: str = "line_seq")
     return unfolded.where("check_ord is not null")
 
 
-def duplicate_findings(lines: DataFrame, order: str = "line_seq") -> DataFrame:
-    """Second and later bills of one (tracking number, ship date) with a positive total.
+def attach_repeats(lines: DataFrame, order: str = "line_seq") -> DataFrame:
+    """`first_seq`: the first line of a (tracking number, ship date) billed more than once.
 
     The first line of each repeated key comes from a map-side aggregate, and only keys
     seen more than once are joined back, so a key holding a large share of all lines is
-    never gathered in one task.
+    never gathered in one task. Lines without a tracking number join with nothing.
     """
-    keys = ["agreement_id", "dup_tracking", "ship_date"]
-    usable = lines.withColumn("dup_tracking", F.trim("tracking_number")).where(
-        "dup_tracking <> '' and lower(dup_tracking) <> 'unknown'"
-    )
+    named = F.trim("tracking_number")
+    keyed = lines.withColumn("dup_tracking", F.when((named != "") & (F.lower(named) != "unknown"), named))
     repeated = (
-        usable.groupBy(*keys).agg(F.min(order).alias("first_seq"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        keyed.where("dup_tracking is not null").groupBy("agreement_id", "dup_tracking", F.col("ship_date").alias("dup_day"))
+        .agg(F.min(order).alias("first_seq"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     )
-    joined = usable.alias("u").join(
+    joined = keyed.alias("u").join(
         repeated.alias("r"),
         (F.col("u.agreement_id") == F.col("r.agreement_id"))
         & (F.col("u.dup_tracking") == F.col("r.dup_tracking"))
-        & F.col("u.ship_date").eqNullSafe(F.col("r.ship_date")),
-    )
-    later = joined.where((F.col(f"u.{order}") > F.col("first_seq")) & (F.col("u.total_billed") > 0))
-    total = F.col("u.total_billed")
-    return later.select(
-        "u.agreement_id", "u.line_id", "u.tracking_number", "u.invoice_id", "u.transaction_id", "u.ship_date",
-        "u.service_or_charge_type", f"u.{order}", F.col("u.raw_line_text").alias("invoice_source_reference"),
-        F.lit(0).alias("check_ord"), F.lit(OVER).alias("discrepancy_type"),
-        F.lit(0).cast(MONEY).alias("expected_value"), total.cast(MONEY).alias("billed_value"),
-        total.cast(CENTS).alias("dollar_impact"),
+        & F.col("u.ship_date").eqNullSafe(F.col("r.dup_day")),
+        "left",
     )
+    return joined.select("u.*", "first_seq").drop("dup_tracking")
+
+
+def duplicate_findings(lines: DataFrame, order: str = "line_seq") -> DataFrame:
+    """Second and later bills of one (tracking number, ship date) with a positive total."""
+    return run_checks(attach_repeats(lines, order), ["duplicate"], order)
+
+
+def _explanations() -> dict[int, Column]:
+    """The sentence of each check, from what it saw."""
+    seen = lambda name: F.col(f"evidence.{name}")
+    cents = lambda c: c.cast(CENTS).cast("string")
+    number = lambda c: c.cast("double").cast("string")
+    tenths = lambda c: F.round(c, 1).cast("decimal(18,1)").cast("string")
+    expected, billed = F.col("expected_value"), F.col("billed_value")
+    carrier = F.upper(seen("carrier"))
+    sides = [number(seen(c)) for c in ("length", "width", "height")]
+    # The explanation sentences.
+    sentences = {
+        "duplicate": ("Tracking number %s billed more than once on %s", F.col("tracking_number"), F.col("ship_date").cast("string")),
+        "guarantee": (
+            "GSR eligible: promised %s by %s, delivered %s. Full refund of $%s eligible.",
+            seen("promised_date").cast("string"), F.coalesce(seen("commit_time"), F.lit("EOD")), F.date_format(seen("delivered"), "yyyy-MM-dd HH:mm:ss"), cents(billed),
+        ),
+        LAYERED_ORD: (
+            "Published $%s × contract multi-layer discount (%s%% effective) = expected $%s, billed $%s",
+            cents(seen("base")), tenths(seen("effective_pct")), cents(expected), cents(billed),
+        ),
+        "earned": (
+            "Rolling revenue $%s -> tier expects %s%%, applied %s%% ($%s vs $%s)",
+            F.format_number("evidence.rolling_revenue", 0), tenths(seen("discount_pct")), tenths(seen("effective_pct")), cents(billed), cents(expected),
+        ),
+        "dim": (
+            "DIM divisor %s: ceil(%s)×ceil(%s)×ceil(%s)/%s = %s lb DIM, rated %s lb, billed %s lb",
+            seen("divisor").cast("string"), *sides, seen("divisor").cast("string"), seen("dim_lbs").cast("string"), number(expected), number(billed),
+        ),
+        "fuel": (
+            "Published rate %s%% - %s%% contracted discount = %s%% effective. Base: $%s. Expected: $%s, Billed: $%s",
+            number(seen("published_pct")), number(seen("discount_pct")), F.round(seen("effective_pct"), 3).cast("decimal(18,3)").cast("string"),
+            cents(seen("base")), cents(expected), cents(billed),
+        ),
+        "minimum": ("Contract MNC $%s but published default $%s applied", cents(expected), cents(seen("base"))),
+        "residential": ("Contract specifies flat residential fee of $%s, billed $%s", cents(expected), cents(billed)),
+        COMMERCIAL_ORD: ("Residential surcharge applied to commercial address",),
+        "handling": ("AHS charged but package dims %sx%sx%s and weight %s lbs do not meet %s AHS criteria", *sides, number(seen("weight")), carrier),
+        "large": (
+            "Large Package Surcharge charged but dims %sx%sx%s do not meet %s large package threshold",
+            *[seen(c).cast("int").cast("string") for c in ("length", "width", "height")], carrier,
+        ),
+        "address": ("Contract address correction fee: $%s, billed: $%s", cents(expected), cents(billed)),
+        "area": ("ZIP %s is not on %s DAS list but DAS was charged", seen("zip"), carrier),
+    }
+    orders = {check: check if isinstance(check, int) else CHECKS[check][0] for check in sentences}
+    return {orders[check]: F.format_string(*parts) if len(parts) > 1 else F.lit(parts[0]) for check, parts in sentences.items()}
 
 
 def describe(findings: DataFrame) -> DataFrame:
@@ -488,14 +569,17 @@ def describe(findings: DataFrame) -> DataFrame:
     findings pay for them."""
     facts = {order: (field, conf, why) for order, field, conf, why in CHECKS.values()} | VARIANTS
     pick = lambda i: _literal_int_map([(o, F.lit(f[i])) for o, f in facts.items()])[F.col("check_ord")]
-    cents = lambda c: F.col(c).cast(CENTS).cast("string")
-    amounts = F.concat(F.lit("expected "), cents("expected_value"), F.lit(", billed "), cents("billed_value"))
+    by_check = iter(_explanations().items())
+    order, text = next(by_check)
+    explanation = F.when(F.col("check_ord") == order, text)
+    for order, text in by_check:
+        explanation = explanation.when(F.col("check_ord") == order, text)
     return findings.select(
         "*",
         pick(0).alias("field"),
         pick(1).alias("confidence"),
         pick(2).alias("why_discrepancy"),
-        F.concat_ws(" ", pick(2), F.concat(F.lit("("), amounts, F.lit(")"))).alias("explanation"),
+        explanation.alias("explanation"),
         F.col("expected_value").alias("expected_amount"),
         F.col("billed_value").alias("billed_amount"),
         F.col("dollar_impact").alias("dollar_discrepancy"),
@@ -511,18 +595,19 @@ def storage_findings(lines: DataFrame, terms: DataFrame) -> DataFrame:
     joined = lines.where(F.lower(F.trim("service_category")) == "storage").join(terms, "agreement_id")
     rate, billed = F.col("storage_rate"), F.col("rate_billed")
     due = F.col("quantity_billed").cast("decimal(14,4)") * rate.cast("decimal(14,4)")
-    shape = "struct<field: string, discrepancy_type: string, expected_value: {m}, billed_value: {m}, expected_amount: {c}, dollar_impact: {c}>".format(m=MONEY, c=CENTS)
+    shape = "struct<field: string, discrepancy_type: string, expected_value: {m}, billed_value: {m}, expected_amount: {c}, dollar_impact: {c}, explanation: string>".format(m=MONEY, c=CENTS)
     rate_off = F.when(
         F.abs(billed - rate) > F.lit("0.01").cast("decimal(4,2)"),
         F.struct(
             F.lit("storage_rate"), F.when(billed > rate, OVER).otherwise(UNDER), rate, billed,
-            F.round(due, 2), F.round(F.col("amount_billed") - due, 2),
+            F.round(due, 2), F.round(F.col("amount_billed") - due, 2), F.lit("3PL storage billed rate differs from contract rate."),
         ).cast(shape),
     )
     zero = F.lit(0).cast(MONEY)
+    unit_text = F.format_string("Storage billed as %s, contract expects %s.", F.coalesce("unit_of_measure", F.lit("None")), F.col("storage_unit"))
     unit_off = F.when(
         (F.col("storage_unit") != "") & (F.coalesce(F.col("unit_of_measure"), F.lit("")) != F.col("storage_unit")),
-        F.struct(F.lit("storage_unit"), F.lit(AMBIGUOUS), F.lit(None).cast(MONEY), zero, F.lit(None).cast(CENTS), zero).cast(shape),
+        F.struct(F.lit("storage_unit"), F.lit(AMBIGUOUS), F.lit(None).cast(MONEY), zero, F.lit(None).cast(CENTS), zero, unit_text).cast(shape),
     )
     found = F.filter(F.array(rate_off, unit_off), lambda f: f.isNotNull())
     return joined.select("line_id", "agreement_id", F.col("reference_id").alias("tracking_number"), "service_category", F.inline(found))

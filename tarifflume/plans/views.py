@@ -85,7 +85,7 @@ class Views:
             "l_suppkey agreement_id",
             "line_seq", "carrier", "l_orderkey", "l_linenumber", "l_partkey",
             "concat(cast(l_orderkey as string), ':', cast(l_linenumber as string)) line_id",
-            "case when l_orderkey % 97 = 0 then 'Unknown' when l_orderkey % 101 = 0 then ' ' else cast(l_orderkey as string) end tracking_number",
+            "case when l_orderkey % 97 = 0 then 'Unknown' when l_orderkey % 101 = 0 then ' ' when l_orderkey % 7 = 3 then concat('BULK-', cast(l_orderkey % 5 as string)) else cast(l_orderkey as string) end tracking_number",
             "cast(l_orderkey as string) transaction_id",
             "concat('INV-', cast(l_suppkey as string)) invoice_id",
             "ship_date",

@@ -80,8 +80,29 @@ AGREEMENT_DDL = f"""
     tier_discounts: map<string, {PCT}>>
 """
 
+# What a check saw: the values its explanation names. Each check fills its own part.
+EVIDENCE: dict[str, str] = {
+    "carrier": "string",
+    "published_pct": PCT,
+    "discount_pct": PCT,
+    "effective_pct": "decimal(16,8)",
+    "base": MONEY,
+    "length": MONEY,
+    "width": MONEY,
+    "height": MONEY,
+    "weight": MONEY,
+    "divisor": "int",
+    "dim_lbs": "bigint",
+    "promised_date": "date",
+    "commit_time": "string",
+    "delivered": "timestamp_ntz",
+    "rolling_revenue": "decimal(28,2)",
+    "zip": "string",
+}
+EVIDENCE_STRUCT = "struct<" + ", ".join(f"{name}: {kind}" for name, kind in EVIDENCE.items()) + ">"
+
 # One audit finding, before the descriptive text columns are added.
 FINDING_STRUCT = (
     f"struct<check_ord: int, discrepancy_type: string, expected_value: {MONEY}, "
-    f"billed_value: {MONEY}, dollar_impact: {CENTS}>"
+    f"billed_value: {MONEY}, dollar_impact: {CENTS}, evidence: {EVIDENCE_STRUCT}>"
 )

@@ -196,3 +196,41 @@ def test_canonical_csv(spark, tmp_path):
 def test_approval_gate(spark):
     with pytest.raises(ValueError, match="approved"):
         inv.require_approved(agreement(spark, status="'pending_review'"))
+
+
+def explained(spark, check, rows, terms=None, **ref):
+    enriched = ck.enrich(lines(spark, rows), agreement(spark, **(terms or {})), checks=[check], **reference(spark, **ref))
+    return [r["explanation"] for r in ck.describe(ck.run_checks(enriched, [check])).collect()]
+
+
+def test_explanations_name_what_the_check_saw(spark):
+    assert explained(spark, "fuel", [FUEL_LINE], fuel_terms(10)) == [
+        "Published rate 12.25% - 10.0% contracted discount = 11.025% effective. Base: $100.00. Expected: $11.03, Billed: $20.00"
+    ]
+    assert explained(spark, "dim", [LONG_BOX | {"rated_weight_lbs": 20}]) == [
+        "DIM divisor 139: ceil(49.1)×ceil(10.0)×ceil(10.0)/139 = 36 lb DIM, rated 40.0 lb, billed 20.0 lb"
+    ]
+    assert explained(spark, "guarantee", [LATE]) == [
+        "GSR eligible: promised 2026-01-06 by 10:30:00, delivered 2026-01-06 12:00:00. Full refund of $55.00 eligible."
+    ]
+    by_end_of_day = LATE | {"service_code": "ups_2nd_day_air", "actual_delivery_datetime": "2026-01-09 08:00:00"}
+    assert explained(spark, "guarantee", [by_end_of_day], {"carrier": "'UPS'"})[0].startswith("GSR eligible: promised 2026-01-07 by EOD,")
+    assert explained(spark, "area", [{"destination_zip": "99999-1234", "das_billed": 3}]) == ["ZIP 99999 is not on FEDEX DAS list but DAS was charged"]
+    box = {"length": 10.5, "width": 4, "height": 3}
+    assert explained(spark, "handling", [box | {"ahs_billed": 15}]) == [
+        "AHS charged but package dims 10.5x4.0x3.0 and weight 0.0 lbs do not meet FEDEX AHS criteria"
+    ]
+    assert explained(spark, "large", [box | {"large_package_billed": 95}]) == [
+        "Large Package Surcharge charged but dims 11x4x3 do not meet FEDEX large package threshold"
+    ]
+    assert explained(spark, "residential", [{"residential_surcharge_billed": 4, "is_residential": "false"}]) == ["Residential surcharge applied to commercial address"]
+    mnc = {"minimum_net_charge": "map('ground', cast(8.25 as decimal(18,4)))"}
+    assert explained(spark, "minimum", [{"service_group": "ground", "net_transport_charge": 11}], mnc) == ["Contract MNC $8.25 but published default $11.00 applied"]
+
+
+def test_a_finding_fills_only_its_own_evidence(spark):
+    (found,) = run(spark, "area", [{"destination_zip": "99999", "das_billed": 3}])
+    assert {k: v for k, v in found["evidence"].asDict().items() if v is not None} == {"carrier": "fedex", "zip": "99999"}
+    twice = [{"tracking_number": "T1", "ship_date": "2025-01-02", "total_billed": 5}] * 2
+    (again,) = ck.describe(ck.duplicate_findings(lines(spark, twice))).collect()
+    assert again["evidence"] is None and again["explanation"] == "Tracking number T1 billed more than once on 2025-01-02"
