@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarifflume.catalog.registry import query
 from tarifflume.functions import values as v
-from tarifflume.operators import quality as qa, resolve as rs
+from tarifflume.operators import company_merge as cm, quality as qa, resolve as rs
 from tarifflume.operators.positions import number_within
 
 # ---------------------------------------------------------------- views
@@ -320,6 +320,86 @@ def _(t):
     return rs.company_groups(documents).select("company_key", "company", "files", "file_name")
 
 
+def _company_merge(t):
+    """Orders are documents; those of one customer, and all without a name, are a company's."""
+    documents = t.table("orders").selectExpr(
+        "o_orderkey extraction_id", "case when o_custkey % 6 <> 0 then concat('Cust ', cast(o_custkey as string)) end customer_name", "case when o_orderkey % 6 <> 0 then date_format(o_orderdate, 'yyyy-MM') end effective_date",
+        "array('amendment', 'Addendum', 'base_agreement', null)[cast(o_orderkey % 4 as int)] document_type", "concat('file', cast(o_orderkey as string)) file_name", "concat('in/', cast(o_orderkey % 50 as string)) file_path", "o_orderkey ordinal")
+    terms = _terms(t).selectExpr(
+        "extraction_id", "'service' kind", "service_type name", "cast(null as array<string>) services", "case when ord > 3 then ord end amendment_ord", "case when ord > 3 then effective_date end amendment_date",
+        "extraction_id * 10 + ord ord", "discount_pct")
+    leaves = t.table("orders").selectExpr(
+        "o_orderkey extraction_id",
+        "inline(array(struct('fuel_surcharge.discount_pct', cast(o_orderkey % 20 as string)), struct('fuel_surcharge.expiration_date', case when o_orderkey % 3 = 0 then '' else date_format(o_orderdate, 'yyyy-MM-dd') end), struct(concat('gsr_status.', cast(o_orderkey % 3 as string)), 'active'))) as (path, value)")
+    return cm.merge_companies(documents, _fields(t), terms, leaves, "1998-01-01")
+
+
+COMPANIES = f"""{FIELDS}, dk as (select o_orderkey id, coalesce(case when o_custkey % 6 <> 0 then 'Cust ' || o_custkey::varchar end, 'Unknown Company') company, coalesce(case when o_orderkey % 6 <> 0 then strftime(o_orderdate, '%Y-%m') end, '1900-01-01') eff,
+  [3, 2, 1, 1][1 + o_orderkey % 4] pr, o_orderkey % 4 = 0 amendment, o_orderdate from orders),
+ rk as (select *, count(*) over (partition by company) files, row_number() over (partition by company order by eff, pr, id) rn, first_value(company) over (partition by company order by id) shown from dk),
+ g as (select * from rk where files > 1),
+ mf as (select company, field_path, field_name, max(rn) filter ("value" <> '') > 1 later, arg_min(needs_review, rn) nr, arg_max({{'v': "value", 'c': confidence, 'p': source_page, 's': source_text}}, rn) filter ("value" <> '') l, arg_min({{'v': "value", 'c': confidence, 'p': source_page, 's': source_text}}, rn) b
+  from fld join g on id = extraction_id where entity = 'metadata' group by all),
+ lastdoc as (select company, max(rn) rn from g join term on id = extraction_id group by 1),
+ mg as (select company, field_path, field_name, case when later then l.v else b.v end "value", null::double value_num, case when later then l.c else b.c end confidence, case when later then l.p else b.p end source_page, case when later then l.s else b.s end source_text, nr needs_review from mf
+  union all select company, field_path, field_name, "value", value_num, confidence, source_page, source_text, needs_review from fld join g on id = extraction_id join lastdoc using (company, rn) where entity = 'service_term'),
+ ms as (select *, case when "value" is null then 0 else least(least(confidence + case when field_name = 'effective_date' and regexp_matches("value", '\\d{{4}}-\\d{{2}}-\\d{{2}}') then 0.05 when field_name = 'account_number' and regexp_matches("value", '[\\dA-Z]{{4,}}') then 0.05 when value_num is not null then 0.05 else 0 end, 1)
+   + case when source_page is not null and source_text <> '' then 0.03 else 0 end, 1) end::decimal(6,4) conf from mg),
+ mr as (select *, case when "value" is not null then conf < 0.7 else needs_review end review from ms)"""
+
+
+@query(
+    "m7_merged_documents",
+    f"""with {COMPANIES} select company, any_value(files) files, company || ' (' || any_value(files)::varchar || ' files).pdf' file_name, 'pending_review' status, round(coalesce(sum(conf) filter ("value" is not null), 0)::double / greatest(count("value"), 1), 3) overall_confidence,
+ count("value") fields_extracted, count(*) filter ("value" is not null and review) fields_needing_review from mr join (select company, any_value(files) files from g group by 1) using (company) group by company""",
+)
+def _(t):
+    return _company_merge(t).documents.select("company", "files", "file_name", "status", "overall_confidence", "fields_extracted", "fields_needing_review")
+
+
+@query("m7_merged_fields", f"""with {COMPANIES} select company, field_path, "value", conf::double confidence, source_page, review needs_review from mr""")
+def _(t):
+    merged = _company_merge(t)
+    return merged.fields.join(merged.documents.select("extraction_id", "company"), "extraction_id").select("company", "field_path", "value", F.col("confidence").cast("double").alias("confidence"), "source_page", "needs_review")
+
+
+@query(
+    "m7_merged_active_terms",
+    f"""with {COMPANIES}, tm as (select company, rn, extraction_id * 10 + ord ord, ord > 3 amended, lower(trim(case when service_type = '' then 'unknown' else service_type end)) k, case when ord > 3 then coalesce(effective_date, '0000-00-00') end d, case when ord > 3 then ord else -1 end ao, discount_pct from term join g on id = extraction_id),
+ kept as (select * from (select *, max(rn) over (partition by company, amended) mx from tm) where rn = mx)
+ select company, k active_key, ord, cast(discount_pct as double) discount_pct from (select *, row_number() over (partition by company, k order by amended desc, d desc, ao desc, ord desc) i from kept) where i = 1""",
+)
+def _(t):
+    merged = _company_merge(t)
+    return merged.active.join(merged.documents.select("extraction_id", "company"), "extraction_id").select("company", "active_key", "ord", F.col("discount_pct").cast("double").alias("discount_pct"))
+
+
+@query(
+    "m7_merged_leaves",
+    f"""with {COMPANIES}, lf as (select company, rn, unnest([{{'p': 'fuel_surcharge.discount_pct', 'v': (id % 20)::varchar}}, {{'p': 'fuel_surcharge.expiration_date', 'v': case when id % 3 = 0 then '' else strftime(o_orderdate, '%Y-%m-%d') end}}, {{'p': 'gsr_status.' || (id % 3)::varchar, 'v': 'active'}}]) x from g),
+ lm as (select company, x.p path, coalesce(arg_max(x.v, rn) filter (x.v <> ''), arg_min(x.v, rn)) "value" from lf group by all), ex as (select company from lm where path = 'fuel_surcharge.expiration_date' and try_cast("value" as date) < date '1998-01-01')
+ select company, path, case when path = 'fuel_surcharge.discount_pct' and company in (select company from ex) then '0.0' else "value" end "value" from lm union all select company, 'fuel_surcharge.note', 'Fuel surcharge discount expired; defaulted to 0%.' from ex""",
+)
+def _(t):
+    merged = _company_merge(t)
+    return merged.leaves.join(merged.documents.select("extraction_id", "company"), "extraction_id").select("company", "path", "value")
+
+
+@query(
+    "m7_merged_files_and_notes",
+    f"""with {COMPANIES} select company, 'file' what, 'in/' || (id % 50)::varchar "text" from g group by all union all
+ select company, field_path, 'Controlled by amendment file' || id::varchar from fld join g on id = extraction_id where entity = 'metadata' and rn > 1 and amendment and "value" <> ''
+ union all select company, 'untouched', id::varchar from rk where files = 1""",
+)
+def _(t):
+    merged = _company_merge(t)
+    names = merged.documents.select("extraction_id", "company", "company_key")
+    files = merged.files.join(names, "extraction_id").select("company", F.lit("file").alias("what"), F.col("file_path").alias("text"))
+    notes = merged.notes.join(names, "company_key").select("company", F.col("field_path").alias("what"), F.col("note").alias("text"))
+    alone = merged.untouched.select(F.coalesce("customer_name", F.lit("Unknown Company")).alias("company"), F.lit("untouched").alias("what"), F.col("extraction_id").cast("string").alias("text"))
+    return files.unionByName(notes).unionByName(alone)
+
+
 @query(
     "m8_best_value",
     """with e as (select user_id, event_id, case when event_id % 3 = 0 then ' ' else event_type || event_id::varchar end val, cast("value" as decimal(12,2)) c from events) select user_id, val "value", c::double confidence from (select *, row_number() over (partition by user_id order by (val <> ' ')::int desc, c desc, event_id) rn from e) where rn = 1""",

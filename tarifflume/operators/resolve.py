@@ -71,31 +71,37 @@ def document_place(effective: Column, doc_type: Column, ordinal: Column) -> Colu
     )
 
 
-def overlay_fields(fields: DataFrame) -> DataFrame:
+def overlay_fields(fields: DataFrame, carried: list[str] | None = None, kept: list[str] | None = None, notes: bool = True) -> DataFrame:
     """Per (company, field): the value of the last document whose effective value is filled.
 
     The first document supplies the row, and its reviewer override stays in force. The
     rationale names every amendment that set the field, in document order, also where a later
-    document of another type overwrote the value.
+    document of another type overwrote the value; without `notes` it is left out, and
+    `overlay_notes` has the trail as rows. `carried` columns come with the value, `kept` ones
+    with the first document.
     Input has `place` (see `document_place`), `doc_type` and `file_name`.
     """
+    carried, kept = carried or [], kept or []
     effective = F.coalesce("override", "value")
     filled = effective.isNotNull() & (effective != "")
-    content = F.struct("value", "confidence", "source_page", "source_text", "doc_type", "file_name")
+    content = F.struct("value", "confidence", "source_page", "source_text", "doc_type", "file_name", *carried)
+    trail = F.array_sort(F.collect_list(F.when(filled & (F.lower("doc_type") == "amendment"), F.struct("place", F.concat(F.lit("Controlled by amendment "), "file_name").alias("note")))))
     merged = fields.groupBy("company_key", "field_path").agg(
-        F.min_by(F.struct("override", F.struct(content.alias("c")).alias("own")), "place").alias("base"),
+        F.min_by(F.struct("override", *kept, F.struct(content.alias("c")).alias("own")), "place").alias("base"),
         F.max_by(F.struct("place", content.alias("c")), F.when(filled, F.col("place"))).alias("last"),
         F.min("place").alias("base_place"),
-        F.array_sort(F.collect_list(F.when(filled & (F.lower("doc_type") == "amendment"), F.struct("place", F.concat(F.lit("Controlled by amendment "), "file_name").alias("note"))))).alias("notes"),
+        *([trail.alias("notes")] if notes else []),
     )
     use_last = F.col("last").isNotNull() & (F.col("last.place") > F.col("base_place"))
     chosen = F.when(use_last, F.col("last.c")).otherwise(F.col("base.own.c"))
-    later = F.transform(F.filter("notes", lambda n: n["place"] > F.col("base_place")), lambda n: n["note"])
     joined = lambda acc, n: F.when(acc.isNull(), n).when(F.contains(acc, n), acc).otherwise(F.concat(acc, F.lit("; "), n))
-    note = F.aggregate(later, F.lit(None).cast("string"), joined)
+    rationale = []
+    if notes:
+        later = F.transform(F.filter("notes", lambda n: n["place"] > F.col("base_place")), lambda n: n["note"])
+        rationale = [F.aggregate(later, F.lit(None).cast("string"), joined).alias("rationale")]
     return merged.withColumn("chosen", chosen).select(
         "company_key", "field_path", "chosen.value", F.col("base.override").alias("override"), "chosen.confidence", "chosen.source_page",
-        "chosen.source_text", note.alias("rationale"),
+        "chosen.source_text", *[f"chosen.{c}" for c in carried], *[f"base.{c}" for c in kept], *rationale,
     )
 
 
