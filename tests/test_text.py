@@ -30,7 +30,7 @@ def context(spark, data, hint):
 @pytest.mark.parametrize("block", [1, 4096])
 def test_tracking_shipments(spark, block):
     data = pages(spark, UPS_PAGES)
-    rows = it.tracking_shipments(docs.text_lines(data), context(spark, data, "ups"), block).orderBy("item_no").collect()
+    rows = it.tracking_shipments(data, context(spark, data, "ups"), block).orderBy("item_no").collect()
     a, b = rows
     assert (a["tracking_number"], str(a["ship_date"]), a["invoice_id"]) == ("1Z1234567890ABCDEF", "2025-02-10", "INV-77")
     assert float(a["total_billed"]) == 20.95 and float(a["rated_weight_lbs"]) == 12.0 and float(a["actual_weight_lbs"]) == 10.5
@@ -50,7 +50,7 @@ def test_block_shipments(spark, block):
 
 def test_cascade_and_gate(spark):
     data = pages(spark, UPS_PAGES).unionByName(pages(spark, FEDEX_PAGES, "f"))
-    kept = it.parse_documents(docs.text_lines(data), context(spark, data, "fedex")).collect()
+    kept = it.parse_documents(data, context(spark, data, "fedex")).collect()
     assert {(r["doc_id"], r["parser_ord"]) for r in kept} == {("d", 2), ("f", 3)}
     bad = spark.sql("select 'x' doc_id, 'x:1' line_id, cast(null as date) ship_date, 'g' service_code, 1.0 rated_weight_lbs")
     with pytest.raises(ValueError, match="missing critical field"):
