@@ -5,8 +5,9 @@ with its smallest ids, since no query can need more of them. The graph starts fr
 random-projection codes: neighbours within short runs of a few orders. Each round of NN-descent
 introduces a node's neighbours, and those that have it as a neighbour, to each other: vectors
 travel once to each such owner, all pairs of an owner are scored there in one matrix product, and
-only pairs that better a list come back. Reverse neighbours are sampled (`width` of them), so no
-hub gathers more; the search makes up for it, and the recall is tested against brute force.
+the best new pairs of each member (a quarter of `width`) come back. A node goes to `width` owners
+a round at most, so no hub gathers more. The graph is a heuristic in these and in its number of
+rounds; the search makes up for it, and the recall is tested against brute force.
 """
 
 from __future__ import annotations
@@ -184,11 +185,15 @@ def build(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddin
     good = staged(usable(vectors, id_column, column).distinct(), "vectors")
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     kept = good.withColumn("rank", rank).where(F.col("rank") <= members)
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    unit = F.transform("vec", lambda x: (x / F.col("norm")).cast("float"))
+    # squares of the components over the largest one neither overflow nor vanish
+    scaled = F.transform("vec", lambda x: x / F.col("largest"))
+    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.transform("scaled", lambda x: (x / F.col("norm")).cast("float"))
     grouped = staged(kept.groupBy("vec").agg(F.min("vec_id").alias("node"), F.collect_list("vec_id").alias("ids")), "distinct")
     # rows of one id and several vectors: the id stands for each of them
-    nodes = staged(grouped.withColumn("norm", norm).groupBy("node").agg(F.first(unit).alias("vec")), "nodes")
+    largest = F.array_max(F.transform("vec", F.abs))
+    units = grouped.withColumn("largest", largest).withColumn("scaled", scaled).withColumn("norm", norm)
+    nodes = staged(units.groupBy("node").agg(F.first(unit).alias("vec")), "nodes")
     of = grouped.select("node", F.explode("ids").alias("vec_id")).distinct()
     n = nodes.count()
     graph = staged(_updated(None, _start(nodes, trees, width), width), "graph")
@@ -258,6 +263,11 @@ def greedy_search(index: Index, queries: DataFrame, beam: int = 192, step: int =
     return out
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors over the power of two of their largest component: the same cosines, to the bit, without overflow."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, initial=0))[1][:, None])
+
+
 def nearest(index: Index, which, k: int = 5, beam: int = 192, step: int = 48) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each indexed row that `which` (a condition on vec_id) picks.
 
@@ -276,7 +286,7 @@ def nearest(index: Index, which, k: int = 5, beam: int = 192, step: int = 48) ->
 
     def exact(batches):
         for batch in batches:
-            a, b = _vectors(batch.column("a")), _vectors(batch.column("b"))
+            a, b = _scaled(_vectors(batch.column("a"))), _scaled(_vectors(batch.column("b")))
             dots = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
             yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("vec_id"), pa.array(dots)], ["query_id", "vec_id", "score"])
 

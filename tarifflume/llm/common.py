@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import time
 import uuid
@@ -43,10 +44,13 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir, which all executors see.
 
-    Only where that is unset, as in local tests, a temporary folder takes its place.
+    Only in local mode, where driver and executors are one process, a temporary folder takes
+    its place when that is unset; a cluster without the setting is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -147,8 +151,8 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, their bytes, where each begins and the last ends); null is empty."""
+def slices(texts: pa.Array, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, their bytes, where each begins and the last ends), `rows` at most at once; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -160,7 +164,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     low = 0
     while low < n:
-        high = min(n, max(low + 1, int(np.searchsorted(at, at[low] + SLICE_BYTES, "right")) - 1))
+        high = min(n, low + (rows or n), max(low + 1, int(np.searchsorted(at, at[low] + SLICE_BYTES, "right")) - 1))
         yield low, high, raw[at[low] : at[high]], at[low : high + 1] - at[low]
         low = high
 

@@ -23,6 +23,8 @@ from tarifflume.llm.common import ship, slices
 
 #: Lengths of the n-grams, and log2 of the places that they are hashed to.
 LENGTHS, PLACES = (1, 2, 3, 4), 14
+#: Texts that are taken at once, however short: a row of presence takes 5 bytes a place with its floats.
+ROWS = 256
 #: Share of a language's labelled texts, and number, that make an n-gram one of the language.
 COMMON, SEVERAL = 0.005, 2
 #: A text is rejected under `NEAR` (with the n-grams of all languages, `NEAR_ALL`) of what all but
@@ -153,7 +155,7 @@ def train(labelled: DataFrame, sample: int = 4000, n_landmarks: int = 256, ridge
     def build(batches):
         for batch in batches:
             texts, langs, bits = batch.column(0), batch.column(1).to_pylist(), []
-            for _, _, data, bounds in slices(texts):
+            for _, _, data, bounds in slices(texts, ROWS):
                 bits += [np.packbits(row).tobytes() for row in presence(data, bounds)]
             good = [i for i, t in enumerate(texts.to_pylist()) if has_letters(t)]
             yield pa.RecordBatch.from_arrays([pa.array([bits[i] for i in good], pa.binary()), pa.array([langs[i] for i in good], pa.string())], ["bits", "lang"])
@@ -185,7 +187,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = batch.column(1)
             letters = np.array([has_letters(t) for t in texts.to_pylist()], bool)
             langs, scores = np.full(len(letters), "und", object), np.zeros(len(letters))
-            for a, b, data, bounds in slices(texts):
+            for a, b, data, bounds in slices(texts, ROWS):
                 some = np.flatnonzero(letters[a:b])
                 if own is None or not len(some):
                     continue
@@ -202,12 +204,9 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def with_language(docs: DataFrame, model: Model | None, min_score: float = 0.25) -> DataFrame:
-    """The rows of `docs`, all columns, but for those that `identify` calls `und`, that are in no known language
-    (`Model.rejects`), or that score under `min_score`.
-
-    The score of the best of C languages is never under 1/C, so with four or fewer only a greater
-    `min_score` than 0.25 rejects anything. Where there is no model, only texts without letters go.
+def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of `docs`, all columns, but for those that `identify` calls `und` or that are in no known language
+    (`Model.rejects`). Where there is no model, only texts without letters go.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -219,11 +218,10 @@ def with_language(docs: DataFrame, model: Model | None, min_score: float = 0.25)
         for batch in batches:
             texts = batch.column(at)
             kept = np.array([has_letters(t) for t in texts.to_pylist()], bool)
-            for a, b, data, bounds in slices(texts):
+            for a, b, data, bounds in slices(texts, ROWS):
                 if own is not None:
                     there = presence(data, bounds)
-                    found = own.scores(there)
-                    kept[a:b] &= (np.clip((found.max(1) + 1) / 2, 0, 1) >= min_score) & ~own.rejects(there, found.argmax(1))
+                    kept[a:b] &= ~own.rejects(there, own.scores(there).argmax(1))
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,11 +6,12 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tarifflume.llm import ann, html_text, language_id, sharding
-from tarifflume.llm.common import shared_folder
+from tarifflume.llm.common import shared_folder, slices
 
 
 # --- sharding ---------------------------------------------------------------------------
@@ -163,6 +164,40 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert [v for _, v in got[100]] == [v for v, _ in exact]
 
 
+def test_very_small_and_very_large_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(20, 4)))]
+    rows += [(50, [1e-200] * 4), (51, [1e200, 1e200, 1.0, 1.0]), (52, [1e200, 1e200, 1.0, 1.1]), (53, [5e-324, 0.0, 0.0, 0.0]), (54, [1.7e308, 1.7e308, -1.7e308, 1.0]), (55, [1.0] * 4)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(ann.build(table), F.lit(True)).collect()
+    best = {r["query_id"]: (r["vec_id"], r["score"]) for r in got if r["rank"] == 1}
+    assert len(best) == len(rows) and len(got) == 5 * len(rows) and all(abs(r["score"]) <= 1 + 1e-12 for r in got)
+    assert best[50] == (55, pytest.approx(1.0)) and best[51] == (52, pytest.approx(1.0)) and best[52][0] == 51
+
+
+def test_short_texts_are_taken_some_at_a_time():
+    texts = pa.array(["", "a", None, "bc"] * 300)
+    got = [(a, b, len(bounds)) for a, b, _, bounds in slices(texts, 256)]
+    assert [x[:2] for x in got] == [(0, 256), (256, 512), (512, 768), (768, 1024), (1024, 1200)]
+    assert np.array_equal(np.concatenate([language_id.presence(d, t) for _, _, d, t in slices(texts, 7)]), np.concatenate([language_id.presence(d, t) for _, _, d, t in slices(texts)]))
+
+
+def test_the_fit_is_a_ridge_regression_on_whitened_landmark_kernels():
+    texts = ["the cat sat on the mat", "a dog and the cat", "le chat est sur le tapis", "un chien et le chat", "der hund ist hier", "die katze und der hund"]
+    langs = ["en", "en", "fr", "fr", "de", "de"]
+    (_, _, data, bounds), *_ = slices(pa.array(texts))
+    there = language_id.presence(data, bounds)
+    model = language_id.fit(np.packbits(there, axis=1), langs, n_landmarks=6, ridge=0.01)
+    x = there.astype(float)
+    kernel = (x @ x.T) / np.sqrt(np.outer(x.sum(1), x.sum(1)))
+    # ridge in the space of the kernel, with a free constant: alpha (K + n ridge) = centred targets
+    target = np.where(np.array(langs)[:, None] == np.array(["de", "en", "fr"]), 1.0, -1.0)
+    h = np.eye(6) - 1 / 6
+    alpha = np.linalg.solve(h @ kernel @ h + 0.06 * np.eye(6), h @ target)
+    plain = h @ kernel @ h @ alpha + target.mean(0)
+    assert np.allclose(model.scores(there), plain, atol=1e-3)
+
+
 @pytest.mark.parametrize("n", [0, 1, 3])
 def test_few_vectors(spark, n):
     table = spark.createDataFrame([(50 * k, [float(k), 1.0]) for k in range(n)], "vec_id long, embedding array<float>")

@@ -8,7 +8,7 @@ from tarifflume.llm.queries import ORACLE, QUERIES
 
 
 def test_names():
-    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 14)) and set(ORACLE) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "repeated_passages", "decontamination", "packing"]
 
 
