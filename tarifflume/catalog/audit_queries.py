@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tarifflume.catalog import oracle_views as ov
 from tarifflume.catalog.registry import query
-from tarifflume.operators import checks as ck, rollups as ru
+from tarifflume.operators import checks as ck, maintenance as mt, rollups as ru
+from tarifflume.session import written_folder
+from tarifflume.sources import extractions as ex
 
 JOINED = "j as (select line.*, a.* exclude (agreement_id) from line join agreement a using (agreement_id) where a.status = 'approved')"
 
@@ -341,3 +343,37 @@ def _(t):
     reports = ru.report_headers(lines, findings, t.approved)
     block = F.floor(F.col("line_seq.l_orderkey") / 4096)
     return ru.report_lines(findings, reports, "2026-04-20T00:00:00Z", block)
+
+
+@query(
+    "s17_written_report",
+    _REPORT.rsplit(" select agreement_id, section, item", 1)[0]
+    + """ select 'header' what, count(*) n, cast(sum(total_recovery_potential) as double) total from hd union all select 'finding', count(*), cast(sum(impact) as double) from ded
+ union all select 'text', sum(len(texts))::bigint, cast(sum(list_sum(list_transform(texts, lambda x: length(x)))) as double) from part""",
+)
+def _(t):
+    """The report of all agreements, written, read back and summed up from its files."""
+    lines = t.invoice_line.join(t.approved.select("agreement_id"), "agreement_id", "left_semi")
+    findings = ru.first_per_charge(ru.all_findings(lines, t.approved, **t.reference)).select(
+        "agreement_id", "line_id", "line_seq", "check_ord", "tracking_number", "transaction_id", "ship_date", "service_or_charge_type", "discrepancy_type", "field",
+        "billed_value", "billed_amount", "expected_value", "expected_amount", "dollar_impact", "why_discrepancy", "explanation")
+    folder = written_folder(t.spark, "report")
+    stored = mt.write_version(findings, f"{folder}/findings-table", "1")
+    findings = t.spark.read.schema(findings.schema).parquet(stored)
+    headers = ru.report_headers(lines, findings, t.approved)
+    body = ru.report_lines(findings, headers, "2026-04-20T00:00:00Z", F.floor(F.col("line_seq.l_orderkey") / 4096))
+    ex.write_report(headers, findings, body, f"{folder}/out")
+    back = ex.read_report(t.spark, f"{folder}/out", headers.schema, findings.schema)
+    sums = [("header", F.col("total_recovery_potential")), ("finding", F.col("dollar_impact")), ("text", F.length("text"))]
+    out = [df.agg(F.count(F.lit(1)).alias("n"), F.sum(c).cast("double").alias("total")).select(F.lit(what).alias("what"), "n", "total") for df, (what, c) in zip(back, sums, strict=True)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("s20_published_version", f"with {ov.FUEL} select carrier, class, strftime(week_start, '%Y-%m-%d') week_day, cast(pct + 0.5 as double) pct from fuel_rate")
+def _(t):
+    """Two published versions and one that was never finished: readers get the second."""
+    folder = written_folder(t.spark, "fuel-versions")
+    mt.publish_version(t.fuel_rate, folder, "20260401")
+    mt.publish_version(t.fuel_rate.withColumn("pct", (F.col("pct") + F.lit("0.5").cast("decimal(2,1)")).cast("decimal(8,4)")), folder, "20260408")
+    mt.write_version(t.fuel_rate, folder, "20260415")
+    return mt.read_version(t.spark, folder).selectExpr("carrier", "class", "date_format(week_start, 'yyyy-MM-dd') week_day", "cast(pct as double) pct")

@@ -234,7 +234,7 @@ ACCOUNT = [
     r"(?i)(?:^|\n)\s*([A-Z0-9]{6,12})\s+[A-Z0-9&.,'\- ]{3,}\n",
     r"(\d{9,12})\s*-\s*\d{2,3}",
 ]
-ADDENDUM_ACCOUNT = r"(?im)List\s+of\s+Account\s+Numbers[\s\S]{0,2500}?(?:^|\n)\s*([A-Z0-9]{6,12})\s+[A-Z0-9&.,'\- ]{3,}"
+ADDENDUM_ACCOUNT = r"(?im)List\s+of\s+Account\s+Numbers[\s\S]*?(?:^|\n)\s*([A-Z0-9]{6,12})\s+[A-Z0-9&.,'\- ]{3,}"
 LOOSE_ACCOUNT = r"([\dA-Z]{10,11})\s+[A-Z\-]"
 AGREEMENT = [
     r"(?i)Agreement\s*(?:Number|#|No\.?)\s*[:\-]?\s*([\w\-]+)",
@@ -275,9 +275,9 @@ TERM_RANGE = [
 TERM_DURATION = r"(?i)remain\s*in\s*effect\s*for\s*(\d+)\s*(weeks?|months?|years?)"
 PAYMENT_OPENING = r"(?i)(Customer agrees to pay the total invoice amount in full within the time period required by UPS\.)"
 PAYMENT_DAYS = [
-    r"(?i)Payment\s+is\s+due\s+within\s+the\s+following\s+number\s+of\s+days[\s\S]{0,500}?(?:Attachment|Credit\s+Term)\s*[:\s]\s*(\d+)",
-    r"(?i)Payment\s+is\s+due\s+within[^\n]{0,200}?(\d+)\s*(?:days?|calendar)",
-    r"(?im)Payment\s*Terms?\s*\(\s*Days\s*\)[^\n]*\n(?:[^\n]*\n){0,5}?[^\n]*[\dA-Z]{8,}\s+\S+[^\n]*\s(\d{1,3})\s*$",
+    r"(?i)Payment\s+is\s+due\s+within\s+the\s+following\s+number\s+of\s+days[\s\S]*?(?:Attachment|Credit\s+Term)\s*[:\s]\s*(\d+)",
+    r"(?i)Payment\s+is\s+due\s+within[^\n]*?(\d+)\s*(?:days?|calendar)",
+    r"(?im)Payment\s*Terms?\s*\(\s*Days\s*\)[^\n]*\n(?:[\s\S]*?\n)??[^\n]*[\dA-Z]{8,}\s+\S+[^\n]*\s(\d{1,3})\s*$",
     r"(?i)Payment\s+Terms?\s*[:\-]\s*(?:Net\s+)?(\d+)\s*(?:days?)?",
     r"(?i)Net\s+(\d+)\s+days?",
 ]
@@ -290,19 +290,19 @@ SERVICES_BLOCK = (
     r"(?is)\bApplicable\s+Services\s*[:\.]?\s*(.*?)(?:\n[ \t]*(?:Payment\s+Terms|Special\s+Provisions|Effective\s+Date|Surcharges|Definitions|Master\s+Agreement)\b|\z)"
 )
 SERVICES_CLAUSE = (
-    r"(?is)\b(?:the\s+following\s+services?|services?\s+covered)\b[\s:,-]+(.{40,3500}?)(?:\n[ \t]*(?:Payment\s+Terms|Special\s+Provisions|Effective\s+Date)\b|\z)"
+    r"(?is)\b(?:the\s+following\s+services?|services?\s+covered)\b[\s:,-]+(.{40,}?)(?:\n[ \t]*(?:Payment\s+Terms|Special\s+Provisions|Effective\s+Date)\b|\z)"
 )
 
 EV = "struct<value: string, confidence: double, source_text: string, needs_review: boolean>"
 
 
-def _hit(text: Column, pattern: str, confidence: float, *, value=None, group: int = 1, before: int = 20, after: int = 20, clip: int = 120, review: bool = False) -> Column:
+def _hit(text: Column, pattern: str, confidence: float, *, value=None, group: int = 1, before: int = 20, after: int = 20, review: bool = False) -> Column:
     """Extracted value of one pattern, or null: the matched text is bound once."""
 
     def build(m: Column) -> Column:
         at = F.instr(text, m)
         start = F.greatest(F.lit(1), at - before)
-        snippet = F.substring(_strip(F.substring(text, start, at - start + F.length(m) + after)), 1, clip)
+        snippet = _strip(F.substring(text, start, at - start + F.length(m) + after))
         found = F.trim(F.regexp_extract(text, pattern, group)) if value is None else value(text)
         return F.when(m != "", F.struct(_strip(found), F.lit(confidence), snippet, F.lit(review)).cast(EV))
 
@@ -353,7 +353,7 @@ def _payment(text: Column) -> Column:
         _hit(text, p, 0.90, value=lambda t, p=p: F.concat(F.lit("Net "), F.trim(F.regexp_extract(t, p, 1)), F.lit(" days"))) for p in PAYMENT_DAYS
     ]
     return F.coalesce(
-        _hit(text, PAYMENT_OPENING, 0.88, before=40, after=30, clip=200), *days, find_first(text, PAYMENT_LINE), _block(text, PAYMENT_BLOCK, 0.78, 40)
+        _hit(text, PAYMENT_OPENING, 0.88, before=40, after=30), *days, find_first(text, PAYMENT_LINE), _block(text, PAYMENT_BLOCK, 0.78, 40)
     )
 
 
@@ -369,14 +369,14 @@ def metadata(documents: DataFrame) -> DataFrame:
         find_first(text, VERSION).alias("version_number"),
         find_first(text, EFFECTIVE).alias("effective_date"),
         find_first(text, OFFER).alias("offer_expiration"),
-        find_first(text, EXTERNAL_TERM, 0.78, value=lambda _: F.lit("true"), before=60, after=80, clip=220, review=True).alias("external_term_reference"),
+        find_first(text, EXTERNAL_TERM, 0.78, value=lambda _: F.lit("true"), before=60, after=80, review=True).alias("external_term_reference"),
         _carrier(text).alias("carrier"),
         _payment(text).alias("payment_terms"),
         F.coalesce(_block(text, SERVICES_BLOCK, 0.74, 25), F.when(~text.rlike(r"(?i)\bApplicable\s+Services"), _block(text, SERVICES_CLAUSE, 0.74, 25))).alias("applicable_services"),
         find_first(text, TERM_RANGE, group=1, before=10, after=10).alias("range_start"),
         find_first(text, TERM_RANGE, group=2, before=10, after=10).alias("range_end"),
         _hit(text, TERM_DURATION, 0.80, value=lambda t: F.concat_ws(" ", F.regexp_extract(t, TERM_DURATION, 1), F.regexp_extract(t, TERM_DURATION, 2))).alias("duration"),
-        _hit(text, PROCEDURAL, 0.72, value=lambda _: F.lit(PROCEDURAL_TEXT), before=40, after=40, clip=200, review=True).alias("procedural"),
+        _hit(text, PROCEDURAL, 0.72, value=lambda _: F.lit(PROCEDURAL_TEXT), before=40, after=40, review=True).alias("procedural"),
     )
     dated = base.withColumn(
         "effective_date", F.coalesce("effective_date", F.when(F.col("carrier.value") == "UPS", F.col("procedural")))

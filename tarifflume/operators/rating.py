@@ -181,11 +181,31 @@ def surcharge_violations(surcharges: DataFrame) -> DataFrame:
     ])
 
 
-def contracts_in_force(dated: DataFrame, contracts: DataFrame, day: str) -> DataFrame:
-    """Contracts of the row's account that are in force on its date (both ends inclusive)."""
-    on = (
-        (F.col("d.account") == F.col("c.account"))
-        & (F.col("c.effective_date") <= F.col(f"d.{day}"))
-        & (F.col("c.expiration_date").isNull() | (F.col(f"d.{day}") <= F.col("c.expiration_date")))
+def _month(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day) - 1
+
+
+def contracts_in_force(dated: DataFrame, contracts: DataFrame, day: str, months: int = 24, years: int = 40) -> DataFrame:
+    """Contracts of the row's account that are in force on its date (both ends inclusive).
+
+    Contracts are unfolded to the months they touch, those of over `months` months to years, and
+    open or longer than `years` to one bin, so each has a bounded number of rows. A dated row
+    looks into its month, its year and the open bin of its account: it meets the contracts of that
+    month, not all its account ever had. The dates are tested after.
+    """
+    first, last = _month(F.col("effective_date")), _month(F.col("expiration_date"))
+    bins = lambda kind, low, high: F.transform(F.sequence(low, high), lambda n: F.struct(F.lit(kind).alias("kind"), n.cast("int").alias("n")))
+    open_bin = F.struct(F.lit("open").alias("kind"), F.lit(0).alias("n"))
+    spread = (
+        F.when(F.col("expiration_date").isNull() | (last - first > 12 * years), F.array(open_bin))
+        .when(last - first <= months, bins("month", first, last))
+        .otherwise(bins("year", F.floor(first / 12), F.floor(last / 12)))
     )
-    return dated.alias("d").join(contracts.alias("c"), on).select("d.*", "c.contract_id")
+    alive = contracts.where(F.col("expiration_date").isNull() | (F.col("effective_date") <= F.col("expiration_date")))
+    unfolded = alive.select("account", "contract_id", "effective_date", "expiration_date", F.explode(spread).alias("bin"))
+    month = _month(F.col(day))
+    own = F.array(open_bin, F.struct(F.lit("month").alias("kind"), month.cast("int").alias("n")), F.struct(F.lit("year").alias("kind"), F.floor(month / 12).cast("int").alias("n")))
+    rows = dated.where(F.col(day).isNotNull()).withColumn("_bin", F.explode(own))
+    on = (F.col("d.account") == F.col("c.account")) & (F.col("d._bin.kind") == F.col("c.bin.kind")) & (F.col("d._bin.n") == F.col("c.bin.n"))
+    inside = (F.col("c.effective_date") <= F.col(f"d.{day}")) & (F.col("c.expiration_date").isNull() | (F.col(f"d.{day}") <= F.col("c.expiration_date")))
+    return rows.alias("d").join(unfolded.alias("c"), on).where(inside).select("d.*", "c.contract_id").drop("_bin")

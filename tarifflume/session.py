@@ -36,6 +36,14 @@ def shared_folder(spark: SparkSession) -> str | None:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp") if context.master.startswith("local") else None
 
 
+def written_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for what a query writes and reads again."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result once and read it back, for plans that use it several times.
 

@@ -73,3 +73,14 @@ def test_freshness(spark, tmp_path):
 def test_weekly_pairs(spark):
     df = spark.createDataFrame([("d", "Week of 01/06/2025 rate is 12.25 % then 2025-01-13: 12.5% and 1/6/2025 now 13%")], "doc_id string, text string")
     assert {(r["week"], float(r["pct"])) for r in mt.weekly_pairs(df).collect()} == {("2025-01-06", 13.0), ("2025-01-13", 12.5)}
+
+
+def test_only_published_versions_are_read(spark, tmp_path):
+    folder = str(tmp_path / "v")
+    one, two = spark.range(3), spark.range(5)
+    mt.publish_version(one, folder, "20250101")
+    mt.publish_version(two, folder, "20250201")
+    mt.write_version(spark.range(9), folder, "20250301")
+    assert mt.read_version(spark, folder).count() == 5 and mt.read_version(spark, folder, "20250101").count() == 3
+    with pytest.raises(ValueError, match="no published version"):
+        mt.read_version(spark, folder, "20250301")
