@@ -298,6 +298,30 @@ def _(t):
     )
 
 
+_IDENTIFIERS = """concat('Rates: ', k, chr(10),
+ case k % 4 when 0 then concat('Account Number: AB', k, '7788', chr(10)) when 1 then concat('Acct # 99', k, '1234', chr(10)) when 2 then concat('List of Account Numbers', chr(10), repeat(concat('a (b) c;', chr(10)), 20 + k % 500), 'ZX', k, '40 ACME SHIPPING CO', chr(10)) else '' end,
+ case k % 3 when 0 then concat('Agreement No. PA-', k, '-x', chr(10)) when 1 then concat('Contract #: C', k, chr(10)) else concat('signed P123456789-0', k % 10, ' (UPS)', chr(10)) end,
+ case k % 5 when 0 then concat('Applicable Services: Ground and Air, daily  pickup', chr(10), 'for all (b) of ', k, chr(10)) when 1 then concat('the following services: ', repeat('a (b) c; ', 5 + k % 700), chr(10)) else '' end,
+ 'Payment Terms: (net)')"""
+
+
+@query(
+    "e22_e23_e27_identifiers",
+    f"""with d as (select o_orderkey k, {_IDENTIFIERS} x from orders),
+ hit as (select k, x, coalesce(nullif(regexp_extract(x, '(?i)Account\\s*(?:Number|#|No\\.?)\\s*[:\\-]?\\s*([A-Z0-9\\-]{{6,20}})', 1), ''), nullif(regexp_extract(x, '(?i)Acct\\s*(?:No\\.?|#)\\s*[:\\-]?\\s*([A-Z0-9\\-]{{6,20}})', 1), ''),
+  nullif(regexp_extract(x, '(?i)(?:^|\\n)\\s*([A-Z0-9]{{6,12}})\\s+[A-Z0-9&.,''\\- ]{{3,}}\\n', 1), ''), nullif(regexp_extract(x, '(\\d{{9,12}})\\s*-\\s*\\d{{2,3}}', 1), ''), nullif(regexp_extract(x, '([\\dA-Z]{{10,11}})\\s+[A-Z\\-]', 1), '')) account, regexp_extract(x, '(?is)\\bApplicable\\s+Services\\s*[:\\.]?\\s*(.*?)\\n[ \\t]*Payment\\s+Terms\\b', 1) named,
+  regexp_extract(x, '(?is)\\bthe\\s+following\\s+services?\\b[\\s:,-]+(.{{40,}}?)\\n[ \\t]*Payment\\s+Terms\\b', 1) listed from d),
+ squeezed as (select *, trim(regexp_replace(case when contains(x, 'Applicable Services') then named else listed end, '\\s+', ' ', 'g')) services from hit)
+ select k doc_id, case when length(account) >= 6 and regexp_matches(account, '\\d') then account end account_number, coalesce(nullif(regexp_extract(x, '(?i)Agreement\\s*(?:Number|#|No\\.?)\\s*[:\\-]?\\s*([\\w\\-]+)', 1), ''), nullif(regexp_extract(x, '(?i)Contract\\s*(?:Number|#|No\\.?)\\s*[:\\-]?\\s*([\\w\\-]+)', 1), ''), nullif(regexp_extract(x, '(P\\d{{9,12}}-\\d{{2}})', 1), '')) agreement_number,
+ case when length(services) >= 25 then length(services) end services_chars, case when length(services) >= 25 then md5(services) end services_digest from squeezed""",
+)
+def _(t):
+    """Accounts far behind their title and services clauses of any length."""
+    m = tx.metadata(t.table("orders").selectExpr("o_orderkey k").selectExpr("k doc_id", f"{_IDENTIFIERS} full_text"))
+    services = F.col("applicable_services.value")
+    return m.select("doc_id", F.col("account_number.value").alias("account_number"), F.col("agreement_number.value").alias("agreement_number"), F.length(services).alias("services_chars"), F.md5(services).alias("services_digest"))
+
+
 @query("e21_e23_long_metadata")
 def _(t):
     return tx.metadata_rows(tx.metadata(_documents(t)))
