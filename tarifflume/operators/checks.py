@@ -513,7 +513,7 @@ def attach_repeats(lines: DataFrame, order: str = "line_seq") -> DataFrame:
 
 def duplicate_findings(lines: DataFrame, order: str = "line_seq") -> DataFrame:
     """Second and later bills of one (tracking number, ship date) with a positive total."""
-    return run_checks(attach_repeats(lines, order), ["duplicate"], order)
+    return run_checks(attach_repeats(lines, order).where("first_seq is not null"), ["duplicate"], order)
 
 
 def _explanations() -> dict[int, Column]:
