@@ -389,10 +389,34 @@ def _(t):
     return typed.select("doc_id", "section_no", "section_type", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("e32_chunks")
-def _(t):
-    pages = t.table("documents").selectExpr("doc_id % 40 doc_id", "doc_id page_number", "concat(case when doc_id % 280 < 40 then 'SECTION A\\n' else '' end, text) text")
-    return sc.chunks(pages).select("doc_id", "chunk", "part", F.length("text").alias("chars"), F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "section_header")
+# Real texts, 64 pages to a document: headers in its first half only, so the second half is one long group.
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+CHUNKS = f"""with recursive pg as (select doc_id // 64 d, (doc_id % 64)::int n, case when doc_id % 64 < 32 and doc_id % 5 = 0 then 'SECTION A' || chr(10) else '' end || coalesce(text, '') t from documents),
+ hd as (select d, n, chr(10) || chr(10) || '--- Page ' || n::varchar || ' ---' || chr(10) || t b,
+  list_filter(list_transform(string_split({_TRIM.format("t")}, chr(10)), lambda x: {_TRIM.format("x")}), lambda x: regexp_matches(x, '(?i)^(SECTION|ARTICLE|PART|SCHEDULE|EXHIBIT|APPENDIX|AMENDMENT)\\s') or regexp_matches(x, '^\\d+\\.\\s+[A-Z]') or regexp_matches(x, '^[A-Z][A-Z\\s]{{5,}}$'))[1] h from pg),
+ gr as (select *, sum((h is not null and n > f)::int) over (partition by d order by n) g from (select *, min(n) over (partition by d) f from hd)),
+ sz as (select *, sum(size) over (partition by d order by g) upto from (select d, g, sum(length(b)) size from gr group by 1, 2)),
+ nx as (select a.d, a.g, min(b.g) z from sz a join sz b on b.d = a.d and b.g > a.g and b.upto - a.upto + a.size >= 6000 group by 1, 2),
+ st as (select d, 0::hugeint g from sz where g = 0 union all select nx.d, nx.z from st join nx on nx.d = st.d and nx.g = st.g),
+ cn as (select gr.*, (select count(*) from st where st.d = gr.d and st.g <= gr.g) - 1 c from gr),
+ ch as (select d, c, {_TRIM.format("string_agg(b, '' order by n)")} t, string_agg(n::varchar, ',' order by n) p, arg_min(h, n) filter (where h is not null and g = g0) h from (select *, min(g) over (partition by d, c) g0 from cn) group by 1, 2),
+ pa as (select d, c, unnest(string_split(t, chr(10) || chr(10))) x, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) i from ch where length(t) > 10000),
+ ps as (select *, sum(length(x) + 2) over (partition by d, c order by i) upto from pa),
+ pn as (select a.d, a.c, a.i, min(b.i) z from ps a join ps b on b.d = a.d and b.c = a.c and b.i > a.i and b.upto - 2 - a.upto + length(a.x) + 2 > 6000 group by 1, 2, 3),
+ pt as (select d, c, i from ps where i = 1 union all select pn.d, pn.c, pn.z from pt join pn on pn.d = pt.d and pn.c = pt.c and pn.i = pt.i),
+ pr as (select d, c, k, {_TRIM.format("string_agg(x, chr(10) || chr(10) order by i)")} t from (select ps.*, (select count(*) from pt where pt.d = ps.d and pt.c = ps.c and pt.i <= ps.i) k from ps) group by 1, 2, 3),
+ al as (select d, c, 0 part, t, p, h from ch where length(t) <= 10000 union all select pr.d, pr.c, row_number() over (partition by pr.d, pr.c order by k) - 1, pr.t, p, h from pr join ch on ch.d = pr.d and ch.c = pr.c where pr.t <> '')
+ select d doc_id, c chunk, part, length(t) chars, md5(t) digest, p pages, h section_header from al"""
+
+
+@query("e32_chunks", CHUNKS)
+def _(t):
+    pages = t.table("documents").selectExpr(
+        "doc_id div 64 doc_id", "cast(doc_id % 64 as int) page_number", "concat(case when doc_id % 64 < 32 and doc_id % 5 = 0 then 'SECTION A\\n' else '' end, coalesce(text, '')) text"
+    )
+    return sc.chunks(pages).select(
+        "doc_id", "chunk", "part", F.length("text").alias("chars"), F.md5("text").alias("digest"), F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "section_header"
+    )
 
 
 @query(

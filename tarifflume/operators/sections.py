@@ -8,7 +8,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tarifflume.functions.labels import ocr_header, section_header
-from tarifflume.operators.positions import running
+from tarifflume.operators.positions import number_within, running
+from tarifflume.session import written_folder
 
 # Weighted wording of the four section types, in tie order.
 SECTION_WORDING: dict[str, list[tuple[str, float]]] = {
@@ -222,55 +223,112 @@ def sections_of_type(classified: DataFrame, *kinds: str) -> DataFrame:
     return classified.where(F.col("section_type").isin(*kinds))
 
 
+def _kept(df: DataFrame, folder: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def greedy_starts(items: DataFrame, keys: list[str], target: int, per_block: int = 4096) -> DataFrame:
+    """(keys, no) of the items at which a run begins when items are merged in order as long as
+    a run's `size` stays below `target`; an item that is larger stands alone.
+
+    `items` holds keys, `no` (from 0, gapless) and `size` (above 0). Each item's successor is the
+    item that covers the character `target` behind its own begin, found in bins of `target`
+    characters, so no window is larger than a bin. From item 0 the runs are reached by pointer
+    doubling: each round squares the jumps, so there are as many rounds as the longest chain
+    has binary digits. The rounds are written to the shared folder, two at a time.
+    """
+    spark = items.sparkSession
+    folder = written_folder(spark, "runs")
+    upto = running(items.select(*keys, "no", "size"), keys, ["no"], F.floor(F.col("no") / per_block), sums={"upto": F.col("size")})
+    upto = upto.withColumn("begin", F.col("upto") - F.col("size"))
+    bin_of = lambda c: F.floor(c / target).cast("bigint")
+    place = lambda at, seeker: F.struct(at.cast("bigint").alias("at"), F.col("no").cast("bigint").alias("no"), F.lit(seeker).alias("seeker"))
+    seek = F.col("begin") + target
+    covers = upto.select(*keys, F.explode(F.sequence(bin_of(F.col("begin") + 1), bin_of(F.col("upto")))).alias("bin"), place(F.col("upto"), False).alias("p"))
+    events = covers.unionByName(upto.select(*keys, bin_of(seek).alias("bin"), place(seek, True).alias("p"))).select(*keys, "bin", "p.*")
+    back = Window.partitionBy(*keys, "bin").orderBy(F.desc("at"), "seeker").rowsBetween(Window.unboundedPreceding, 0)
+    found = events.withColumn("to", F.last(F.when(~F.col("seeker"), F.col("no")), ignorenulls=True).over(back)).where("seeker and to is not null")
+    jumps = _kept(found.select(*keys, "no", F.greatest("to", F.col("no") + 1).alias("to")), f"{folder}/jumps-0")
+    starts = items.where("no = 0").select(*keys, F.col("no").cast("bigint").alias("no"))
+    turn = 0
+    while not jumps.isEmpty():
+        turn += 1
+        reached = starts.join(jumps, [*keys, "no"]).select(*keys, F.col("to").alias("no"))
+        starts = _kept(starts.unionByName(reached), f"{folder}/starts-{turn % 2}")
+        further = jumps.select(*keys, F.col("no").alias("to"), F.col("to").alias("beyond"))
+        jumps = _kept(jumps.join(further, [*keys, "to"]).select(*keys, "no", F.col("beyond").alias("to")), f"{folder}/jumps-{turn % 2}")
+    return starts.join(items.select(*keys, "no"), [*keys, "no"], "left_semi")
+
+
+def _runs(items: DataFrame, keys: list[str], target: int, name: str, per_block: int = 4096) -> DataFrame:
+    """`items` (keys, no, size) with the number, from 0, of the run that each belongs to."""
+    starts = greedy_starts(items, keys, target, per_block).withColumn("_start", F.lit(1).cast("bigint"))
+    flagged = items.select(*keys, "no").join(starts, [*keys, "no"], "left")
+    numbered = running(flagged, keys, ["no"], F.floor(F.col("no") / per_block), sums={name: F.coalesce("_start", F.lit(0))})
+    return numbered.select(*keys, "no", (F.col(name) - 1).cast("int").alias(name))
+
+
+def _joined(order: list[str], text: str, between: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda x: x[text]), between)
+
+
 def chunks(pages: DataFrame, target: int = 6000, limit: int = 10000, pages_per_block: int = 4096) -> DataFrame:
     """Chunks of documents: page groups opened by a section header, merged greedily below
     `target` characters, and split on blank lines above `limit`.
 
-    Only the greedy merge is sequential; it folds over (group, length) pairs per document,
-    never over text.
+    Both greedy steps are runs of `greedy_starts`, over page groups and over the paragraphs of
+    chunks above `limit`. Such a chunk's text is never one string: its paragraphs stay rows until
+    the part they belong to is known. Paragraphs are cut page by page; a last line feed without a
+    partner goes to the next page, so the cuts are those of the whole text. Null texts are empty;
+    an empty table gives no rows. The rounds run while the result is built.
+    What several steps read (places of pages, facts of chunks, paragraphs of long chunks) is written
+    to the shared folder.
     """
+    key = ["doc_id", "chunk"]
+    folder = written_folder(pages.sparkSession, "chunks")
     body = F.concat(F.lit("\n\n--- Page "), F.col("page_number").cast("string"), F.lit(" ---\n"), F.coalesce("text", F.lit("")))
     firsts = pages.groupBy("doc_id").agg(F.min("page_number").alias("first_page"))
     tables = F.col("has_tables") if "has_tables" in pages.columns else F.lit(False)
+    tail = F.length(F.regexp_extract(body, r"\s*\z", 0))
     opened = pages.select(
-        "doc_id", "page_number", body.alias("body"), section_header(F.coalesce(F.col("text"), F.lit(""))).alias("header"), tables.alias("has_tables")
+        "doc_id", "page_number", F.length(body).alias("chars"), tail.alias("tail"), section_header(F.coalesce(F.col("text"), F.lit(""))).alias("header"), tables.alias("has_tables")
     ).join(firsts, "doc_id")
     opens = (F.col("header").isNotNull() & (F.col("page_number") > F.col("first_page"))).cast("bigint")
-    grouped = running(opened, ["doc_id"], ["page_number"], F.floor(F.col("page_number") / pages_per_block), sums={"grp": opens})
-    sizes = grouped.groupBy("doc_id", "grp").agg(F.sum(F.length("body")).alias("size"))
-    start = F.struct(F.array().cast("array<struct<grp: bigint, chunk: int>>").alias("out"), F.lit(-1).alias("chunk"), F.lit(0).cast("bigint").alias("size"))
-
-    def step(acc: Column, g: Column) -> Column:
-        joins = (acc["chunk"] >= 0) & (acc["size"] + g["size"] < target)
-        chunk = F.when(joins, acc["chunk"]).otherwise(acc["chunk"] + 1)
-        return F.struct(
-            F.array_append(acc["out"], F.struct(g["grp"].alias("grp"), chunk.alias("chunk"))).alias("out"), chunk.alias("chunk"),
-            F.when(joins, acc["size"] + g["size"]).otherwise(g["size"]).alias("size"),
-        )
-
-    folded = sizes.groupBy("doc_id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("grp", "size"))), start, step)["out"].alias("out"))
-    placed = folded.select("doc_id", F.explode("out").alias("o")).select("doc_id", "o.grp", "o.chunk")
-    merged = (
-        grouped.join(placed, ["doc_id", "grp"]).groupBy("doc_id", "chunk").agg(
-            F.array_sort(F.collect_list(F.struct("page_number", "body"))).alias("p"),
-            F.min_by("header", F.when(F.col("header").isNotNull(), F.struct("grp", "page_number"))).alias("h1"), F.min("grp").alias("g0"), F.bool_or("has_tables").alias("has_tables"),
-            F.min_by(F.struct("grp"), F.when(F.col("header").isNotNull(), F.struct("grp", "page_number"))).alias("hg"),
-        )
-    )
-    text = F.regexp_replace(F.array_join(F.col("p.body"), ""), r"^\s+|\s+$", "")
-    whole = merged.select(
-        "doc_id", "chunk", text.alias("text"), F.col("p.page_number").alias("pages"), F.when(F.col("hg.grp") == F.col("g0"), F.col("h1")).alias("section_header"), "has_tables"
+    grouped = running(opened, ["doc_id"], ["page_number"], F.floor(F.col("page_number") / pages_per_block), sums={"no": opens})
+    grouped = _kept(grouped.drop("first_page"), f"{folder}/pages")
+    sizes = _kept(grouped.groupBy("doc_id", "no").agg(F.sum("chars").alias("size")), f"{folder}/groups")
+    placed = _kept(grouped.join(_runs(sizes, ["doc_id"], target, "chunk"), ["doc_id", "no"]), f"{folder}/placed")
+
+    titled = F.when(F.col("header").isNotNull(), F.struct("no", "page_number"))
+    facts = placed.groupBy(*key).agg(
+        F.array_sort(F.collect_list("page_number")).alias("pages"),
+        F.min_by(F.struct("no", "header"), titled).alias("title"), F.min("no").alias("first_no"), F.bool_or("has_tables").alias("has_tables"),
+        (F.sum("chars") - 2 - F.max_by("tail", "page_number")).alias("size"),  # the text begins with two line feeds
+    ).select(
+        *key, "pages", F.when(F.col("title.no") == F.col("first_no"), F.col("title.header")).alias("section_header"), "has_tables",
+        (F.col("size") > limit).alias("long"), F.element_at("pages", 1).alias("first_page"), F.element_at("pages", -1).alias("last_page"),
     )
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def pack(acc: Column, para: Column) -> Column:
-        full = (F.length(acc["open"]) + F.length(para) > target) & (acc["open"] != "")
-        return F.struct(
-            F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"),
-            F.concat(F.when(full, "").otherwise(acc["open"]), F.lit("\n\n"), para).alias("open"),
-        )
-
-    packed = F.aggregate(F.split("text", "\n\n"), empty, pack, lambda acc: F.array_append(acc["done"], acc["open"]))
-    trimmed = F.filter(F.transform(packed, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    parts = F.when(F.length("text") <= limit, F.array("text")).otherwise(trimmed)
-    return whole.select("doc_id", "chunk", F.posexplode(parts).alias("part", "text"), "pages", "section_header", "has_tables")
+    facts = _kept(facts, f"{folder}/facts")
+    first, last = F.col("page_number") == F.col("first_page"), F.col("page_number") == F.col("last_page")
+    head = F.when(first, F.regexp_replace("body", r"^\s+", "")).otherwise(F.col("body"))
+    places = placed.select(*key, "page_number").join(facts.select(*key, "long", "first_page", "last_page"), key)
+    cut = pages.select("doc_id", "page_number", body.alias("body")).join(places, ["doc_id", "page_number"]).withColumn("body", head)
+    cut = cut.withColumn("body", F.when(last, F.regexp_replace("body", r"\s+\z", "")).otherwise(F.col("body")))
+    whole = cut.where("not long").groupBy(*key).agg(_joined(["page_number"], "body", "").alias("text")).select(*key, F.lit(0).alias("part"), "text")
+
+    odd = F.length(F.regexp_extract("body", r"\n*\z", 0)) % 2 == 1
+    moved = running(cut.where("long").withColumn("odd", odd), key, ["page_number"], F.floor(F.col("page_number") / pages_per_block), befores={"carry": F.col("odd")})
+    even = F.when(F.col("odd"), F.expr("left(body, length(body) - 1)")).otherwise(F.col("body"))
+    texts = F.split(F.concat(F.when(F.coalesce("carry", F.lit(False)), "\n").otherwise(""), even), "\n\n")
+    own = F.when(first, texts).otherwise(F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0))))  # the blank line before a page is no paragraph
+    paragraphs = moved.select(*key, "page_number", F.posexplode(own).alias("place", "text"))
+    paragraphs = number_within(paragraphs, key, ["page_number", "place"], F.floor(F.col("page_number") / 64)).withColumn("no", F.col("number") - 1)
+    paragraphs = _kept(paragraphs.select(*key, "no", "text"), f"{folder}/paragraphs")
+    spans = paragraphs.select(*key, "no", (F.length("text") + 2).cast("bigint").alias("size"))  # with the blank line before it
+    runs = _runs(spans, key, target + 3, "run")
+    parts = paragraphs.join(runs, [*key, "no"]).groupBy(*key, "run").agg(_joined(["no"], "text", "\n\n").alias("text")).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    filled = running(parts.where("text <> ''"), key, ["run"], F.floor(F.col("run") / 4096), sums={"part": F.lit(1).cast("bigint")})
+    split = filled.select(*key, (F.col("part") - 1).cast("int").alias("part"), "text")
+    about = facts.select(*key, "pages", "section_header", "has_tables")
+    return whole.unionByName(split).join(about, key).select("doc_id", "chunk", "part", "text", "pages", "section_header", "has_tables")

@@ -138,6 +138,16 @@ def test_chunks(spark):
     assert [r["text"] for r in got] == chunk_by_hand(rows, 200, 400)
 
 
+def test_chunks_of_a_long_document_without_headers(spark):
+    """Line feeds of all lengths between pages, empty and null pages, many runs."""
+    ends = ["", "\n", "\n\n", "\n\n\n", " \n\n\n\n\n"]
+    rows = [(i, "\n" * (i % 4) + f"w{i} " * (i % 23) + "\n\n" + "y" * (i * 7 % 90) + ends[i % 5]) for i in range(1, 120)]
+    got = sc.chunks(pages(spark, rows), target=300, limit=500, pages_per_block=8).orderBy("chunk", "part").collect()
+    wanted = [x for x in chunk_by_hand(rows, 300, 500) if x]
+    assert [r["text"] for r in got] == wanted and [r["part"] for r in got] == list(range(len(wanted)))
+    assert sc.chunks(pages(spark, rows).where("false")).count() == 0
+
+
 def test_context_sections(spark):
     text = "a" * 9000 + "fuel" + "b" * 300 + "discount" + "c" * 2000
     data = spark.createDataFrame([("d", text)], "doc_id string, text string")
