@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -46,7 +47,10 @@ WORDS = (
 ).split()
 _TAG_AT, _WORD_AT = {t: k for k, t in enumerate(TAGS)}, {w: k for k, w in enumerate(WORDS)}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"[>\"']")
+_STOPS = HOLDS | ENDS_PARAGRAPH | {"td", "th", "li"}  # an element that must end does not end beyond these
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ATTRIBUTE_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -65,6 +69,8 @@ class Node:
     controls: int = 0
     tags: int = 0
     blocks: int = 0
+    place: int = 0  # among its parent's children
+    same: int = 0  # siblings of its tag
 
 
 @lru_cache(maxsize=4096)
@@ -73,45 +79,113 @@ def _attribute_words(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(w for w in found if w in _WORD_AT))
 
 
+class _TagEnds:
+    """Where tags end: the first > outside quotes.
+
+    What lies behind a place outside quotes is the same for every tag that gets there, so the
+    answer is kept for each place and a page is passed once, whatever its tags leave open.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.known: dict[int, int] = {}  # a > or an opening quote, and the end; -1 without one
+        self.gap = (0, -1)  # places without a special sign before the second number
+
+    def after(self, at: int) -> int:
+        """The end of a tag whose name ends at `at`, or -1. Calls come in page order."""
+        if not self.gap[0] <= at <= self.gap[1]:
+            self.gap = (at, self._special(at))
+        passed, q = [], self.gap[1]
+        while q < len(self.page) and q not in self.known and self.page[q] != ">":
+            passed.append(q)
+            closing = self.page.find(self.page[q], q + 1)
+            q = self._special(closing + 1) if closing >= 0 else len(self.page)
+        end = -1 if q == len(self.page) else self.known.get(q, q + 1)
+        for k in passed:
+            self.known[k] = end
+        return end
+
+    def _special(self, at: int) -> int:
+        m = _SPECIAL.search(self.page, at)
+        return m.start() if m else len(self.page)
+
+
+def _decoded(data: str) -> str:
+    """Character references decoded; numbers of any length, those out of range as U+FFFD."""
+    if "&#" in data:
+        data = _HUGE.sub("\ufffd", _ZEROS.sub("&#", data))
+    return html.unescape(data) if "&" in data else data
+
+
 def parse(page: str) -> list[Node]:
-    """Block nodes in page order, the root first. Tags that are not closed end with what must end them."""
+    """Block nodes in page order, the root first. Tags that are not closed end with what must end them.
+
+    Each step costs what it reads or closes, so the time is linear in the page, malformed or not.
+    """
     nodes = [Node("html", -1, 0)]
     path: list[tuple[str, int]] = [("html", 0)]  # open elements; a hidden or inline one has the block around it
+    places: dict[str, list[int]] = {}  # where in `path` each tag is open, but for the root
+    solid: list[int] = []  # where elements are that are not inline
+    stops: list[int] = []  # where elements of _STOPS are
+    ends_of = _TagEnds(page)
     links = hidden = 0
-    at, size = 0, len(page)
+    at = begin = 0  # what is read; the begin of text not yet taken
 
     def text(data: str) -> None:
         if hidden or not data:
             return
-        node = nodes[path[-1][1]]
-        node.runs.append((html.unescape(data) if "&" in data else data, links > 0))
+        nodes[path[-1][1]].runs.append((_decoded(data), links > 0))
+
+    def push(tag: str, block: int) -> None:
+        k = len(path)
+        path.append((tag, block))
+        places.setdefault(tag, []).append(k)
+        if tag not in INLINE:
+            solid.append(k)
+        if tag in _STOPS:
+            stops.append(k)
 
     def close(down_to: int) -> None:
         nonlocal links, hidden
         while len(path) > down_to:
             tag, _ = path.pop()
+            places[tag].pop()
+            if tag not in INLINE:
+                solid.pop()
+            if tag in _STOPS:
+                stops.pop()
             links -= tag == "a"
             hidden -= tag in HIDDEN
 
-    while at < size:
-        m = _MARKUP.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:].removesuffix("]]>"))
+    def innermost(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    while (at := page.find("<", at)) >= 0:
+        mark = at
+        if page.startswith(("<!", "<?"), at):
+            cdata = page.startswith("<![CDATA[", at)
+            closing = "-->" if page.startswith("<!--", at) else "]]>" if cdata else ">"
+            inner = at + (4 if closing == "-->" else 9 if cdata else 2)
+            stop = page.find(closing, inner)
+            text(page[begin:mark])
+            at = begin = stop + len(closing) if stop >= 0 else len(page)
+            if cdata:
+                text(page[inner : stop if stop >= 0 else len(page)])
+            continue
+        m = _TAG.match(page, at)
+        end = ends_of.after(m.end()) if m else -1
+        if end < 0:
+            at += 1  # the sign itself is text
             continue
+        text(page[begin:mark])
+        at = begin = end
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(path) - 1, 0, -1):
-                if path[k][0] == tag:
-                    close(k)
-                    break
-                if tag in INLINE and path[k][0] not in INLINE or tag in ENDS_PARAGRAPH and path[k][0] == "table":
-                    break  # an end tag does not reach out of what it cannot be in
+            k = innermost(tag)
+            # an end tag does not reach out of what it cannot be in
+            barrier = solid[-1] if solid and tag in INLINE else innermost("table") if tag in ENDS_PARAGRAPH else 0
+            if k and k >= barrier:
+                close(k)
             continue
         if tag == "html":
             continue
@@ -122,14 +196,10 @@ def parse(page: str) -> list[Node]:
             while path[-1][0] == "head" or hidden:
                 close(len(path) - 1)
         ends = ("p",) if tag in ENDS_PARAGRAPH else ENDS_ITSELF.get(tag, ())
-        if ends:
-            for k in range(len(path) - 1, 0, -1):
-                if path[k][0] in ends:
-                    close(k)
-                    if tag != "tr" and tag not in ("tbody", "tfoot"):
-                        break
-                elif path[k][0] in HOLDS or path[k][0] in ENDS_PARAGRAPH or path[k][0] in ("td", "th", "li"):
-                    break
+        while (k := innermost(*ends)) and k >= (stops[-1] if stops else 0):
+            close(k)
+            if tag not in ("tr", "tbody", "tfoot"):
+                break
         if tag in CONTROLS and not hidden:
             nodes[path[-1][1]].controls += 1
         if tag in VOID:
@@ -137,20 +207,23 @@ def parse(page: str) -> list[Node]:
                 text(" ")
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else size
+            last = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            stop = page.find(">", last.end()) if last else -1
+            at = begin = stop + 1 if stop >= 0 else len(page)
             continue
         around = path[-1][1]
         if tag in INLINE or tag in HIDDEN or hidden:
-            path.append((tag, around))
+            push(tag, around)
             links += tag == "a"
             hidden += tag in HIDDEN
             nodes[around].tags += 1
             continue
-        nodes.append(Node(tag, around, nodes[around].depth + 1, _attribute_words(m[3]) if m[3] else ()))
+        attributes = page[m.end() : end - 1]
+        nodes.append(Node(tag, around, nodes[around].depth + 1, _attribute_words(attributes) if attributes else ()))
         nodes[around].runs.append(len(nodes) - 1)
         nodes[around].children.append(len(nodes) - 1)
-        path.append((tag, len(nodes) - 1))
+        push(tag, len(nodes) - 1)
+    text(page[begin:])
     return _with_text_nodes(nodes)
 
 
@@ -172,6 +245,9 @@ def _with_text_nodes(nodes: list[Node]) -> list[Node]:
                     part.append(r)
             node.runs = node.children = runs
     for node in nodes:
+        count = Counter(nodes[c].tag for c in node.children)
+        for k, c in enumerate(node.children):
+            nodes[c].place, nodes[c].same = k, count[nodes[c].tag] - 1
         if not node.children:
             for t, linked in node.runs:
                 n = len(t.strip())
@@ -216,30 +292,27 @@ CUTS = {
 N_QUESTIONS = 2 * (len(TAGS) + len(WORDS)) + sum(map(len, CUTS.values()))
 
 
-def questions(nodes: list[Node]) -> np.ndarray:
-    """Nodes x questions: own tag and words, ancestors' tags and words, numbers over their cuts."""
+def questions(nodes: list[Node], first: int = 0, stop: int | None = None) -> np.ndarray:
+    """Nodes x questions: own tag and words, ancestors' tags and words, numbers over their cuts.
+
+    The nodes from `first` to before `stop`; long pages are asked slice by slice.
+    """
+    stop = len(nodes) if stop is None else stop
     width = len(TAGS) + len(WORDS)
-    out = np.zeros((len(nodes), N_QUESTIONS), bool)
-    numbers = np.zeros((len(nodes), len(NUMBERS)))
+    rows = range(first, stop)
+    out = np.zeros((len(rows), N_QUESTIONS), bool)
+    for side, masks in enumerate(_masks(nodes)):
+        data = np.frombuffer(b"".join(masks[i].to_bytes(-(-width // 8), "little") for i in rows), np.uint8)
+        out[:, side * width : (side + 1) * width] = np.unpackbits(data.reshape(len(rows), -1), axis=1, count=width, bitorder="little")
+    numbers = np.zeros((len(rows), len(NUMBERS)))
     total = max(1, nodes[0].chars)
-    for i, node in enumerate(nodes):  # a parent comes before its children
-        k = _TAG_AT.get(node.tag)
-        if k is not None:
-            out[i, k] = True
-        for w in node.words:
-            out[i, len(TAGS) + _WORD_AT[w]] = True
-        place = siblings = same = 0
-        parent = node
-        if node.parent >= 0:
-            parent = nodes[node.parent]
-            out[i, width : 2 * width] = out[node.parent, width : 2 * width] | out[node.parent, :width]
-            around = parent.children
-            siblings = len(around) - 1
-            place = around.index(i) / max(1, siblings) if siblings < 64 else 0.5
-            same = sum(nodes[c].tag == node.tag for c in around) - 1 if siblings < 64 else siblings
-        numbers[i] = (
+    for row, i in enumerate(rows):
+        node = nodes[i]
+        parent = nodes[node.parent] if node.parent >= 0 else node
+        siblings = len(parent.children) - 1 if node.parent >= 0 else 0
+        numbers[row] = (
             node.chars, node.chars / total, node.linked / max(1, node.chars), parent.linked / max(1, parent.chars), node.chars / max(1, node.tags), node.stops / max(1, node.chars),
-            node.controls, node.depth, place, siblings, same, node.chars / max(1, parent.chars), node.chars / max(1, node.blocks), node.blocks,
+            node.controls, node.depth, node.place / max(1, siblings), siblings, node.same, node.chars / max(1, parent.chars), node.chars / max(1, node.blocks), node.blocks,
         )
     at = 2 * width
     for k, name in enumerate(NUMBERS):
@@ -249,6 +322,24 @@ def questions(nodes: list[Node]) -> np.ndarray:
     return out
 
 
+def _masks(nodes: list[Node]) -> tuple[list[int], list[int]]:
+    """Tag and words of each node, and those of all its ancestors, as bits."""
+    own, above = [], []
+    for i, node in enumerate(nodes):
+        k = _TAG_AT.get(node.tag)
+        bits = 0 if k is None else 1 << k
+        for w in node.words:
+            bits |= 1 << len(TAGS) + _WORD_AT[w]
+        own.append(bits)
+        above.append(own[node.parent] | above[node.parent] if node.parent >= 0 else 0)
+    return own, above
+
+
+def scores_of(nodes: list[Node], trees: Trees, rows: int = 20_000) -> np.ndarray:
+    """Scores of a page's nodes, `rows` nodes at a time."""
+    return np.concatenate([trees.scores(questions(nodes, a, min(a + rows, len(nodes)))) for a in range(0, len(nodes), rows)])
+
+
 @dataclass
 class Trees:
     """Boosted trees of fixed depth over yes-or-no questions, for the logistic loss."""
@@ -491,7 +582,7 @@ def main_text(page: str | None, trees: Trees) -> str:
     if not page:
         return ""
     nodes = parse(page)
-    return kept_text(nodes, decode(nodes, trees.scores(questions(nodes))))
+    return kept_text(nodes, decode(nodes, scores_of(nodes, trees)))
 
 
 def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
@@ -509,16 +600,21 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
         for batch in batches:
             texts = []
             source = batch.column(2).to_pylist()
-            for a in range(0, len(source), 64):  # some pages are scored at once
-                parsed = [parse(p) if p else None for p in source[a : a + 64]]
-                asked = [questions(p) for p in parsed if p]
-                scores = own.scores(np.concatenate(asked)) if asked else np.zeros(0)
+            a = 0
+            while a < len(source):  # pages of some thousand nodes together are scored at once
+                parsed, size = [], 0
+                while a < len(source) and size < 20_000:
+                    parsed.append(parse(source[a]) if source[a] else [])
+                    size += len(parsed[-1])
+                    a += 1
+                if len(parsed) == 1:
+                    scores = scores_of(parsed[0], own) if parsed[0] else np.zeros(0)
+                else:
+                    asked = [questions(p) for p in parsed[:-1] if p]
+                    scores = np.concatenate([own.scores(np.concatenate(asked)) if asked else np.zeros(0), scores_of(parsed[-1], own) if parsed[-1] else np.zeros(0)])
                 at = 0
                 for p in parsed:
-                    if not p:
-                        texts.append("")
-                        continue
-                    texts.append(kept_text(p, decode(p, scores[at : at + len(p)])))
+                    texts.append(kept_text(p, decode(p, scores[at : at + len(p)])) if p else "")
                     at += len(p)
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])

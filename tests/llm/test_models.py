@@ -1,6 +1,7 @@
 import base64
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -247,3 +248,67 @@ def test_extract(spark, trees):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert {r["text"] for r in got if r["page_id"] in (2, None)} == {""}
     assert html_text.extract(pages.where("false"), trees).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        ("<a " * 350_000, 1), ('x<a "' * 200_000, 1), ("<b>" * 170_000 + "</i>" * 130_000, 1), ("<thead>" * 100_000 + "<div></div>" * 50_000, 150_001),
+        ("<i><div>" + "<b>" * 150_000 + "</i>" * 150_000, 2), ("<script>" + "</script " * 100_000, 1), ('<a "' * 200_001 + "'>", 1), ("<p>" * 100_000, 100_001),
+    ],
+)
+def test_malformed_pages_take_linear_time(page, blocks):
+    start = time.monotonic()
+    assert len(html_text.parse(page)) == blocks
+    assert time.monotonic() - start < 30  # hours with steps that read a page again for each tag
+
+
+def test_tag_ends_against_a_plain_scan():
+    def plain(page, at):
+        quote = ""
+        for k in range(at, len(page)):
+            if quote:
+                quote = "" if page[k] == quote else quote
+            elif page[k] == ">":
+                return k + 1
+            elif page[k] in "\"'":
+                quote = page[k]
+        return -1
+
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        page = "".join(rng.choice(list("<>a \"'"), int(rng.integers(0, 60)), p=[0.2, 0.05, 0.3, 0.25, 0.1, 0.1]))
+        ends = html_text._TagEnds(page)
+        assert [ends.after(k) for k in range(len(page) + 1)] == [plain(page, k) for k in range(len(page) + 1)]
+
+
+def test_references_out_of_range():
+    node = html_text.parse("<p>&#" + "9" * 6000 + "; &#" + "0" * 6000 + "65; &amp;</p>")[1]
+    assert "".join(t for t, _ in node.runs) == "� A &"
+
+
+def test_decoding_against_all_choices():
+    """On small trees: no set of nodes closed under parents has a greater total."""
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(1, 10))
+        nodes = [html_text.Node("html", -1, 0)]
+        for i in range(1, n):
+            up = int(rng.integers(0, i))
+            nodes.append(html_text.Node("p", up, nodes[up].depth + 1))
+        scores = rng.normal(size=n)
+        kept = html_text.decode(nodes, scores)
+        total = lambda chosen: sum(s for s, c in zip(scores, chosen) if c)
+        closed = lambda chosen: all(not c or node.parent < 0 or chosen[node.parent] for c, node in zip(chosen, nodes))
+        choices = ([bool(bits >> i & 1) for i in range(n)] for bits in range(2**n))
+        assert closed(kept) and total(kept) == pytest.approx(max(total(c) for c in choices if closed(c)))
+
+
+def test_questions_in_slices_and_long_flat_pages():
+    page = "<body><ul>" + "<li>x</li>" * 90 + "<p>end</p></ul></body>"
+    nodes = html_text.parse(page)
+    whole = html_text.questions(nodes)
+    assert (np.concatenate([html_text.questions(nodes, a, min(a + 7, len(nodes))) for a in range(0, len(nodes), 7)]) == whole).all()
+    items = [n for n in nodes if n.tag == "li"]
+    assert [n.place for n in items] == list(range(90)) and {n.same for n in items} == {89}
+    assert nodes[-1].tag == "p" and nodes[-1].place == 90 and nodes[-1].same == 0
