@@ -1,19 +1,17 @@
 """Removal of word sequences that an earlier document holds too.
 
-Suffixes (from each word on) that share `length` words end in one subtree of the corpus's suffix
-tree. The tree is built in parts, one for each prefix, and only where a part can have a deep node:
+No suffix tree is built: windows of exactly `length` words are compared, grouped by a minimizer.
 
-1. Prefix. Every window of `length` words has one anchor: the run of `prefix` words in it with the
+1. Anchors. Every window has one anchor: the run of `prefix` words in it with the
    least hash. Equal windows have equal anchors at equal places, and neighbouring windows mostly
    share theirs, so a text has an anchor for some five words only. Windows whose anchor occurs
    nowhere else are unique.
 2. Spans. Around each anchor that occurs again, the words of its windows; equal spans become one
    with the smallest doc_id, before and after the shuffle, so copies and common passages, however
    frequent, are one leaf each.
-3. Subtrees. Spans of one anchor are a group; its windows are sorted and cut into deep nodes by
-   their longest common prefixes. An anchor of more than `group_spans` spans is split by longer
-   prefixes, up to all `length` words, in plain aggregation.
-4. Nodes of two documents or more go back to the places of their spans: a join that Spark may
+3. Groups. Spans of one anchor are a group; its windows are sorted, and equal ones get the smallest
+   doc_id. The spans of an anchor with more than `group_spans` go to one plain aggregation by window.
+4. Windows of two documents or more go back to the places of their spans: a join that Spark may
    split where a span is frequent.
 
 Each step writes its rows to the shared folder; the shuffle files behind it are then released.
@@ -97,30 +95,31 @@ def _spans(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "run", "doc_id", "version", "span"])
 
-    per_doc = runs.groupBy("doc_id", "version").agg(F.collect_list("run").alias("runs"), F.collect_list("key").alias("keys"))
+    # a set, so that equal rows of one doc_id count once
+    per_doc = runs.groupBy("doc_id", "version").agg(F.collect_set(F.struct("run", "key")).alias("r")).select("doc_id", "version", F.col("r.run").alias("runs"), F.col("r.key").alias("keys"))
     rows = docs.join(per_doc, ["doc_id", "version"]).mapInArrow(build, "key long, run long, doc_id long, version int, span string")
     return rows.withColumns({"h1": F.xxhash64("span"), "h2": F.xxhash64(F.lit(1), "span")})
 
 
-def deep_nodes(spans: list[list[str]], length: int) -> list[list[tuple[int, int]]]:
-    """The suffix tree's nodes of `length` words' depth: for each, the (span, window) of its suffixes."""
-    suffixes = sorted((words[i : i + length], j, i) for j, words in enumerate(spans) for i in range(len(words) - length + 1))
-    nodes: list[list[tuple[int, int]]] = []
+def equal_windows(spans: list[list[str]], length: int) -> list[list[tuple[int, int]]]:
+    """For each distinct window of `length` words, the (span, window) places that hold it."""
+    windows = sorted((words[i : i + length], j, i) for j, words in enumerate(spans) for i in range(len(words) - length + 1))
+    places: list[list[tuple[int, int]]] = []
     last: list[str] | None = None
-    for words, j, i in suffixes:
-        if words != last:  # the common prefix with the suffix before is shorter than `length`
-            nodes.append([])
-        nodes[-1].append((j, i))
+    for words, j, i in windows:
+        if words != last:
+            places.append([])
+        places[-1].append((j, i))
         last = words
-    return nodes
+    return places
 
 
-def _subtrees(spans: DataFrame, length: int) -> DataFrame:
+def _grouped(spans: DataFrame, length: int) -> DataFrame:
     """h1, h2, firsts (smallest doc_id of each window) of the spans of each key, one group at a time."""
 
     def solve(group):
         firsts = [[r[4]] * (len(r[3]) - length + 1) for r in group]
-        for node in deep_nodes([r[3] for r in group], length):
+        for node in equal_windows([r[3] for r in group], length):
             if len(node) > 1:
                 low = min(group[j][4] for j, _ in node)
                 for j, i in node:
@@ -140,6 +139,8 @@ def _subtrees(spans: DataFrame, length: int) -> DataFrame:
                 if group and group[0][0] != key:
                     out += solve(group)
                     group = []
+                if group and group[-1][1:3] == (h1, h2):
+                    continue  # a repeated row of the document that the span is taken from
                 group.append((key, h1, h2, span.split(" "), low))
             yield rows()
             out = []
@@ -148,16 +149,16 @@ def _subtrees(spans: DataFrame, length: int) -> DataFrame:
             yield rows()
 
     columns = spans.select("key", "h1", "h2", "span", "low")
-    return columns.repartition("key").sortWithinPartitions("key").mapInArrow(build, "h1 long, h2 long, firsts array<long>")
+    return columns.repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(build, "h1 long, h2 long, firsts array<long>")
 
 
-def _long_prefixes(spans: DataFrame, length: int) -> DataFrame:
+def _by_window(spans: DataFrame, length: int) -> DataFrame:
     """The same for the spans of overfull keys: each window is a group of its own."""
     words = F.split("span", " ")
     windows = F.transform(F.sequence(F.lit(1), F.size(words) - (length - 1)), lambda i: F.array_join(F.slice(words, i, length), " "))
     each = spans.select("h1", "h2", "low", F.posexplode(windows).alias("i", "window"))
     first = each.groupBy("window").agg(F.min("low").alias("first"))
-    back = each.join(first, "window").groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("i", "first"))).alias("w"))
+    back = each.join(first, "window").groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct("i", "first"))).alias("w"))
     return back.select("h1", "h2", F.col("w.first").alias("firsts"))
 
 
@@ -182,14 +183,14 @@ def repeated_windows(docs: DataFrame, length: int, group_spans: int = 20_000) ->
     alone = leaves.where("n = 1").select("h1", "h2", F.array_repeat("doc_id", F.col("run").bitwiseAND(65535).cast("int")).alias("firsts"))
     # words only of leaves that are not alone, from the first document of each
     worded = lambda which: _spans(texts, leaves.where(which).select("doc_id", "version", "run", "key"), length).withColumn("low", F.col("doc_id"))
-    some = _subtrees(worded(f"n between 2 and {group_spans}"), length)
-    many = _long_prefixes(worded(f"n > {group_spans}"), length)
+    some = _grouped(worded(f"n between 2 and {group_spans}"), length)
+    many = _by_window(worded(f"n > {group_spans}"), length)
     firsts = staged(alone.unionByName(some).unionByName(many), "nodes")
     released(spark, leaves)
     start = F.shiftright("run", 16)
     starts = F.filter(F.transform("firsts", lambda low, i: F.when(low < F.col("doc_id"), start + i)), lambda s: s.isNotNull())
     hits = spans.select("h1", "h2", "doc_id", "version", "run").join(firsts, ["h1", "h2"]).select("doc_id", "version", starts.alias("own")).where(F.size("own") > 0)
-    return hits.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("own")).alias("starts"))
+    return hits.groupBy("doc_id", "version").agg(F.flatten(F.collect_set("own")).alias("starts"))
 
 
 def _gone(n_words: int, starts, length: int) -> np.ndarray:
@@ -206,7 +207,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, keep_text: bool = True, gr
     A word goes when a window of `length` words that covers it also starts in a document with a
     smaller doc_id; windows are those of the input. Words are runs of other than ASCII white space;
     kept words are joined by one space. A null text has no words. Rows of one doc_id don't remove
-    each other's words; rows with null doc_id keep all theirs and remove none; an empty table
+    each other's words, and equal ones cost their number and no more; rows with null doc_id keep all theirs and remove none; an empty table
     gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), "text")

@@ -84,6 +84,19 @@ def test_remove_repeats_with_null_repeated_ids_and_nothing(make_docs):
     assert substring_dedup.remove_repeats(make_docs([])).collect() == []
 
 
+@pytest.mark.parametrize("group", [1, 20_000])
+def test_many_repeated_rows(make_docs, group):
+    """1,000 equal rows cost 1,000 rows, in groups of spans and in whole windows alike."""
+    text = " ".join(f"w{k * k % 211}x{k % 17}" for k in range(200))
+    near = "other " + text.replace("w4x2 ", "changed ") + " tail"
+    docs = [(1, text), *[(2, near)] * 1000, (3, "a " + text), (3, "a " + text)]
+    got = substring_dedup.remove_repeats(make_docs(docs), 13, group_spans=group).collect()
+    once = [(1, text), (2, near), (3, "a " + text)]
+    kept = brute.without_repeats(once, 13)
+    assert len(got) == 1003
+    assert {(r["doc_id"], r["n_removed"], r["text"]) for r in got} == {(d, len(t.split()) - len(kept[d]), " ".join(kept[d])) for d, t in once}
+
+
 def test_contaminated_is_that_of_all_pairs(spark, make_docs):
     rng = random.Random(9)
     words = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(60)) for _ in range(n)]
