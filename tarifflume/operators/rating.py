@@ -208,4 +208,5 @@ def contracts_in_force(dated: DataFrame, contracts: DataFrame, day: str, months:
     rows = dated.where(F.col(day).isNotNull()).withColumn("_bin", F.explode(own))
     on = (F.col("d.account") == F.col("c.account")) & (F.col("d._bin.kind") == F.col("c.bin.kind")) & (F.col("d._bin.n") == F.col("c.bin.n"))
     inside = (F.col("c.effective_date") <= F.col(f"d.{day}")) & (F.col("c.expiration_date").isNull() | (F.col(f"d.{day}") <= F.col("c.expiration_date")))
-    return rows.alias("d").join(unfolded.alias("c"), on).where(inside).select("d.*", "c.contract_id").drop("_bin")
+    # Spark takes the unfolded side for as small as its files: a sort-merge join holds whatever comes out of them.
+    return rows.alias("d").join(unfolded.hint("merge").alias("c"), on).where(inside).select("d.*", "c.contract_id").drop("_bin")

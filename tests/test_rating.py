@@ -18,3 +18,12 @@ def test_contracts_in_force_at_every_span(spark):
     assert got.columns == ["id", "account", "day", "contract_id"]
     want = sorted((i, c) for i, account, d in rows if d for own, c, a, b in contracts if own == account and a <= d and (b is None or d <= b))
     assert sorted((r["id"], r["contract_id"]) for r in got.collect()) == want and want
+
+
+def test_unfolded_contracts_are_not_broadcast(spark):
+    """Files of a few MB unfold to more than a driver holds, which Spark's estimate doesn't see."""
+    contracts = spark.range(50).selectExpr("cast(id % 5 as int) account", "id contract_id", "date'2025-01-01' effective_date", "date'2026-06-01' expiration_date")
+    rows = spark.range(100).selectExpr("id", "cast(id % 5 as int) account", "date'2025-03-01' day")
+    got = ra.contracts_in_force(rows, contracts, "day")
+    assert got.count() == 1000
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
