@@ -45,8 +45,12 @@ PAGE_TWO = f"""concat_ws(chr(10),
  'A fuel surcharge is billed weekly and may be waived for residential delivery.')"""
 
 
+# A part is a few bytes of a file but pages and tables of a document, so the scan alone makes too few tasks.
+SPREAD = 8
+
+
 def _pages(t):
-    part = t.table("part").selectExpr("p_partkey k", "p_size z")
+    part = t.spread_table("part", SPREAD).selectExpr("p_partkey k", "p_size z")
     return part.selectExpr("k doc_id", f"explode(array(named_struct('page_number', 1, 'text', {PAGE_ONE}), named_struct('page_number', 2, 'text', {PAGE_TWO}))) p").select("doc_id", "p.page_number", "p.text")
 
 
@@ -64,7 +68,7 @@ def _tables(t):
       'rows', array(array('Name of Surcharge', 'a', 'b', 'c'), array(concat('Residential', chr(10), 'Delivery'), 'Ground', '', {pct}), array('DIM', 'Ground', '', concat('Divisor ', cast(139 + k % 60 as string))), array('Dim Express', 'Air', '', 'none'), array('Fuel', 'All'), array('Peak', 'All', 'Zone 2', 'Waived')))"""
     earned = f"""named_struct('page_number', 1, 'table_ord', 1, 'headers', array(case when k % 2 = 0 then 'Grace Discount 4%' else 'Annualized' end, 'Earned', 'Discount'),
       'rows', array(array('Services', 'Threshold', 'Discount'), array(concat('Ground', chr(10), 'Home'), concat('0-100', chr(10), '101-200', chr(10), '201+'), concat('1%', chr(10), {pct})), array('Grace Discount 7.5%', '', ''), array('Express', '0-500', '')))"""
-    part = t.table("part").selectExpr("p_partkey k")
+    part = t.spread_table("part", SPREAD).selectExpr("p_partkey k")
     return part.selectExpr("k doc_id", f"explode(array({zone}, {ups}, {fees}, {earned})) x").select("doc_id", "x.page_number", "x.table_ord", "x.headers", "x.rows")
 
 

@@ -95,7 +95,8 @@ def ups_service(text: Column) -> Column:
 
 
 def _with_text(tables: DataFrame, pages: DataFrame) -> DataFrame:
-    return tables.join(pages.select("doc_id", "page_number", "text"), ["doc_id", "page_number"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    """Tables with the text of their page, by sort-merge: page texts are never broadcast, whatever Spark takes their size for."""
+    return tables.join(pages.select("doc_id", "page_number", "text").hint("merge"), ["doc_id", "page_number"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def zone_pricing(tables: DataFrame, pages: DataFrame) -> DataFrame:

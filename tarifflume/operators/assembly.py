@@ -25,9 +25,9 @@ def text_pricing_kept(from_text: DataFrame, from_tables: DataFrame) -> DataFrame
     first_text = from_text.groupBy(*keys).agg(F.min("page_number").alias("text_page"))
     first_table = from_tables.groupBy(*keys).agg(F.min("page_number").alias("table_page"))
     allowed = (
-        first_text.join(first_table, keys, "left").where("table_page is null or table_page > text_page").select(*keys, F.col("text_page").alias("page_number"))
+        first_text.join(first_table.hint("merge"), keys, "left").where("table_page is null or table_page > text_page").select(*keys, F.col("text_page").alias("page_number"))
     )
-    return from_text.join(allowed, [*keys, "page_number"], "left_semi")
+    return from_text.join(allowed.hint("merge"), [*keys, "page_number"], "left_semi")
 
 
 def service_terms(pages: DataFrame, tables: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def special_terms(pages: DataFrame, tables: DataFrame, meta: DataFrame | None =
     """
     none = F.lit(None).cast("string")
     found = tx.provisions(pages)
-    again = found.join(tables.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_semi")
+    again = found.join(tables.select("doc_id", "page_number").distinct().hint("merge"), ["doc_id", "page_number"], "left_semi")
     shape = lambda df, src: df.select("doc_id", "page_number", F.lit(src).alias("src_ord"), "row_ord", F.col("name").alias("term_name"), F.col("value").alias("term_value"), none.alias("conditions"))
     earned = at.earned_terms(at.earned_rows(tables)).select("doc_id", "page_number", F.lit(1).alias("src_ord"), "row_ord", "term_name", "term_value", "conditions")
     out = earned.unionByName(shape(again, 2)).unionByName(shape(found, 3))
@@ -86,11 +86,11 @@ def deterministic_hits(pages: DataFrame, tables: DataFrame) -> DataFrame:
         blocks.distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")),
         *[df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")) for df in (surcharge_terms(pages, tables), dim_terms(pages, tables), special_terms(pages, tables))],
     ]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
-    counted = total.groupBy("doc_id").agg(F.sum("n").alias("hits"))
-    return pages.select("doc_id").distinct().join(counted, "doc_id", "left").select("doc_id", F.coalesce("hits", F.lit(0)).alias("hits"))
+    # The documents of the pages, also those without objects, by one aggregate without a join.
+    total = pages.select("doc_id", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("paged"))
+    for p in parts:
+        total = total.unionByName(p.withColumn("paged", F.lit(False)))
+    return total.groupBy("doc_id").agg(F.sum("n").alias("hits"), F.bool_or("paged").alias("paged")).where("paged").drop("paged")
 
 
 def merge_by_name(known: DataFrame, proposed: DataFrame, name: str, fold_case: bool = False) -> DataFrame:

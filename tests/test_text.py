@@ -191,3 +191,21 @@ def test_amendment_payload_holds_the_terms_of_its_document(spark):
     dims = spark.createDataFrame([(1, 139.0)], "doc_id long, divisor double")
     got = {(r["amendment_number"], r["kind"], r["term"]) for r in asm.amendment_payload(found, services, services.where("false"), dims).collect()}
     assert got == {("A-1", "service_terms", '{"service_name":"Ground"}'), ("A-1", "service_terms", '{"service_name":"Air"}'), ("A-1", "dim_rules", '{"divisor":139.0}')}
+
+
+def test_hits_hold_every_document_without_broadcast(spark, tmp_path):
+    """Page texts unfold from small files, so neither they nor keys of documents may be broadcast."""
+    text = "FedEx Priority Overnight\nZones => 2 3\n1 - 5 lbs 10% 11%\nUPS Ground\nZones => 2\n6 + lbs 7%\nMoney Back Guarantee. Claims within 15 days.\nNext"
+    data = spark.createDataFrame([("a", 1, text), ("a", 2, "nothing"), ("b", 1, "nothing"), ("c", 1, text)], "doc_id string, page_number int, text string")
+    zone = ("a", 1, 0, ["Zones =>", "2", "3"], [["1-5 lbs", "10%", "11%"]])
+    fees = ("c", 1, 0, ["Name of Surcharge", "Application", "Zones", "Modification"], [["Peak", "All", "", "5%"], ["DIM", "Ground", "", "Divisor 139"]])
+    tables = spark.createDataFrame([zone, fees, ("x", *fees[1:])], "doc_id string, page_number int, table_ord int, headers array<string>, rows array<array<string>>")
+    small = []
+    for name, df in (("pages", data), ("tables", tables)):
+        df.write.parquet(f"{tmp_path}/{name}")
+        small.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    got = asm.deterministic_hits(*small)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # a: one table (its service is that of the text above it), one other block, a provision twice; c: two blocks, two rows, a provision twice
+    assert {r["doc_id"]: r["hits"] for r in got.collect()} == {"a": 4, "b": 0, "c": 6}
+    assert "Broadcast" not in plan
