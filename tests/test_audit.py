@@ -234,3 +234,12 @@ def test_a_finding_fills_only_its_own_evidence(spark):
     twice = [{"tracking_number": "T1", "ship_date": "2025-01-02", "total_billed": 5}] * 2
     (again,) = ck.describe(ck.duplicate_findings(lines(spark, twice))).collect()
     assert again["evidence"] is None and again["explanation"] == "Tracking number T1 billed more than once on 2025-01-02"
+
+
+def test_staged_findings_hold_no_texts(spark):
+    rows = [FUEL_LINE | {"line_id": f"l{i}", "tracking_number": f"t{i}"} for i in range(4)]
+    data, terms = lines(spark, rows), agreement(spark, **fuel_terms(10))
+    staged, whole = ru.staged_findings(data, terms, **reference(spark)), ru.first_per_charge(ru.all_findings(data, terms, **reference(spark)))
+    told = lambda df: sorted(map(str, df.select("line_id", "field", "dollar_impact", "billed_amount", "why_discrepancy", "explanation").collect()))
+    assert told(staged) == told(whole) and len(told(whole)) == 4
+    assert "explanation" not in spark.read.parquet(*staged.inputFiles()).columns
