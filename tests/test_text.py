@@ -57,6 +57,17 @@ def test_cascade_and_gate(spark):
         it.require_complete(bad, ["line_id"])
 
 
+def test_blocks_only_where_the_caller_says(spark):
+    """An invoice that begins with adjustments has no records; its weight lines are blocks only if they may be."""
+    lost = [(1, "Invoice Number: INV-1\nInvoice Date: 02/03/2025\nBilling Adjustments\n1Z1234567890ABCDEF Ground 5.00\nFuel Surcharge 1.50\nCustomer Weight 10.5")]
+    ups, fedex = pages(spark, lost, "u"), pages(spark, FEDEX_PAGES, "f")
+    data = ups.unionByName(fedex)
+    where = it.page_context(data.select("doc_id", "page_number", docs.marked_page().alias("text")), F.expr("case when doc_id = 'u' then 'ups' else 'fedex' end"))
+    of = lambda **kw: {(r["doc_id"], r["parser_ord"]) for r in it.parse_documents(data, where, **kw).collect()}
+    assert of() == {("u", 3), ("f", 3)}
+    assert of(block_pages=data.where("doc_id = 'f'")) == {("f", 3)}
+
+
 def test_running_equals_plain_windows(spark):
     rows = [(i % 3, i // 3, i % 5 == 0, None if i % 4 else f"v{i}") for i in range(90)]
     df = spark.createDataFrame(rows, "k int, p int, f boolean, s string")
