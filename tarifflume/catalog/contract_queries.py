@@ -45,7 +45,7 @@ PAGE_TWO = f"""concat_ws(chr(10),
  'A fuel surcharge is billed weekly and may be waived for residential delivery.')"""
 
 
-# A part is a few bytes of a file but pages and tables of a document, so the scan alone makes too few tasks.
+# A part or customer is a few bytes of a file but pages and tables of a document, so the scan alone makes too few tasks.
 SPREAD = 8
 
 
@@ -248,7 +248,7 @@ def _invoices(t):
     lanes = "concat_ws(chr(10), transform(array(0, 1, 0, 2, 3, 4, 5, 6), i -> concat('Home  Lane ', chr(65 + i), ' Total Charges USD $1,0', cast(i as string), '0.50')))"
     body = f"""concat_ws(chr(10), case when k % 3 = 2 then 'Statement' else 'Invoice Date today' end, concat('Invoice Number INV', cast(k as string)), case when k % 3 = 0 then {lanes} end, case when k % 3 = 1 then 'Transportation Charges 88.10' end,
       case when k % 2 = 0 then 'Total This Invoice USD $512.00' end, case when k % 5 = 0 then 'Fuel Surcharge 12.34' end)"""
-    return t.table("customer").selectExpr("c_custkey k").selectExpr("k doc_id", f"{body} full_text")
+    return t.spread_table("customer", SPREAD).selectExpr("c_custkey k").selectExpr("k doc_id", f"{body} full_text")
 
 
 @query(
@@ -260,7 +260,7 @@ def _invoices(t):
  union all select c_custkey, 'special', 'document type ', 'known' from customer where c_custkey % 4 = 0 union all select c_custkey, 'service', 'HOME LANE B', 'known' from customer where c_custkey % 2 = 1""",
 )
 def _(t):
-    customers = t.table("customer").selectExpr("c_custkey doc_id")
+    customers = t.spread_table("customer", SPREAD).selectExpr("c_custkey doc_id")
     signals = asm.gated_signals(_invoices(t), customers.selectExpr("doc_id", "doc_id % 5 hits"))
     services = customers.where("doc_id % 2 = 1").selectExpr("doc_id", "'HOME LANE B' service_name", "'known' conditions")
     specials = customers.where("doc_id % 4 = 0").selectExpr("doc_id", "'document type ' term_name", "'known' term_value")

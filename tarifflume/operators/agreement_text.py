@@ -29,6 +29,11 @@ def _contains_any(text: Column, words: list[str]) -> Column:
     return hit
 
 
+def _bound(value: Column, use) -> Column:
+    """`use` of a value that is evaluated once, however often `use` names it, also inside of lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """Array of (start, full, g1) of every match; start counts from 0.
 
@@ -190,22 +195,27 @@ def invoice_signals(documents: DataFrame) -> DataFrame:
     # Wording of invoices.
     number, total = r"(?i)Invoice Number\s+([A-Z0-9\-]+)", r"(?i)TOTAL\s+THIS\s+INVOICE\s+USD\s+\$?([\d,]+(?:\.\d{2})?)"
     fuel, transport = r"(?i)Fuel Surcharge\s+([\d,]+(?:\.\d{2})?)", r"(?i)Transportation Charges\s+([\d,]+(?:\.\d{2})?)"
-    grab = lambda p, prefix="": F.when(t.rlike(p), F.concat(F.lit(prefix), F.regexp_extract(t, p, 1)))
-    names = F.transform(F.regexp_extract_all(t, F.lit(SERVICE_TOTAL), F.lit(1)), lambda n: F.trim(F.regexp_replace(n, r"\s+", " ")))
-    keys = F.transform(names, F.lower)
-    amounts = F.regexp_extract_all(t, F.lit(SERVICE_TOTAL), F.lit(2))
     row = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.alias("value"))
-    all_services = F.transform(names, lambda n, i: row("service", n, F.concat(F.lit("Total Charges USD "), F.get(amounts, i))))
-    first_seen = F.filter(all_services, lambda r, i: F.array_position(keys, F.lower(r["name"])) == i + 1)
-    lone = F.when((F.size(names) == 0) & grab(transport).isNotNull(), row("service", F.lit("UPS Transportation Charges"), grab(transport, "Transportation Charges ")))
-    specials = F.array(
-        row("special", F.lit("Document Type"), F.lit("Invoice")),
-        F.when(grab(number).isNotNull(), row("special", F.lit("Invoice Number"), grab(number))),
-        F.when(grab(total).isNotNull(), row("special", F.lit("Invoice Total"), grab(total, "USD "))),
-        F.when(grab(fuel).isNotNull(), row("surcharge", F.lit("Fuel Surcharge"), grab(fuel, "Observed amount "))),
-        lone,
-    )
-    return documents.where(likely_invoice(t)).select("doc_id", F.inline(F.concat(first_seen, F.array_compact(specials))))
+
+    def grab(kind: str, name: str, p: str, prefix: str = "") -> Column:
+        return _bound(F.regexp_extract(t, p, 1), lambda m: F.when(m != "", row(kind, F.lit(name), F.concat(F.lit(prefix), m))))
+
+    def listed(totals: Column) -> Column:
+        keys = F.transform(totals, lambda s: F.lower(s["name"]))
+        first_seen = _bound(keys, lambda known: F.filter(totals, lambda s, i: F.array_position(known, F.lower(s["name"])) == i + 1))
+        services = F.transform(first_seen, lambda s: row("service", s["name"], F.concat(F.lit("Total Charges USD "), s["amount"])))
+        specials = F.array(
+            row("special", F.lit("Document Type"), F.lit("Invoice")),
+            grab("special", "Invoice Number", number),
+            grab("special", "Invoice Total", total, "USD "),
+            grab("surcharge", "Fuel Surcharge", fuel, "Observed amount "),
+            F.when(F.size(totals) == 0, grab("service", "UPS Transportation Charges", transport, "Transportation Charges ")),
+        )
+        return F.concat(services, F.array_compact(specials))
+
+    names = F.transform(F.regexp_extract_all(t, F.lit(SERVICE_TOTAL), F.lit(1)), lambda n: F.trim(F.regexp_replace(n, r"\s+", " ")))
+    totals = F.arrays_zip(names.alias("name"), F.regexp_extract_all(t, F.lit(SERVICE_TOTAL), F.lit(2)).alias("amount"))
+    return documents.where(likely_invoice(t)).select("doc_id", F.inline(_bound(totals, listed)))
 
 
 # ---------------------------------------------------------------- metadata

@@ -220,3 +220,16 @@ def test_hits_hold_every_document_without_broadcast(spark, tmp_path):
     # a: one table (its service is that of the text above it), one other block, a provision twice; c: two blocks, two rows, a provision twice
     assert {r["doc_id"]: r["hits"] for r in got.collect()} == {"a": 4, "b": 0, "c": 6}
     assert "Broadcast" not in plan
+
+
+def test_invoice_signals_search_a_text_once_for_each_pattern(spark):
+    """Inside of a lambda Spark evaluates an unbound list again for every element, that is once a service."""
+    text = "Invoice Number INV9\nInvoice Date today\n" + "\n".join(f"Home  Lane {c} Total Charges USD $1,0{i}0.50" for i, c in enumerate("ABA")) + "\nFuel Surcharge 12.34"
+    found = tx.invoice_signals(spark.createDataFrame([("d", text), ("e", "Invoice Number X-1 Invoice Date Transportation Charges 88.10")], "doc_id string, full_text string"))
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("d", "service", "Home Lane A", "Total Charges USD 1,000.50"), ("d", "service", "Home Lane B", "Total Charges USD 1,010.50"), ("d", "special", "Document Type", "Invoice"),
+        ("d", "special", "Invoice Number", "INV9"), ("d", "surcharge", "Fuel Surcharge", "Observed amount 12.34"),
+        ("e", "service", "UPS Transportation Charges", "Transportation Charges 88.10"), ("e", "special", "Document Type", "Invoice"), ("e", "special", "Invoice Number", "X-1"),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2
