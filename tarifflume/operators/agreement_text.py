@@ -114,10 +114,13 @@ def text_pricing(pages: DataFrame) -> DataFrame:
     # Events of a line: opens a block, or ends one; a heading that also names zones opens one
     # only outside a block and leaves it open either way.
     event = F.when(may_open, "open").when(plain & (heading | _contains_any(low, BLOCK_END)), "end")
+    # Lines that neither open nor end a block nor name zones or weights say nothing: they don't travel.
+    telling = lines.withColumns({"event": event, "names_zones": zone, "weighs": weight}).where("event is not null or names_zones or weighs")
+    zone, weight = F.col("names_zones"), F.col("weighs")
     page = Window.partitionBy("doc_id", "page_number").orderBy("line_no")
     before = page.rowsBetween(Window.unboundedPreceding, -1)
     upto = page.rowsBetween(Window.unboundedPreceding, 0)
-    tagged = lines.withColumn("event", event).withColumn("was_open", F.coalesce(F.last("event", ignorenulls=True).over(before) == "open", F.lit(False)))
+    tagged = telling.drop("raw").withColumn("was_open", F.coalesce(F.last("event", ignorenulls=True).over(before) == "open", F.lit(False)))
     tagged = tagged.withColumn("opens", (F.col("event") == "open") & ~(zone & F.col("was_open")))
     placed = tagged.withColumn("block", F.sum(F.coalesce(F.col("opens"), F.lit(False)).cast("int")).over(upto)).withColumn(
         "inside", F.col("was_open") & (F.coalesce(F.col("event"), F.lit("")) != "end") & ~F.coalesce(F.col("opens"), F.lit(False))

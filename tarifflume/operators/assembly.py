@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tarifflume.operators import agreement_tables as at, agreement_text as tx
 from tarifflume.operators.quality import CORE_FIELDS
@@ -15,29 +15,27 @@ def table_pricing(pages: DataFrame, tables: DataFrame) -> DataFrame:
     return at.zone_pricing(tables, pages).unionByName(at.ups_weight_pricing(tables, pages))
 
 
-def text_pricing_kept(from_text: DataFrame, from_tables: DataFrame) -> DataFrame:
-    """Text pricing of services no table up to the page and no earlier page has supplied.
+def all_pricing(pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """Pricing rows of page tables (`src_ord` 1) and of page text (2), tables before text on each page.
 
+    Text pricing counts for services no table up to the page and no earlier page has supplied.
     That holds exactly for the first text page of a service when no table page comes before
-    or with it, so two small aggregates and one join replace the page-by-page walk.
+    or with it, so two minima over the rows of a service replace the page-by-page walk, and
+    every page is read once.
     """
-    keys = ["doc_id", "service_name"]
-    first_text = from_text.groupBy(*keys).agg(F.min("page_number").alias("text_page"))
-    first_table = from_tables.groupBy(*keys).agg(F.min("page_number").alias("table_page"))
-    allowed = (
-        first_text.join(first_table.hint("merge"), keys, "left").where("table_page is null or table_page > text_page").select(*keys, F.col("text_page").alias("page_number"))
-    )
-    return from_text.join(allowed.hint("merge"), [*keys, "page_number"], "left_semi")
+    shared = ["doc_id", "page_number", "src_ord", "part_ord", "row_ord", "line_ord", "cell_ord", "service_name", "weight_range", "zone", "discount_pct", "is_all_zones"]
+    left = table_pricing(pages, tables).withColumn("src_ord", F.lit(1)).withColumn("part_ord", F.col("table_ord").cast("bigint")).select(*shared)
+    right = tx.text_pricing(pages).withColumn("src_ord", F.lit(2)).withColumn("part_ord", F.col("block").cast("bigint")).withColumn("line_ord", F.lit(0)).select(*shared)
+    service = Window.partitionBy("doc_id", "service_name")
+    first = lambda src: F.min(F.when(F.col("src_ord") == src, F.col("page_number"))).over(service)
+    placed = left.unionByName(right).withColumn("_table", first(1)).withColumn("_text", first(2))
+    supplied = F.col("_table").isNotNull() & (F.col("_table") <= F.col("_text"))
+    return placed.where((F.col("src_ord") == 1) | ((F.col("page_number") == F.col("_text")) & ~supplied)).drop("_table", "_text")
 
 
 def service_terms(pages: DataFrame, tables: DataFrame) -> DataFrame:
     """Service terms of documents, tables before text on each page."""
-    from_tables = table_pricing(pages, tables)
-    from_text = text_pricing_kept(tx.text_pricing(pages), from_tables)
-    shared = ["doc_id", "page_number", "src_ord", "part_ord", "row_ord", "line_ord", "cell_ord", "service_name", "weight_range", "zone", "discount_pct", "is_all_zones"]
-    left = from_tables.withColumn("src_ord", F.lit(1)).withColumn("part_ord", F.col("table_ord").cast("bigint")).select(*shared)
-    right = from_text.withColumn("src_ord", F.lit(2)).withColumn("part_ord", F.col("block").cast("bigint")).withColumn("line_ord", F.lit(0)).select(*shared)
-    return at.pricing_terms(left.unionByName(right))
+    return at.pricing_terms(all_pricing(pages, tables))
 
 
 def surcharge_terms(pages: DataFrame, tables: DataFrame) -> DataFrame:
@@ -77,11 +75,8 @@ def special_terms(pages: DataFrame, tables: DataFrame, meta: DataFrame | None =
 
 def deterministic_hits(pages: DataFrame, tables: DataFrame) -> DataFrame:
     """Parsed objects per document: a priced table or block counts once, every other row once."""
-    from_tables = table_pricing(pages, tables)
-    from_text = text_pricing_kept(tx.text_pricing(pages), from_tables)
-    blocks = from_tables.select("doc_id", "page_number", F.concat(F.lit("t"), F.col("table_ord").cast("string")).alias("b")).unionByName(
-        from_text.select("doc_id", "page_number", F.concat(F.lit("x"), F.col("block").cast("string")).alias("b"))
-    )
+    priced = all_pricing(pages, tables)
+    blocks = priced.select("doc_id", "page_number", "src_ord", "part_ord")
     parts = [
         blocks.distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")),
         *[df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")) for df in (surcharge_terms(pages, tables), dim_terms(pages, tables), special_terms(pages, tables))],
@@ -160,21 +155,19 @@ def proposed_fields(bodies: DataFrame) -> DataFrame:
 
 def extraction_stats(meta_rows: DataFrame, services: DataFrame, surcharges: DataFrame, dims: DataFrame, specials: DataFrame) -> DataFrame:
     """Fields found, fields to review and mean confidence per document."""
-    zero, none = F.lit(0).cast("bigint"), F.lit(0.0)
+    none, unscored = F.lit(0.0), F.lit(None).cast("decimal(8,4)")
     used = F.col("field_name").isin(CORE_FIELDS) & (F.col("confidence") > 0)
-    parts = [
-        meta_rows.groupBy("doc_id").agg(
-            F.count("value").alias("found"), F.count_if("needs_review").alias("review"), F.sum(F.when(used, F.col("confidence").cast("decimal(8,4)"))).alias("s"), F.count_if(used).alias("n")
-        )
-    ]
-    scored = lambda df, conf: df.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("found"), zero.alias("review"), F.sum(conf.cast("decimal(8,4)")).alias("s"), F.count_if(conf > 0).alias("n")
+    row = lambda df, found, review, score, scored: df.select(
+        "doc_id", found.cast("bigint").alias("found"), review.cast("bigint").alias("review"), score.cast("decimal(8,4)").alias("s"), scored.cast("bigint").alias("n")
     )
-    parts += [scored(services, F.col("discount_confidence")), scored(surcharges, F.lit(0.90))]
-    parts += [df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("found"), zero.alias("review"), F.lit(None).cast("decimal(18,4)").alias("s"), zero.alias("n")) for df in (dims, specials)]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    total = union.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("found", "review", "s", "n")])
+    one, no = F.lit(1), F.lit(0)
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    # Rows of all lists meet in one aggregate, which sums them before they travel.
+    rows = row(meta_rows, flag(F.col("value").isNotNull()), flag(F.col("needs_review")), F.when(used, F.col("confidence")), flag(used))
+    rows = rows.unionByName(row(services, one, no, F.col("discount_confidence"), flag(F.col("discount_confidence") > 0)))
+    rows = rows.unionByName(row(surcharges, one, no, F.lit(0.90), one))
+    for df in (dims, specials):
+        rows = rows.unionByName(row(df, one, no, unscored, no))
+    total = rows.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("found", "review", "s", "n")])
     mean = F.coalesce(F.try_divide(F.col("s").cast("double"), F.col("n")), none)
     return total.select("doc_id", F.col("found").alias("fields_extracted"), F.col("review").alias("fields_needing_review"), F.round(mean, 6).alias("overall_confidence"))
