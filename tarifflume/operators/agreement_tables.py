@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tarifflume.session import dealt
+
 # A percentage.
 PERCENT = r"(\d+(?:\.\d+)?)\s*%"
 TABLE_KEY = ["doc_id", "page_number", "table_ord"]
@@ -96,7 +98,8 @@ def ups_service(text: Column) -> Column:
 
 def _with_text(tables: DataFrame, pages: DataFrame) -> DataFrame:
     """Tables with the text of their page, by sort-merge: page texts are never broadcast, whatever Spark takes their size for."""
-    return tables.join(pages.select("doc_id", "page_number", "text").hint("merge"), ["doc_id", "page_number"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    texts = dealt(pages.select("doc_id", "page_number", "text"), "doc_id", "page_number")
+    return tables.join(texts.hint("merge"), ["doc_id", "page_number"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def zone_pricing(tables: DataFrame, pages: DataFrame) -> DataFrame:
@@ -117,13 +120,15 @@ def zone_pricing(tables: DataFrame, pages: DataFrame) -> DataFrame:
 
 def ups_weight_pricing(tables: DataFrame, pages: DataFrame) -> DataFrame:
     """Percent per (service, weight, zone) of weight tables whose cells hold several lines."""
-    kept = _with_text(tables.where(table_kind(F.col("headers")) == "ups_weight"), pages)
+    # The service is in the page's wording alone, so the page sends its name and not its text.
+    named = pages.select("doc_id", "page_number", ups_service(F.coalesce("text", F.lit(""))).alias("service_name")).hint("merge")
+    kept = dealt(tables.where(table_kind(F.col("headers")) == "ups_weight"), "doc_id", "page_number").join(named, ["doc_id", "page_number"], "left")
     blank_first = lambda r: (_strip(F.get(r, 0)) == "") & (F.size(r) > 1)
     zone_row = lambda r: blank_first(r) & F.forall(_rest(r), lambda z: (_strip(z) == "") | _strip(z).rlike(r"^\d+$"))
     zone_rows = F.filter("rows", zone_row)
     listed = F.when(F.size(zone_rows) > 0, _rest(F.element_at(zone_rows, -1))).otherwise(_rest(F.col("headers")))
     zones = F.filter(F.transform(listed, _strip), lambda z: z != "")
-    base = kept.select(*TABLE_KEY, ups_service(F.col("text")).alias("service_name"), zones.alias("zones"), F.posexplode("rows").alias("row_ord", "row")).where(
+    base = kept.select(*TABLE_KEY, F.coalesce("service_name", F.lit("UPS Service")).alias("service_name"), zones.alias("zones"), F.posexplode("rows").alias("row_ord", "row")).where(
         _strip(F.get("row", 0)) != ""
     )
     lines = base.select("*", F.posexplode(F.split(_strip(F.get("row", 0)), "\n")).alias("line_ord", "weight")).withColumn("weight_range", _strip(F.col("weight"))).where("weight_range <> ''")

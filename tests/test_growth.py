@@ -21,3 +21,9 @@ def test_statistics_of_extractions_meet_in_one_aggregate(spark):
 
 def test_service_terms_read_pages_once_for_their_text_pricing(spark):
     assert of(spark, "e16_assembled_service_terms").count("Exchange ") <= 13  # 24 before
+
+
+def test_table_pricing_is_dealt_over_all_partitions(spark):
+    assert "REPARTITION_BY_NUM" in of(spark, "e3_e9_zone_pricing")
+    weights = of(spark, "e4_e10_ups_weight_pricing")
+    assert "REPARTITION_BY_NUM" in weights and "text" not in weights.split("SortMergeJoin")[0]
