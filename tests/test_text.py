@@ -1,7 +1,7 @@
 """Text parsers, positions, layout, chunks and metadata."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tarifflume.functions import labels as lb, values as v
 from tarifflume.operators import agreement_text as tx, assembly as asm, invoice_text as it, positions as ps, quality as qa, resolve as rs, sections as sc
@@ -68,6 +68,21 @@ def test_blocks_only_where_the_caller_says(spark):
     assert of(block_pages=data.where("doc_id = 'f'")) == {("f", 3)}
 
 
+def test_running_by_page_equals_plain_windows(spark):
+    rows = [("a" if i < 150 else "b", i // 5, i % 5, i % 7 == 3, f"s{i}" if i % 11 == 2 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, page long, no int, f boolean, s string")
+    how = dict(sums={"n": F.col("f").cast("bigint")}, lasts={"last": F.col("s")}, befores={"before": F.col("s")})
+    block = F.floor(F.col("page") / 4)
+    whole = Window.partitionBy("k").orderBy("page", "no")
+    want = df.select(
+        "*", F.sum(F.col("f").cast("bigint")).over(whole).alias("n"), F.last("s", True).over(whole).alias("last"),
+        F.last("s", True).over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.row_number().over(whole).alias("number"),
+    ).collect()
+    got = ps.running(df, ["k"], ["page", "no"], block, page="page", **how)
+    got = ps.number_within(got, ["k"], ["page", "no"], block, page="page").select(*want[0].asDict()).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[:3]) == sorted(map(tuple, want), key=lambda r: r[:3])
+
+
 def test_running_equals_plain_windows(spark):
     rows = [(i % 3, i // 3, i % 5 == 0, None if i % 4 else f"v{i}") for i in range(90)]
     df = spark.createDataFrame(rows, "k int, p int, f boolean, s string")
