@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarifflume.catalog.registry import query
 from tarifflume.operators import agreement_tables as at, agreement_text as tx, assembly as asm, sections as sc
+from tarifflume.session import dealt
 from tarifflume.sources import documents as docs
 
 # ---------------------------------------------------------------- views (one SQL text for both engines)
@@ -349,7 +350,8 @@ def _ocr_pages(t):
 
 def _block_rows(t):
     """Blocks of long documents: one document per customer, one page per order, one block per line."""
-    return t.table("lineitem").join(t.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("doc_id"), F.col("l_orderkey").alias("page_number"), F.col("l_linenumber").alias("block_no")).agg(F.min("l_partkey").alias("p")).selectExpr(
+    lines = t.table("lineitem").join(t.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("o_custkey doc_id", "l_orderkey page_number", "l_linenumber block_no", "l_partkey")
+    return dealt(lines, "doc_id", "page_number").groupBy("doc_id", "page_number", "block_no").agg(F.min("l_partkey").alias("p")).selectExpr(
         "doc_id", "page_number", "block_no", "case when p % 5 = 0 then 'header' else 'paragraph' end block_type",
         "array('Rate Schedule zone', 'Fuel surcharge waived', 'governing law and indemnification', 'whereas the recitals', 'Ground discount 5% off', 'plain words', 'Residential delivery DAS', 'base rate per pound')[cast((p + block_no) % 8 as int)] text")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add
 
@@ -179,7 +180,7 @@ def sections(blocks: DataFrame, pages_per_block: int = 256) -> DataFrame:
     before it.
     """
     numbered = running(
-        blocks, ["doc_id"], ["page_number", "block_no"], F.floor(F.col("page_number") / pages_per_block),
+        blocks, ["doc_id"], ["page_number", "block_no"], F.coalesce(F.floor(F.col("page_number") / pages_per_block), F.lit(-1)),
         sums={"section_no": (F.col("block_type") == "header").cast("bigint")},
     )
     role = lambda name, n: F.struct(F.lit(name).alias("role"), n.alias("section_no"))
@@ -198,23 +199,37 @@ def sections(blocks: DataFrame, pages_per_block: int = 256) -> DataFrame:
     return grouped.where("own_blocks > 0").drop("own_blocks")
 
 
-def _score(text: Column, wording: list[tuple[str, float]]) -> Column:
+def _opening(pattern: str) -> str:
+    """Lower-case letters that every match of a pattern begins with; '' where they are not plain."""
+    found = re.match(r"(?:\(\?i\))?\\b([A-Za-z0-9]+)([?*{|]?)", pattern)
+    if not found or found[2] == "|":
+        return ""
+    return (found[1][:-1] if found[2] else found[1]).lower()
+
+
+def _score(text: str, wording: list[tuple[str, float]]) -> Column:
+    """Points of a text column for the patterns in it; `_low_<text>` spares the search for those that cannot begin."""
     zero = F.lit(0).cast(SCORE)
-    return reduce(add, [F.when(text.rlike(p), F.lit(str(w)).cast(SCORE)).otherwise(zero) for p, w in wording]).cast(SCORE)
+    hit = lambda p: F.contains(F.col(f"_low_{text}"), F.lit(_opening(p))) & F.col(text).rlike(p) if _opening(p) else F.col(text).rlike(p)
+    return reduce(add, [F.when(hit(p), F.lit(str(w)).cast(SCORE)).otherwise(zero) for p, w in wording]).cast(SCORE)
 
 
 def classify_sections(found: DataFrame) -> DataFrame:
-    """Section type by weighted wording, titles counting twice; under 2 points is unknown."""
-    title, content = F.coalesce("title", F.lit("")), F.col("content")
-    scored = found
-    for kind, wording in SECTION_WORDING.items():
-        both = _score(content, wording) + 2 * _score(title, wording)
-        scored = scored.withColumn(f"_{kind}", both.cast(SCORE))
-    options = F.array(*[F.struct(F.col(f"_{k}").alias("score"), F.lit(-i).alias("earlier"), F.lit(k).alias("kind")) for i, k in enumerate(SECTION_WORDING)])
-    best = F.array_max(options)
+    """Section type by weighted wording, titles counting twice; under 2 points is unknown.
+
+    The best type leaves an `explode` of one element: a filter on it is not carried below, where
+    Spark would search all patterns again.
+    """
+    texts = {"_title": F.coalesce("title", F.lit("")), "_content": F.col("content")}
+    read = found.withColumns(texts).withColumns({f"_low_{name}": F.lower(name) for name in texts})
+    options = []
+    for i, (kind, wording) in enumerate(SECTION_WORDING.items()):
+        both = _score("_content", wording) + 2 * _score("_title", wording)
+        options.append(F.struct(both.cast(SCORE).alias("score"), F.lit(-i).alias("earlier"), F.lit(kind).alias("kind")))
+    best = F.col("_best")
     strong = best["score"] >= 2
     conf = F.round(F.least((best["score"] * F.lit("0.1").cast("decimal(2,1)")).cast("decimal(8,3)"), F.lit(1).cast("decimal(8,3)")), 3)
-    return scored.select(
+    return read.select(*found.columns, F.explode(F.array(F.array_max(F.array(*options)))).alias("_best")).select(
         *found.columns, F.when(strong, best["kind"]).otherwise("unknown").alias("section_type"), F.when(strong, conf).otherwise(F.lit(0)).cast("decimal(8,3)").alias("confidence")
     )
 
