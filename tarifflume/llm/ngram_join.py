@@ -1,19 +1,23 @@
 """Similarity join of documents on word n-grams, by T-occurrence search.
 
-Two sets of sizes |x| >= |y| link when percent of their union is shared; then they share at least
-T = ceil(percent / 100 * |x|) n-grams. Any order of all n-grams gives each document a prefix of
-|x| - T + 1 n-grams of which a linked pair shares one. Steps:
+Two sets of sizes |x| >= |y| link when percent of their union is shared; then they differ in at most
+D = (100 - percent) / (100 + percent) * (|x| + |y|) n-grams. Steps:
 
 1. Equal sets are one from here on (the smallest doc_id stands for them), however many there are.
-2. A fixed quarter of all n-grams, by hash, is counted over all documents; those that only one set
-   holds come first in the order, then the shared ones of that quarter by ascending count, then
-   the others by hash. Most documents have a whole prefix that nobody else holds and are done.
-3. Documents that share a prefix n-gram are joined into candidate groups: each to the first
-   document of the n-gram's list, never all pairs of a list.
-4. Each group is searched in one task by DivideSkip (see `linked`). A group of more than
-   `group_ngrams` n-grams is dealt into blocks, and each pair of blocks is searched.
-5. What leaves a task is a row for each document: its number of links and one link towards the
+2. Candidates. Linked sizes are of one band or of neighbouring ones. In each band n-grams are dealt, by
+   hash, into over D classes, so a linked pair has classes that hold the same n-grams; a signature stands
+   for the n-grams of a class. Of each set the D + 1 signatures that fewest sets have are kept: the rarest
+   one that a pair shares is among them. Sets with one signature are joined to the least of them, never
+   all pairs. A signature is of several n-grams together: unlike single n-grams, it hardly becomes common
+   as the table grows, and passages that many texts hold are left out, so that groups of unrelated
+   documents do not grow together.
+3. Each group is searched in one task by DivideSkip (see `linked`). A group of more than
+   `group_ngrams` n-grams is dealt into blocks, and each pair of blocks is searched; in rounds, so that
+   the texts copied for the pairs of a round are about as many as the table has.
+4. What leaves a task is a row for each document: its number of links and one link towards the
    smallest document it is joined to. Components of these are the classes.
+
+Staged rows and shuffle files are released when the next step has its own.
 """
 
 from __future__ import annotations
@@ -21,20 +25,22 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import cache, reduce
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarifflume.llm.common import Words, mixed, ngram_hashes, ship, slices, staged
+from tarifflume.llm.common import Words, mixed, ngram_hashes, released, ship, slices, staged
 from tarifflume.llm.components import components
 
-#: The quarter of all n-grams that is counted: hashes below this.
-COUNTED = np.uint64(1 << 62)
 #: Weight of binary search against merging in the choice of the number of long lists.
 PROBE_WEIGHT = 0.0085
+#: Classes besides those that the differences of a pair can spoil, as a part of these.
+SPARE = 0.3
+_OF_CLASS, _OF_BAND, _EMPTY = (np.uint64(k) for k in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xD6E8FEB86659FD93))
 
 
 def ngram_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarray]:
@@ -50,8 +56,51 @@ def ngram_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarray]
     return out
 
 
-def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+@cache
+def size_bands(percent: int) -> np.ndarray:
+    """The least size of each band: sizes that can link are of one band or of neighbours."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, 100 * (out[-1] - 1) // percent + 1) if percent < 100 else out[-1] << 25)
+    return np.array([*out[::3], out[-1] + 1, out[-1] + 2])
+
+
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Set, step, signature, and how many of the signatures of this set and step may be left out.
+
+    A pair is looked for in the band of its larger size, so a set has signatures of its own band (step 0)
+    and, where it may be the smaller, of the next (1). There it has `classes` classes and differs from what
+    it links with in `differ` n-grams at most, so classes - differ of its classes are the other's too. If both
+    leave out all but the last differ + 1 of theirs, in one order of all signatures, the last shared one stays.
+    Empty classes are the first to go.
+    """
+    bands, sizes = size_bands(percent), np.array([len(s) for s in sets], np.int64)
+    grams = np.concatenate([np.zeros(0, np.uint64), *sets])
+    values, owner = mixed(grams ^ _OF_CLASS), np.repeat(np.arange(len(sets)), sizes)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for step in (0, 1):
+        band = np.searchsorted(bands, sizes, "right") - 1 + step
+        largest = np.minimum(bands[band + 1] - 1, 100 * sizes // percent)
+        here = (sizes > 0) & (largest >= bands[band])
+        differ = (100 - percent) * (sizes + largest) // (100 + percent)
+        most = (100 - percent) * 2 * (bands[band + 1] - 1) // (100 + percent)
+        classes = most + 1 + np.ceil(SPARE * most).astype(np.int64)
+        mine = np.flatnonzero(here[owner])
+        if not len(mine):
+            continue
+        # n-grams ascend, so those of a class stand together
+        of, place = owner[mine], ((grams[mine] >> np.uint64(32)) * classes[owner[mine]].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        new = np.ones(len(mine), bool)
+        new[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1])
+        begin = np.flatnonzero(new)
+        of, place = of[begin], place[begin]
+        salt = mixed(band.astype(np.uint64) + _OF_BAND)
+        spare = np.bincount(of, minlength=len(sets)) - differ - 1
+        out.append((of, np.full(len(of), step), mixed(np.add.reduceat(values[mine], begin) ^ salt[of]), np.maximum(spare, 0)[of]))
+        for k in np.flatnonzero(here & (spare < 0)):  # of a few small sets the empty classes count too
+            empty = np.setdiff1d(np.arange(classes[k]), place[of == k])
+            out.append((np.full(len(empty), k), np.full(len(empty), step), mixed(mixed(empty.astype(np.uint64) + _EMPTY) ^ salt[k]), np.zeros(len(empty), np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
@@ -110,43 +159,60 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, hash of the set, counted n-grams in it, and the uncounted ones its prefix needs besides."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("counted", pa.int64()), ("extra", pa.list_(pa.int64()))])
+def _set_hash(own: np.ndarray) -> int:
+    return int(mixed(own).sum().view(np.int64)) if len(own) else 0
+
+
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, size, hashes of the set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def build(batches):
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for a, _, data, bounds in slices(batch.column(1)):
                 for i, own in enumerate(ngram_sets(data, bounds, n)):
-                    counted, size = int(np.searchsorted(own, COUNTED)), len(own)
-                    h1 = int(mixed(own).sum().view(np.int64)) if size else 0
-                    h2 = int(mixed(own ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)) if size else 0
-                    missing = max(0, prefix_size(size, percent) - counted) if size else 0
-                    rows.append((ids[a + i], size, h1, h2, counted, own[counted : counted + missing].view(np.int64)))
+                    rows.append((ids[a + i], len(own), _set_hash(own), _set_hash(own ^ np.uint64(0x5851F42D4C957F2D))))
             yield _rows(rows, schema)
 
-    return docs.mapInArrow(build, "doc_id long, n_shingles long, h1 long, h2 long, counted long, extra array<long>")
+    return docs.mapInArrow(build, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
-def _counted_ngrams(docs: DataFrame, n: int, with_ids: bool) -> DataFrame:
-    """gram, and the set's hash or the doc_id."""
+def _signature_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """sign, set (h1 with the step as its last bit) and spare, the signatures of it that may be left out; equal sets of one task once."""
 
     def build(batches):
+        seen: set[int] = set()
         for batch in batches:
-            for a, b, data, bounds in slices(batch.column(1)):
-                sets = ngram_sets(data, bounds, n)
-                own = [s[: np.searchsorted(s, COUNTED)] for s in sets]
-                lengths = np.array([len(s) for s in own])
-                grams = np.concatenate(own).view(np.int64)
-                if with_ids:
-                    of = batch.column(0).take(pa.array(np.repeat(np.arange(a, b), lengths)))
-                else:
-                    hashes = [int(mixed(s).sum().view(np.int64)) if len(s) else 0 for s in sets]
-                    of = pa.array(np.repeat(np.array(hashes, np.int64), lengths))
-                yield pa.RecordBatch.from_arrays([pa.array(grams), of], ["gram", "of"])
-
-    return docs.mapInArrow(build, "gram long, of long")
+            for _, _, data, bounds in slices(batch.column(0)):
+                sets, hashes = [], []
+                for own in ngram_sets(data, bounds, n):
+                    h1 = _set_hash(own)
+                    if len(own) and h1 not in seen:
+                        seen.add(h1)
+                        sets.append(own)
+                        hashes.append(h1)
+                of, step, sign, spare = signatures(sets, percent)
+                columns = [pa.array(sign.view(np.int64)), pa.array(np.array(hashes, np.int64)[of] & -2 | step), pa.array(spare.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["sign", "set", "spare"])
+
+    return texts.mapInArrow(build, "sign long, set long, spare int")
+
+
+def _candidates(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """x, y: h1, but for the last bit, of each set and of the least one that shares a kept signature."""
+    of_sign = Window.partitionBy("sign")
+    rows = _signature_rows(texts, n, percent)
+    counted = rows.withColumns({"n": F.count("*").over(of_sign), "low": F.min("set").over(of_sign), "high": F.max("set").over(of_sign)})
+    shared = staged(counted.where("low < high").select("sign", "set", "spare", "n"), "shared")
+    released(texts.sparkSession)
+    # the commonest are left out; those that no other set has are rarer than all of these
+    place = F.dense_rank().over(Window.partitionBy("set").orderBy(F.desc("n"), "sign"))
+    kept = shared.withColumn("place", place).where("place > spare")
+    first = kept.select("set", F.min("set").over(of_sign).alias("head")).where("set <> head")
+    found = staged(first.select(F.col("set").bitwiseAND(-2).alias("x"), F.col("head").bitwiseAND(-2).alias("y")).distinct(), "candidates")
+    released(texts.sparkSession, shared)
+    return found
 
 
 def _search(groups: DataFrame, n: int, percent: int) -> DataFrame:
@@ -198,6 +264,21 @@ def _search(groups: DataFrame, n: int, percent: int) -> DataFrame:
     return groups.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, "doc_id long, n_links long, root long")
 
 
+def _links(texts: DataFrame, rounds: int, n: int, percent: int) -> DataFrame:
+    """The links of all groups, staged; the pairs of blocks are dealt over `rounds`, of which each releases its files."""
+    spark = texts.sparkSession
+    texts = staged(texts, "texts") if rounds > 1 else texts
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("low"), F.greatest(k, "block").alias("high")))
+    copied = texts.withColumn("pair", F.explode(pairs)).select("cluster", "pair.low", "pair.high", "doc_id", "copies", "text", "block")
+    turn, parts = F.pmod(F.xxhash64("cluster", "low", "high"), F.lit(rounds)), []
+    for k in range(rounds):
+        parts.append(staged(_search(copied.where(turn == k) if rounds > 1 else copied, n, percent), "links"))
+        released(spark)
+    if rounds > 1:
+        released(spark, texts)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def similar(docs: DataFrame, n: int = 3, percent: int = 90, group_ngrams: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links for each row of `docs`.
 
@@ -211,29 +292,25 @@ def similar(docs: DataFrame, n: int = 3, percent: int = 90, group_ngrams: int =
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = staged(_sets(rows, n, percent), "sets")
+    sets = staged(_sets(rows, n), "sets")
     real = sets.where("doc_id is not null and n_shingles > 0")
-    classes = staged(real.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "counted", "extra")).alias("of")), "classes")
+    classes = staged(real.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     there = rows.where("doc_id is not null and text is not null")
-    common = _counted_ngrams(there, n, False).groupBy("gram").agg(F.count("*").alias("df"), F.min("of").alias("a"), F.max("of").alias("b"))
-    common = staged(common.where("a <> b").select("gram", "df"), "common")
-    reps = classes.select(F.col("rep").alias("of"), "n_shingles", "of.counted", "of.extra")
-    held = _counted_ngrams(there, n, True).join(common, "gram").groupBy("of").agg(F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("shared"))
-    prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
-    alone = F.col("counted") - F.coalesce(F.size("shared"), F.lit(0))
-    taken = F.slice("shared", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))
-    grams = F.concat(F.coalesce(F.transform(taken, lambda s: s["gram"]), F.array().cast("array<long>")), "extra")
-    postings = staged(reps.join(held, "of", "left").select(F.col("of").alias("doc_id"), F.explode(grams).alias("gram")), "postings")
-    heads = postings.groupBy("gram").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("gram", "head")
-    edges = postings.join(heads, "gram").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    clusters = components(edges)
-
-    sized = clusters.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster")).join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "copies", "h1"), "doc_id")
+    found = _candidates(there.select("text"), n, percent)
+    hashed = classes.select(F.col("h1").bitwiseAND(-2).alias("h"), "rep")
+    edges = found.join(hashed.select(F.col("h").alias("x"), F.col("rep").alias("a")), "x").join(hashed.select(F.col("h").alias("y"), F.col("rep").alias("b")), "y")
+    # all texts of a doc_id are searched wherever one of them is
+    several = real.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("doc_id")
+    own = real.join(several, "doc_id").join(classes, ["n_shingles", "h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    clusters = components(edges.select("a", "b").union(own))
+
+    sized = clusters.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster")).join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "copies"), "doc_id")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / group_ngrams).cast("int").alias("n_blocks"))
-    dealt = sized.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("low"), F.greatest(k, "block").alias("high")))
-    texts = there.join(dealt.select("doc_id", "cluster", "block", "n_blocks", "copies", "h1"), "doc_id")
-    links = staged(_search(texts.withColumn("pair", F.explode(pairs)).select("cluster", "pair.low", "pair.high", "doc_id", "copies", "text", "block"), n, percent), "links")
+    dealt = staged(sized.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int")), "dealt")
+    released(spark, found)
+    copied = dealt.agg(F.sum(F.col("n_shingles") * F.col("n_blocks"))).first()[0] or 0
+    rounds = max(1, math.ceil(copied / max(1, classes.agg(F.sum("n_shingles")).first()[0] or 0)))
+    links = _links(there.join(dealt.select("doc_id", "cluster", "block", "n_blocks", "copies"), "doc_id"), rounds, n, percent)
 
     labels = components(links.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("n_links").alias("n_links"))

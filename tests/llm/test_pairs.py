@@ -49,6 +49,66 @@ def test_similar_with_hot_group_null_and_repeated_ids(make_docs):
     assert sorted((r[0] for r in kept), key=str) == [0, None]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 400), st.sampled_from([50, 80, 90, 100]), st.floats(0, 1), st.floats(0, 1))
+def test_sets_that_link_keep_a_common_signature(seed, small, percent, a, b):
+    large = small + int(a * (100 * small // percent - small))
+    least = -(-percent * (small + large) // (100 + percent))
+    shared = min(small, least + int(b * (small - least + 1)))
+    if shared < least or shared == large:
+        return  # no link, or equal sets
+    grams = np.random.default_rng(seed).integers(0, 2**64 - 1, 3 * large + 3, np.uint64, endpoint=True)
+    sets = [np.unique(grams[:small]), np.unique(np.concatenate([grams[:shared], grams[small : small + large - shared]]))]
+    of, step, sign, spare = ngram_join.signatures(sets, percent)
+    common = set(sign[of == 0].tolist()) & set(sign[of == 1].tolist())
+    kept = [set(), set()]
+    for k in (0, 1):
+        for s in {*step[of == k].tolist()}:
+            mine = (of == k) & (step == s)
+            order = sorted(sign[mine].tolist(), key=lambda x: (x not in common, x))  # worst: the common ones go first
+            kept[k] |= set(order[int(spare[mine][0]) :])
+    assert kept[0] & kept[1]
+
+
+def searched(monkeypatch):
+    """Rows and words of each search, as they are made."""
+    calls, real = [], ngram_join._search
+
+    def search(groups, *more):
+        calls.append(groups.agg(F.count("*"), F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0))).first())
+        return real(groups, *more)
+
+    monkeypatch.setattr(ngram_join, "_search", search)
+    return calls
+
+
+def test_unrelated_texts_of_common_words_are_not_searched_together(make_docs, monkeypatch):
+    """N-grams that many texts hold, a passage, and a few links: only what may link is searched."""
+    rng = random.Random(3)
+    words = lambda n: rng.choices("the of and to in a is that".split(), k=n)
+    passage = words(25)
+    texts = [words(rng.randint(60, 160)) for _ in range(300)]
+    for t in texts[::3]:
+        t[10:10] = passage
+    texts += [[*t[:30], "new", *t[31:]] for t in texts[:12]]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    calls = searched(monkeypatch)
+    label, links = brute.components(docs, 5, 80)
+    got = ngram_join.similar(make_docs(docs), 5, 80, group_ngrams=1000).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in got} == {i: (label[i], links[i]) for i, _ in docs}
+    assert sum(c[0] for c in calls) <= 150
+
+
+def test_blocks_of_a_large_group_are_copied_in_rounds(make_docs, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(100)]
+    docs = [(k, " ".join([*base[:50], f"x{k}", *base[51:]])) for k in range(60)]
+    calls = searched(monkeypatch)
+    got = ngram_join.similar(make_docs(docs), 5, 80, group_ngrams=500).collect()
+    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in got} == {(k, 0, 59) for k in range(60)}
+    assert len(calls) > 4 and max(c[1] for c in calls) <= 3 * 60 * 100
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=10), min_size=1, max_size=14), st.sampled_from([50, 80, 90]))
 def test_divide_skip_finds_all_links(sets, percent):
