@@ -109,7 +109,8 @@ class Pair:
         out = [0]
         if self.cuttable:
             data = np.frombuffer(raw, np.uint8)
-            safe = np.flatnonzero((data[1:] == 0x20) & (data[:-1] > 0x20) & (data[:-1] < 0x7F)) + 1
+            # not before a last space: alone it is a text without tokens of B
+            safe = np.flatnonzero((data[1:-1] == 0x20) & (data[:-2] > 0x20) & (data[:-2] < 0x7F)) + 1
             while (k := int(np.searchsorted(safe, out[-1] + size))) < len(safe):
                 out.append(int(safe[k]))
         return [*out, len(raw)]

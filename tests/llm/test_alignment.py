@@ -161,6 +161,17 @@ def test_ids_are_those_of_the_libraries_however_texts_are_cut(pair, text):
         assert all(np.array_equal(np.concatenate([p[k] for p in parts]), whole[k]) for k in (0, 1))
 
 
+def test_a_last_space_is_not_cut_off(pair):
+    for text in ("0000 ", "0000  ", "one two ", "a ", " "):
+        raw = (" " + text).encode()
+        whole = pair.coded([" " + text])[0]
+        for size in range(1, 8):
+            at = pair.cuts(raw, size)
+            parts = pair.coded([raw[x:y].decode() for x, y in zip(at, at[1:], strict=False)])
+            assert (whole is None) == (None in parts), (text, size)
+            assert whole is None or all(np.array_equal(np.concatenate([p[k] for p in parts]), whole[k]) for k in (0, 1))
+
+
 @pytest.fixture(scope="module")
 def pair(spark):
     found = SharedPair(spark, None, None).pair()
