@@ -200,7 +200,7 @@ def _signature_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _candidates(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """x, y: h1, but for the last bit, of each set and of the least one that shares a kept signature."""
+    """x, y: h1, but for the last bit, of sets; who shares a kept signature is joined over some of these."""
     of_sign = Window.partitionBy("sign")
     rows = _signature_rows(texts, n, percent)
     counted = rows.withColumns({"n": F.count("*").over(of_sign), "low": F.min("set").over(of_sign), "high": F.max("set").over(of_sign)})
@@ -209,8 +209,11 @@ def _candidates(texts: DataFrame, n: int, percent: int) -> DataFrame:
     # the commonest are left out; those that no other set has are rarer than all of these
     place = F.dense_rank().over(Window.partitionBy("set").orderBy(F.desc("n"), "sign"))
     kept = shared.withColumn("place", place).where("place > spare")
-    first = kept.select("set", F.min("set").over(of_sign).alias("head")).where("set <> head")
-    found = staged(first.select(F.col("set").bitwiseAND(-2).alias("x"), F.col("head").bitwiseAND(-2).alias("y")).distinct(), "candidates")
+    heads = kept.select(F.col("set").bitwiseAND(-2).alias("x"), F.min("set").over(of_sign).bitwiseAND(-2).alias("head")).where("x <> head").distinct()
+    # a set goes to the least of its heads, and so do the others of these, of which there are far fewer
+    least = heads.withColumn("y", F.min("head").over(Window.partitionBy("x")))
+    ends = F.explode(F.array("x", "head")).alias("x")
+    found = staged(least.select(ends, "y").where("x <> y").distinct(), "candidates")
     released(texts.sparkSession, shared)
     return found
 
